@@ -15,6 +15,8 @@ _TAGS = mix64(np.arange(1, HASHES + 1, dtype=U64))
 LEAST_CLASS = 8
 #: The filter of item keys has 2**20 to 2**27 bits (16 MB), whatever the number of items.
 FILTER_BITS = (20, 27)
+#: Words of documents whose minima are taken together.
+AT_ONCE = 1 << 15
 
 
 def size_class(positions: int) -> int:
@@ -30,27 +32,24 @@ def keys_of(least: np.ndarray, size: int) -> np.ndarray:
     return mix64(least ^ _TAGS ^ U64(size * 0x9E3779B9))
 
 
-def block_minima(shingle_values: np.ndarray, size: int) -> np.ndarray:
-    """(blocks, HASHES): the least of each hash over every stretch of ``size`` positions."""
-    n = len(shingle_values)
-    blocks = -(-n // size)
-    padded = np.concatenate([shingle_values, np.repeat(shingle_values[-1:], blocks * size - n)]).reshape(blocks, size)
-    out = np.empty((blocks, HASHES), dtype=U64)
-    step = max(1, 4096 // size)
-    for at in range(0, blocks, step):
-        part = padded[at : at + step]
+def block_minima(documents: list[np.ndarray], size: int) -> list[np.ndarray]:
+    """For each document's shingle values (blocks, HASHES): the least of each hash over every stretch of ``size`` positions."""
+    counts = [-(-len(v) // size) for v in documents]
+    padded = np.concatenate([np.concatenate([v, np.repeat(v[-1:], n * size - len(v))]) for v, n in zip(documents, counts, strict=True)])
+    columns = np.ascontiguousarray(padded.reshape(-1, size).T)
+    out = np.empty((columns.shape[1], HASHES), dtype=U64)
+    step = max(1, 16384 // size)
+    for at in range(0, columns.shape[1], step):
+        part = columns[:, at : at + step]
         for k in range(HASHES):
-            out[at : at + step, k] = (part * FACTORS[k]).min(axis=1)
-    return out
+            out[at : at + step, k] = (part * FACTORS[k]).min(axis=0)
+    return np.split(out, np.cumsum(counts)[:-1])
 
 
-def window_keys(values: np.ndarray, sizes: list[int]) -> np.ndarray:
-    """Keys of all windows of a document: for each size class, windows of twice its size, one size apart."""
-    out = []
-    least, own = None, 0
+def window_keys(least: np.ndarray, sizes: list[int]) -> np.ndarray:
+    """Keys of all windows of a document, from its block minima for the first size: windows of twice each size, one size apart."""
+    out, own = [], sizes[0]
     for size in sizes:
-        if least is None:
-            least, own = block_minima(values, size), size
         while own < size:
             if len(least) % 2:
                 least = np.concatenate([least, least[-1:]])
@@ -142,18 +141,21 @@ def contained_items(
     def scan(batches):
         bitmap, log2 = shared.value
         for batch in batches:
-            ids, keys, sets = [], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                words = words_of(folded(text.as_py()))[0]
-                if len(words) < SHINGLE_WORDS:
-                    continue
-                at = shingle_positions(words)
-                own = window_keys(at, sizes)
-                hits = own[in_filter(bitmap, log2, own)]
-                if len(hits):
-                    ids.append(doc)
-                    keys.append(np.unique(hits).view(np.int64))
-                    sets.append(np.unique(at).tobytes())
+            ids, keys, sets, held, waiting = [], [], [], [], 0
+            for doc, text in zip([*batch.column(0).to_pylist(), None], [*batch.column(1), None], strict=True):
+                words = words_of(folded(text.as_py()))[0] if text is not None else []
+                if len(words) >= SHINGLE_WORDS:
+                    held.append((doc, shingle_positions(words)))
+                    waiting += len(words)
+                if held and (text is None or waiting >= AT_ONCE):
+                    for (own, at), least in zip(held, block_minima([v for _, v in held], sizes[0]), strict=True):
+                        every = window_keys(least, sizes)
+                        hits = every[in_filter(bitmap, log2, every)]
+                        if len(hits):
+                            ids.append(own)
+                            keys.append(np.unique(hits).view(np.int64))
+                            sets.append(np.unique(at).tobytes())
+                    held, waiting = [], 0
             kinds = [batch.schema.field(0).type, pa.list_(pa.int64()), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((ids, keys, sets), kinds, strict=True)], ["doc", "keys", "own"])
 

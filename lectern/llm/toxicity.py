@@ -20,8 +20,11 @@ WINDOW, STRIDE = 32, 24
 HIDDEN, WORD_DIM, CHAR_DIM = 8, 8, 8
 WORD_ROWS, CHAR_ROWS = 1 << 12, 1 << 13
 #: Character runs of a word that are looked up: 2 to 4 bytes, up to this many places from its start.
-GRAMS, PLACES = (2, 3, 4), 14
-WINDOWS_AT_ONCE = 4096
+GRAMS, PLACES = (2, 3, 4), 12
+WINDOWS_AT_ONCE = 2048
+#: Distinct words whose inputs a task keeps between batches (50 MB).
+KEPT_WORDS = 1 << 18
+TEXTS_AT_ONCE = 500
 
 
 def _char_rows(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -41,6 +44,18 @@ def _char_rows(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
     return out
 
 
+class WordRows:
+    """Rows of the embedding tables for some words: one each of the word table, and a run of the character table's."""
+
+    def __init__(self, words, data, start, end):
+        self.word_rows = (words % U64(WORD_ROWS - 1)).astype(np.int32) + 1
+        rows = _char_rows(data, start, end) if len(words) else np.zeros((0, 1), np.int32)
+        there = rows > 0
+        self.count = there.sum(axis=1)
+        self.rows = rows[there]  # of all words, one after another; every word has one at least
+        self.begin = np.cumsum(self.count) - self.count
+
+
 class Vocabulary:
     """The distinct words of a batch of texts, and each text as places in it (0 is padding)."""
 
@@ -55,22 +70,17 @@ class Vocabulary:
             sizes.append(len(h))
             data.append(own)
             offset += len(own)
-        flat = np.frombuffer(b"".join(data), dtype=np.uint8)
+        self.data = np.frombuffer(b"".join(data), dtype=np.uint8)
         every = np.concatenate(hashes) if hashes else np.zeros(0, U64)
-        words, first, place = np.unique(every, return_index=True, return_inverse=True)
+        self.words, first, place = np.unique(every, return_index=True, return_inverse=True)
         self.sizes = np.array(sizes, dtype=np.int64)
         self.places = place.astype(np.int32) + 1
-        self.word_rows = (words % U64(WORD_ROWS - 1)).astype(np.int32) + 1
-        if len(words):
-            self.char_rows = _char_rows(flat, np.concatenate(starts)[first], np.concatenate(ends)[first])
-        else:
-            self.char_rows = np.zeros((0, len(GRAMS) * PLACES), np.int32)
-
-    def part(self, words: np.ndarray) -> Vocabulary:
-        """Some of the words only, without texts."""
-        out = object.__new__(Vocabulary)
-        out.word_rows, out.char_rows = self.word_rows[words], self.char_rows[words]
-        return out
+        none = np.zeros(0, np.int64)
+        self.start = np.concatenate(starts)[first] if hashes else none
+        self.end = np.concatenate(ends)[first] if hashes else none
+
+    def part(self, words: np.ndarray) -> WordRows:
+        return WordRows(self.words[words], self.data, self.start[words], self.end[words])
 
     def windows(self) -> tuple[np.ndarray, np.ndarray]:
         """(windows, WINDOW) places, and the text of each window: all overlapping windows; a text without words has one of padding."""
@@ -85,6 +95,26 @@ class Vocabulary:
         return np.where(inside, self.places[np.clip(at + begin[owner][:, None], 0, len(self.places) - 1)], 0), owner
 
 
+class Known:
+    """Projected inputs of the words that a task has met, in order of their hashes; emptied when full."""
+
+    def __init__(self):
+        self.words, self.rows = np.zeros(0, U64), np.zeros((0, 6 * HIDDEN), np.float32)
+
+    def find(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(self.words):
+            return np.zeros(len(words), bool), np.zeros(len(words), np.int64)
+        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+        return self.words[at] == words, at
+
+    def add(self, words: np.ndarray, rows: np.ndarray) -> None:
+        if len(self.words) + len(words) > KEPT_WORDS:
+            self.words, self.rows = words[:KEPT_WORDS], rows[:KEPT_WORDS]
+            return
+        at = np.searchsorted(self.words, words)
+        self.words, self.rows = np.insert(self.words, at, words), np.insert(self.rows, at, rows, axis=0)
+
+
 def _sigmoid(x):
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
@@ -103,17 +133,31 @@ class Network:
         self.p["word"][0] = self.p["char"][0] = 0
         self.shift = 0.0
 
-    def inputs(self, vocabulary: Vocabulary, drop: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Embeddings of the distinct words, row 0 for padding, and the number of character runs of each."""
-        n = (vocabulary.char_rows > 0).sum(axis=1)
-        word = self.p["word"][vocabulary.word_rows]
+    def inputs(self, words: WordRows, drop: np.ndarray | None = None) -> np.ndarray:
+        """Embeddings of words: the word's own, and the scaled sum over its character runs."""
+        word = self.p["word"][words.word_rows]
         if drop is not None:
             word = word * drop[:, None]
-        chars = np.empty((len(word), CHAR_DIM), np.float32)
-        for at in range(0, len(word), 8192):
-            chars[at : at + 8192] = self.p["char"][vocabulary.char_rows[at : at + 8192]].sum(axis=1)
-        both = np.hstack([word, chars / np.sqrt(np.maximum(n, 1))[:, None].astype(np.float32)])
-        return np.vstack([np.zeros((1, WORD_DIM + CHAR_DIM), np.float32), both]), n
+        if not len(words.rows):
+            return np.zeros((len(word), WORD_DIM + CHAR_DIM), np.float32)
+        chars = np.add.reduceat(self.p["char"][words.rows], words.begin, axis=0)
+        return np.hstack([word, chars / np.sqrt(words.count)[:, None].astype(np.float32)])
+
+    def projected(self, vocabulary: Vocabulary, known: Known | None = None) -> np.ndarray:
+        """Inputs times wx for each place of a vocabulary (row 0: padding); known: keeps those of words met before."""
+        out = np.empty((len(vocabulary.words) + 1, 6 * HIDDEN), np.float32)
+        out[0] = self.p["bx"]
+        missing = np.arange(len(vocabulary.words))
+        if known is not None:
+            found, at = known.find(vocabulary.words)
+            out[1:][found] = known.rows[at[found]]
+            missing = np.flatnonzero(~found)
+        for at in range(0, len(missing), 8192):
+            part = missing[at : at + 8192]
+            out[part + 1] = self.inputs(vocabulary.part(part)) @ self.p["wx"] + self.p["bx"]
+        if known is not None:
+            known.add(vocabulary.words[missing], out[missing + 1])
+        return out
 
     def _direction(self, x, mask, u, keep):
         """States over time of one direction; x (time, windows, 3h). keep: also what the way back needs."""
@@ -147,17 +191,17 @@ class Network:
         logit = pooled @ self.p["wo"] + self.p["bo"][0]
         return (logit, (mask, save_f, save_b, states, act, alpha, pooled)) if keep else logit
 
-    def logits(self, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    def logits(self, vocabulary: Vocabulary, known: Known | None = None) -> tuple[np.ndarray, np.ndarray]:
         places, owner = vocabulary.windows()
-        table = self.inputs(vocabulary)[0] @ self.p["wx"] + self.p["bx"]
+        table = self.projected(vocabulary, known)
         parts = [self.forward(table, places[at : at + WINDOWS_AT_ONCE]) for at in range(0, len(places), WINDOWS_AT_ONCE)]
         return (np.concatenate(parts) if parts else np.zeros(0, np.float32)), owner
 
-    def scored(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def scored(self, texts: list[str | None], known: Known | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Per text the number of its windows and the highest one's probability."""
         if not texts:
             return np.zeros(0, np.int64), np.zeros(0)
-        logit, owner = self.logits(Vocabulary(texts))
+        logit, owner = self.logits(Vocabulary(texts), known)
         best = np.full(len(texts), -np.inf)
         np.maximum.at(best, owner, logit.astype(float))
         return np.bincount(owner, minlength=len(texts)), 1 / (1 + np.exp(-np.clip(best - self.shift, -30, 30)))
@@ -180,7 +224,7 @@ class Network:
 
     def gradients(self, vocabulary, places, target, weight, drop):
         """Loss gradients over the given windows (cross entropy, weighted)."""
-        inputs, n = self.inputs(vocabulary, drop)
+        inputs = np.vstack([np.zeros((1, WORD_DIM + CHAR_DIM), np.float32), self.inputs(vocabulary, drop)])
         logit, (mask, sf, sb, states, act, alpha, pooled) = self.forward(inputs @ self.p["wx"] + self.p["bx"], places, True)
         g = {k: np.zeros_like(v) for k, v in self.p.items()}
         d = ((1 / (1 + np.exp(-logit)) - target) * weight / len(target)).astype(np.float32)
@@ -209,9 +253,9 @@ class Network:
         rows = used[real] - 1
         dinput = dinput[real]
         np.add.at(g["word"], vocabulary.word_rows[rows], dinput[:, :WORD_DIM] * (1 if drop is None else drop[rows][:, None]))
-        dchar = dinput[:, WORD_DIM:] / np.sqrt(np.maximum(n[rows], 1))[:, None]
-        char_rows = vocabulary.char_rows[rows]
-        np.add.at(g["char"], char_rows.ravel(), np.repeat(dchar, char_rows.shape[1], axis=0))
+        dchar = np.zeros((len(vocabulary.word_rows), CHAR_DIM), np.float32)
+        dchar[rows] = dinput[:, WORD_DIM:] / np.sqrt(vocabulary.count[rows])[:, None]
+        np.add.at(g["char"], vocabulary.rows, np.repeat(dchar, vocabulary.count, axis=0))
         g["word"][0] = g["char"][0] = 0
         return g
 
@@ -294,15 +338,15 @@ def toxicity_scores(
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        net = shared.value
+        net, known = shared.value, Known()
         for batch in batches:
-            for at in range(0, batch.num_rows, 250):
-                part = batch.slice(at, 250)
+            for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
+                part = batch.slice(at, TEXTS_AT_ONCE)
                 texts = part.column(1).to_pylist()
-                vocabulary_sizes, scores = net.scored(texts)
+                windows, scores = net.scored(texts, known)
                 held = [v is not None and zlib.crc32(str(v).encode()) % 5 == 0 for v in part.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(held, pa.bool_()), pa.array(scores, pa.float64()), pa.array(scores >= 0.5).cast(pa.int32()), pa.array(vocabulary_sizes, pa.int64())],
+                    [part.column(0), pa.array(held, pa.bool_()), pa.array(scores, pa.float64()), pa.array(scores >= 0.5).cast(pa.int32()), pa.array(windows, pa.int64())],
                     [id_col, "held_out", "score", "predicted", "n_windows"],
                 )
 
