@@ -13,8 +13,8 @@ HASHES = 40
 FACTORS = multipliers(HASHES, 23)
 _TAGS = mix64(np.arange(1, HASHES + 1, dtype=U64))
 LEAST_CLASS = 8
-#: The filter of item keys has 2**20 to 2**27 bits (16 MB), whatever the number of items.
-FILTER_BITS = (20, 27)
+#: The filter of item keys has 2**24 to 2**27 bits (16 MB), whatever the number of items.
+FILTER_BITS = (24, 27)
 #: Words of documents whose minima are taken together.
 AT_ONCE = 1 << 15
 
