@@ -101,6 +101,15 @@ def _runs(value: str, follows) -> list[int]:
     return out
 
 
+def _echoes(value: str, size: int) -> list[int]:
+    """For each place, for how many characters on the value equals itself ``size`` further on."""
+    out = [0] * (len(value) + 1)
+    for i in range(len(value) - size - 1, -1, -1):
+        if value[i] == value[i + size]:
+            out[i] = out[i + 1] + 1
+    return out
+
+
 def log10_guesses(value: str) -> float:
     """The least number of guesses, as a power of ten, over all segmentations of a value.
 
@@ -117,6 +126,7 @@ def log10_guesses(value: str) -> float:
     per_char = _alphabet(value)
     same = _runs(low, lambda a, b: a == b)
     walk = _runs(low, lambda a, b: b in NEAR.get(a, ()))
+    again = {size: _echoes(low, size) for size in (2, 3, 4)}
     best = [math.inf] * (n + 1)
     force = [math.inf] * (n + 1)  # as best, where the last segment is brute force
     best[0] = 0.0
@@ -131,9 +141,7 @@ def log10_guesses(value: str) -> float:
             for k in {*range(3, min(run, 32) + 1), *([run] if run >= 3 else [])}:
                 ends.append((k, unit + math.log10(k) + (0 if unit == per_char else (k - 1) * math.log10(1.6))))
         for size in (2, 3, 4):
-            unit, k = low[i : i + size], size
-            while low[i + k : i + k + size] == unit and len(unit) == size:
-                k += size
+            k = size * (1 + again[size][i] // size)
             if k >= 2 * size:
                 ends.append((k, size * per_char + math.log10(k / size)))
         for k, c in ends:
