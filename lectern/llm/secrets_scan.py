@@ -18,7 +18,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 #: Maximal runs, as a greedy match of any length followed by a test of its length would give.
 HEX = re.compile(r"[0-9a-f]{24,}")
 CONTEXT = re.compile(
-    r"""(?<![A-Za-z0-9])(?:[A-Za-z0-9]+[_.-])*(?:passwords?|passwd|passphrase|pwd|secrets?|tokens?|credentials?|(?:api|access|private|auth|signing|encryption)[_-]?key)"""
+    r"""(?<![A-Za-z0-9])(?:passwords?|passwd|passphrase|pwd|secrets?|tokens?|credentials?|(?:api|access|private|auth|signing|encryption)[_-]?key)"""
     r"""["']?[\x20\t]*(?::=|=>|[:=])[\x20\t]*(?:"([^"\r\n]+)"|'([^'\r\n]+)'|([^\s"'<>,;)\]}]+))""",
     re.IGNORECASE | re.ASCII,
 )
@@ -122,7 +122,7 @@ def log10_guesses(value: str) -> float:
     n = len(value)
     if not n:
         return 0.0
-    low = value.lower()
+    low = "".join(c if len(c) == 1 else own for own, c in zip(value, map(str.lower, value), strict=True))  # as long as the value
     per_char = _alphabet(value)
     same = _runs(low, lambda a, b: a == b)
     walk = _runs(low, lambda a, b: b in NEAR.get(a, ()))

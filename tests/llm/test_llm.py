@@ -94,6 +94,18 @@ def test_guess_cost_is_the_least_over_segmentations(value):
     assert secrets_scan.log10_guesses(value) == pytest.approx(brute_cost(value))
 
 
+def test_secret_scan_of_awkward_texts():
+    import time
+
+    began = time.time()
+    assert secrets_scan.scan_text("secret " + "a-" * 100_000)["all"] == []
+    assert time.time() - began < 5  # time in proportion to the length
+    assert secrets_scan.scan_text("password: " + "\u0130" * 12)["base"] == []  # a letter whose lower case is longer
+    assert secrets_scan.log10_guesses("\u0130x\u01309!Kq\u0130") > 0
+    found = secrets_scan.scan_text("my.db-password=x9$Kq!vR2#mT")["guess"]
+    assert [(a, b) for a, _, b, _ in found] == [(15, 27)]
+
+
 def test_secret_scan_rows(spark):
     t = 'db_password: "x9$Kq!vR2#mT" and pwd=changeme123 secret=aaaaaaa1'
     got = secrets_scan.secret_scan(docs(spark, [t, None, "", "clean text", t], [1, 2, 3, 4, 1])).collect()
