@@ -76,7 +76,7 @@ def cascade(s, d):
 
 
 def fallback(s, d):
-    rows = lines(s, d).where("line_no % 50 = 0").select((F.col("doc_id") * 10 + F.col("page")).alias("table_id"), F.col("line_no").alias("seq"), F.col("line").alias("text"))
+    rows = lines(s, d).select((F.col("doc_id") * 10 + F.col("page")).alias("table_id"), F.col("line_no").alias("seq"), F.col("line").alias("text"))
     bar = lambda c: F.array_join(c, "|")
     return T.fallback_content(rows).select("table_id", bar(F.col("header_rows")[0]).alias("header"), "row_count", "column_count", F.array_join(F.transform("data_rows", bar), ";").alias("data"))
 

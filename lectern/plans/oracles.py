@@ -131,7 +131,7 @@ def converted(source: str) -> str:
 ALL_TABLES = f"{RAW}, {converted('raw')}"
 GOOD_TABLES = f"{MEASURED}, good AS (SELECT * FROM mv WHERE reason IS NULL), {converted('good')}"
 
-LINKED = f"""{CLAUSES}, {ALL_TABLES},
+_LINKS = """
     ni AS (SELECT doc_id, clause_number, arg_max(clause_id, page::BIGINT * 1000000000000 + line_no) AS clause_id FROM c GROUP BY ALL),
     px AS (SELECT doc_id, table_id, unnest(list_transform(range(1, len(string_split(table_number, '.')) + 1), lambda n: array_to_string(string_split(table_number, '.')[1:n], '.'))) AS clause_number
            FROM tt WHERE NOT starts_with(table_number, 'MODAL_P')),
@@ -144,6 +144,8 @@ LINKED = f"""{CLAUSES}, {ALL_TABLES},
     lt AS (SELECT tt.*, coalesce(l1.clause_id, l2.clause_id, l3.clause_id) AS parent_clause_id, coalesce(l1.clause_number, l2.clause_number, l3.clause_number) AS parent_clause_number,
                   CASE WHEN l1.clause_id IS NOT NULL THEN 'number' WHEN l2.clause_id IS NOT NULL THEN 'page' WHEN l3.clause_id IS NOT NULL THEN 'neighbour' END AS link
            FROM tt LEFT JOIN l1 USING (doc_id, table_id) LEFT JOIN l2 USING (doc_id, table_id) LEFT JOIN l3 USING (doc_id, table_id))"""
+LINKED = f"{CLAUSES}, {ALL_TABLES}, {_LINKS}"
+GOOD_LINKED = f"{CLAUSES}, {GOOD_TABLES}, {_LINKS}"
 
 _COUNTS = r"""dc AS (SELECT doc_id, count(*) AS n, count(*) FILTER (regexp_matches(clause_number, '^\d{1,2}$')) AS single,
     count(*) FILTER (regexp_matches(body_text, '(?m)\.{3,}.*\d+\s*$')) AS toc, count(*) FILTER (page_start = 1 AND page_end = 1) AS page_one,
@@ -180,7 +182,19 @@ _PLACE = "page::BIGINT * 1000000000000 + line_no"
 TITLES = f"ti AS (SELECT doc_id, coalesce(arg_min(title, {_PLACE}) FILTER ({_TITLED} AND level = 1), arg_min(title, {_PLACE}) FILTER ({_TITLED}), 'Technical Standard Document') AS document_title FROM c GROUP BY doc_id)"
 _SEVERITIES = "count(*) AS total_issues, count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings, count(*) FILTER (severity = 'info') AS info"
 _ALL_ISSUES = " UNION ALL ".join(f"({rule(r)})" for r in RULES)
+_TABLE_ISSUES = " UNION ALL ".join(f"({rule(r)})" for r in list(RULES)[12:])
 _COLUMNS = "doc_id, page, line_no, kind, clause_id, clause_number"
+_SUMMARY = "coalesce(total_issues, 0) AS total_issues, coalesce(errors, 0) AS errors, coalesce(warnings, 0) AS warnings, coalesce(info, 0) AS info"
+
+
+def as_json(fields: dict[str, str]) -> str:
+    """A JSON object as text, its keys in the given order and its nulls kept."""
+    return "to_json({" + ", ".join(f"'{k}': {v}" for k, v in fields.items()) + "})::VARCHAR"
+
+
+_CLAUSE_JSON = as_json({k: k for k in ("clause_id", "clause_number", "title", "parent_clause_id", "parent_clause_number", "level", "page_start", "page_end", "body_with_subitems")}
+                       | {"notes": "CAST([] AS VARCHAR[])", "exceptions": "CAST([] AS VARCHAR[])"} | {k: k for k in ("full_normalized_text", "confidence", "has_parent", "has_body")} | {"is_orphan_note": "false"})
+_TABLE_JSON = as_json({k: k for k in ("table_id", "table_number", "title", "parent_clause_id", "parent_clause_number", "page_start", "page_end", "header_rows", "data_rows", "has_headers", "confidence", "normalized_text_representation")})
 
 _NL = "chr(10)"
 _CBLOCK = (
@@ -265,7 +279,7 @@ ORACLES = {
     "merged_cells": f"WITH {_EL} SELECT table_id, has_merged_cells, n_rows::int AS n_rows, round(confidence, 6) AS confidence FROM sx",
     "header_rows": f"WITH {_EL} SELECT table_id, header_row_count FROM sx",
     "cell_grid": f"WITH {_EL} SELECT table_id, row::int AS row, col::int AS \"column\", row < header_row_count AS is_header, x0::int AS x0, rw.y0::int AS y0, (x0 + 30)::int AS x1, (rw.y0 + 20)::int AS y1 FROM rw JOIN co USING (table_id) JOIN sx USING (table_id)",
-    "fallback_content": f"""WITH {LINES}, kept AS (SELECT doc_id * 10 + page AS table_id, line_no, string_split_regex(line, '\\s+') AS w FROM ln WHERE line <> '' AND line_no % 50 = 0),
+    "fallback_content": f"""WITH {LINES}, kept AS (SELECT doc_id * 10 + page AS table_id, line_no, string_split_regex(line, '\\s+') AS w FROM ln WHERE line <> ''),
         fb AS (SELECT table_id, list(w ORDER BY line_no) AS rows FROM kept GROUP BY table_id)
         SELECT table_id, array_to_string(rows[1], '|') AS header, len(rows)::int AS row_count, list_max(list_transform(rows, lambda r: len(r)))::int AS column_count,
                array_to_string(list_transform(rows[2:], lambda r: array_to_string(r, '|')), ';') AS data FROM fb""",
@@ -287,7 +301,7 @@ ORACLES = {
     "cell_text": f"WITH {_CAPS}, {CELLS} SELECT c.doc_id, c.page, c.region_id, c.row, c.\"column\", string_agg(e.text, ' ' ORDER BY e.seq) AS text FROM ce c JOIN el e ON e.doc_id = c.doc_id AND e.page = c.page AND e.x + e.width / 2 BETWEEN c.x0 AND c.x1 AND e.y + e.height / 2 BETWEEN c.y0 AND c.y1 GROUP BY ALL",
     "native_lines": f"WITH s AS (SELECT {items(SPANS)} FROM part) SELECT doc_id, page, block, line, string_agg(text, '' ORDER BY seq) AS text, arg_min(x0, seq) AS x0, max(size) AS font_size, coalesce(arg_min(font, seq) FILTER (font <> ''), '') AS font_name FROM s GROUP BY doc_id, page, block, line HAVING trim(string_agg(text, '' ORDER BY seq)) <> ''",
     "pdf_type": f"SELECT doc_id % 50 AS doc_id, sum(length({strip('text')})) / count(*) > 100 AS is_digital, least(100.0, sum(length({strip('text')})) / count(*) / 10) AS coverage FROM documents WHERE 1 + doc_id // 50 <= 10 GROUP BY ALL",
-    "ocr_elements": """SELECT p_partkey AS doc_id, 1 + p_size AS page, 0 AS seq, p_brand AS text, p_size::DOUBLE AS x, 2.5 AS y, 10.0 AS width, 12.5 AS height, 'Arial' AS font, 9.5 AS font_size FROM part
+    "ocr_elements": """SELECT p_partkey AS doc_id, 1 + p_size AS page, 0 AS seq, p_brand AS text, p_size::DOUBLE AS x, 2.5::DOUBLE AS y, 10::DOUBLE AS width, 12.5::DOUBLE AS height, 'Arial' AS font, 9.5::DOUBLE AS font_size FROM part
         UNION ALL SELECT p_partkey, 1, 2, 'no box', 0.0, 0.0, 0.0, 0.0, '', 0.0 FROM part""",
     "chunk_plan": f"WITH {PLAN} SELECT * FROM pl",
     "split_info": f"WITH {COUNTS} SELECT doc_id, total_pages, total_pages > 100 AS needs_splitting, {_NCH} AS num_chunks, 93 AS chunk_size, round({_NCH} * 0.056::DOUBLE, 3) AS estimated_cost, {_NCH} * 12.0::DOUBLE AS estimated_time FROM pc",
@@ -296,5 +310,15 @@ ORACLES = {
     "merge_chunks": f"WITH {PLAN} SELECT doc_id, chunk_index, (page_start - 1 + 1 + abs(doc_id) % 3)::int AS page FROM pl",
     "document_title": f"WITH {CLAUSES}, {TITLES} SELECT * FROM ti",
     "normalized_text": f"WITH {NORMALIZED}",
+    "clauses_json": f"WITH {CLAUSES} SELECT doc_id, '[' || string_agg({_CLAUSE_JSON}, ',' ORDER BY page, line_no) || ']' AS json FROM c GROUP BY doc_id",
+    "tables_json": f"WITH {GOOD_LINKED} SELECT doc_id, '[' || string_agg({_TABLE_JSON}, ',' ORDER BY page, pos) || ']' AS json FROM lt GROUP BY doc_id",
+    "job_summary": f"""WITH {CLAUSES}, {_COUNTS}, {GOOD_TABLES}, {TITLES}, iss AS ({_ALL_ISSUES}), iq AS (SELECT doc_id, {_SEVERITIES} FROM iss GROUP BY doc_id),
+        ds AS (SELECT doc_id FROM ln UNION SELECT doc_id FROM raw), nc AS (SELECT doc_id, count(*) AS n FROM c GROUP BY doc_id), nt AS (SELECT doc_id, count(*) AS n FROM tt GROUP BY doc_id)
+        SELECT doc_id, coalesce(document_title, 'Technical Standard Document') AS document_title, coalesce(nc.n, 0) AS total_clauses, coalesce(nt.n, 0) AS total_tables, {_SUMMARY}
+        FROM ds LEFT JOIN ti USING (doc_id) LEFT JOIN nc USING (doc_id) LEFT JOIN nt USING (doc_id) LEFT JOIN iq USING (doc_id)""",
+    "tables_only_summary": f"""WITH {GOOD_TABLES}, iss AS ({_TABLE_ISSUES}), iq AS (SELECT doc_id, {_SEVERITIES} FROM iss GROUP BY doc_id),
+        ds AS (SELECT DISTINCT doc_id FROM raw), nt AS (SELECT doc_id, count(*) AS n FROM tt GROUP BY doc_id)
+        SELECT doc_id, NULL::VARCHAR AS document_title, 0::BIGINT AS total_clauses, coalesce(nt.n, 0) AS total_tables, {_SUMMARY}
+        FROM ds LEFT JOIN nt USING (doc_id) LEFT JOIN iq USING (doc_id)""",
     "page_line_stats": f"WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) SELECT doc_id, count(*) AS n_lines, max(length({strip('line')})) AS longest FROM l WHERE {strip('line')} <> '' GROUP BY doc_id",
 }

@@ -33,8 +33,8 @@ def process(lines: DataFrame, raw_tables: DataFrame, dialect: str = "deployed")
 
 
 def tables_only(raw_tables: DataFrame) -> Result:
-    """The tables' path: no clauses, no links, table issues only, no title."""
-    out = tables.convert(raw_tables).withColumns({"parent_clause_id": F.lit(None).cast("string"), "parent_clause_number": F.lit(None).cast("string")})
+    """The tables' path: filtered tables, no clauses, no links, table issues only, no title."""
+    out = tables.convert(tables.quality_filter(raw_tables)).withColumns({"parent_clause_id": F.lit(None).cast("string"), "parent_clause_number": F.lit(None).cast("string")})
     issues = validate.table_issues(out)
     titles = raw_tables.select("doc_id").distinct().withColumn("document_title", F.lit(None).cast("string"))
     none = titles.limit(0)
