@@ -1,8 +1,8 @@
-"""Validation rules as one union of filters and aggregates."""
+"""Validation rules as expressions, grouped by what they look at."""
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,17 +18,21 @@ PROSE = r"(?i)\b(shall|must not|must)\b|\bin accordance with\b"
 NUMBERED_TITLE = r"^\d+(\.\d+)+\s+\S+"
 
 
-def _issue(frame: DataFrame, type_: str, severity: str, message: Column, clause: bool = True) -> DataFrame:
-    return frame.select(
-        "doc_id", F.lit(type_).alias("type"), F.lit(severity).alias("severity"),
-        (F.col("clause_id") if clause else F.lit(None).cast("string")).alias("clause_id"), message.alias("message"),
-    )
-
-
 def _text(*parts) -> Column:
     return F.concat(*(p if isinstance(p, Column) else F.lit(p) for p in parts))
 
 
+def _issue(type_: str, severity: str, when: Column, message: Column, clause: bool = True) -> Column:
+    """The issue of a row, null if there is none."""
+    place = F.col("clause_id") if clause else F.lit(None).cast("string")
+    return F.when(when, F.struct(F.lit(type_).alias("type"), F.lit(severity).alias("severity"), place.alias("clause_id"), message.alias("message")))
+
+
+def _issues(frame: DataFrame, rules) -> DataFrame:
+    """All issues of some rules, found in one pass over the frame."""
+    return frame.select("doc_id", F.explode(F.array_compact(F.array(*(r() for r in rules)))).alias("i")).select("doc_id", "i.*")
+
+
 def document_counts(clauses: DataFrame) -> DataFrame:
     """The counts that the document-wide rules compare, in one aggregation."""
     yes = lambda c: F.count_if(c)
@@ -41,116 +45,151 @@ def document_counts(clauses: DataFrame) -> DataFrame:
     )
 
 
-def v01_single_digit(c):
-    d = document_counts(c).where(F.col("single") / F.col("n") > 0.3)
-    return _issue(d, "single_digit_contamination", "error", _text("Too many single-digit clause numbers (", F.col("single").cast("string"), "/", F.col("n").cast("string"), "). Likely parsing page numbers as clauses."), False)
+def with_parents(c: DataFrame) -> DataFrame:
+    """The clauses with ``there``: true if a clause of the document has the parent number, else null."""
+    numbers = c.select("doc_id", F.col("clause_number").alias("parent_clause_number"), F.lit(True).alias("there")).distinct()
+    return c.join(numbers, ["doc_id", "parent_clause_number"], "left")
 
 
-def v02_header_as_clause(c):
-    d = c.where(F.col("clause_number").rlike(SINGLE) & F.col("title").rlike(STANDARD))
-    return _issue(d, "header_as_clause", "error", _text("Clause ", F.col("clause_number"), " has standard title '", F.col("title"), "' - likely a header/footer"))
+def missing_parents(c: DataFrame) -> DataFrame:
+    """Clauses whose parent number no clause of the document has (an anti join)."""
+    numbers = c.select("doc_id", F.col("clause_number").alias("parent_clause_number")).distinct()
+    return c.where(present("parent_clause_number")).join(numbers, ["doc_id", "parent_clause_number"], "left_anti")
 
 
-def v03_toc_contamination(c):
-    d = document_counts(c).where("toc > 0")
-    return _issue(d, "toc_contamination", "error", _text(F.col("toc").cast("string"), " clause(s) contain TOC-style dot leaders. Table of Contents not properly excluded."), False)
+def _n(name: str) -> Column:
+    return F.col(name).cast("string")
 
 
-def v04_page_tracking(c):
-    d = document_counts(c).where((F.col("page_one") / F.col("n") > 0.7) & (F.col("n") > 5))
-    return _issue(d, "poor_page_tracking", "warning", _text(F.col("page_one").cast("string"), "/", F.col("n").cast("string"), " clauses attributed to page 1. Page tracking may not be working correctly."), False)
+# Rules over the counts of a document.
 
 
-def v05_inconsistent_parent(c):
-    """On the flags as parsed, before other rules change them."""
-    has_fields = present("parent_clause_id") | present("parent_clause_number")
-    one = c.where(F.col("has_parent") & ~has_fields)
-    two = c.where(~F.col("has_parent") & has_fields)
-    msg = lambda tail: _text("Clause ", F.col("clause_number"), tail)
-    return _issue(one, "inconsistent_parent", "error", msg(": has_parent=True but parent fields are null")).unionByName(
-        _issue(two, "inconsistent_parent", "error", msg(": has_parent=False but parent fields are set"))
-    )
+def v01_single_digit():
+    message = _text("Too many single-digit clause numbers (", _n("single"), "/", _n("n"), "). Likely parsing page numbers as clauses.")
+    return _issue("single_digit_contamination", "error", F.col("single") / F.col("n") > 0.3, message, False)
 
 
-def v06_poor_hierarchy(c):
-    d = document_counts(c).where((F.col("dotted") / F.col("n") < 0.3) & (F.col("n") > 10))
-    return _issue(d, "poor_hierarchy", "warning", _text("Only ", F.col("dotted").cast("string"), "/", F.col("n").cast("string"), " clauses have hierarchical numbering. Expected more X.X.X style clauses in a structured document."), False)
+def v03_toc_contamination():
+    return _issue("toc_contamination", "error", F.col("toc") > 0, _text(_n("toc"), " clause(s) contain TOC-style dot leaders. Table of Contents not properly excluded."), False)
 
 
-def v07_first_clause(c):
-    d = document_counts(c).where(~F.col("first_number").rlike(FIRST))
-    return _issue(d, "unexpected_first_clause", "warning", _text("First clause is '", F.col("first_number"), "', expected '1' or '1.1'"), False)
+def v04_page_tracking():
+    message = _text(_n("page_one"), "/", _n("n"), " clauses attributed to page 1. Page tracking may not be working correctly.")
+    return _issue("poor_page_tracking", "warning", (F.col("page_one") / F.col("n") > 0.7) & (F.col("n") > 5), message, False)
 
 
-def v08_empty_body(c):
-    return _issue(c.where(strip("body_with_subitems") == ""), "empty_body", "warning", _text("Clause ", F.col("clause_number"), " has empty body"))
+def v06_poor_hierarchy():
+    message = _text("Only ", _n("dotted"), "/", _n("n"), " clauses have hierarchical numbering. Expected more X.X.X style clauses in a structured document.")
+    return _issue("poor_hierarchy", "warning", (F.col("dotted") / F.col("n") < 0.3) & (F.col("n") > 10), message, False)
 
 
-def missing_parents(c: DataFrame) -> DataFrame:
-    """Clauses whose parent number no clause of the document has (an anti join)."""
-    numbers = c.select("doc_id", F.col("clause_number").alias("parent_clause_number")).distinct()
-    return c.where(present("parent_clause_number")).join(numbers, ["doc_id", "parent_clause_number"], "left_anti")
+def v07_first_clause():
+    return _issue("unexpected_first_clause", "warning", ~F.col("first_number").rlike(FIRST), _text("First clause is '", F.col("first_number"), "', expected '1' or '1.1'"), False)
 
 
-def v09_missing_parent(c):
-    return _issue(missing_parents(c), "missing_parent", "error", _text("Clause ", F.col("clause_number"), " references non-existent parent ", F.col("parent_clause_number")))
+# Rules over single clauses.
 
 
-def v10_orphan_note(c):
-    d = c.where((F.size("notes") > 0) & (strip("body_with_subitems") == ""))
-    return _issue(d, "orphan_note", "warning", _text("Clause ", F.col("clause_number"), " has notes but no body"))
+def _clause(*tail) -> Column:
+    return _text("Clause ", F.col("clause_number"), *tail)
 
 
-def v11_toc_in_body(c):
-    return _issue(c.where(F.col("body_with_subitems").rlike(LEADERS)), "toc_in_body", "error", _text("Clause ", F.col("clause_number"), " body contains TOC-style content (dot leaders)"))
+def v02_header_as_clause():
+    found = F.col("clause_number").rlike(SINGLE) & F.col("title").rlike(STANDARD)
+    return _issue("header_as_clause", "error", found, _clause(" has standard title '", F.col("title"), "' - likely a header/footer"))
 
 
-def v12_duplicate_number(c):
-    d = c.groupBy("doc_id", "clause_number").count().where("count > 1")
-    return _issue(d, "duplicate_number", "error", _text("Duplicate clause number: ", F.col("clause_number")), False)
+def v05_inconsistent_parent():
+    """On the flags as parsed, before other rules change them."""
+    fields = present("parent_clause_id") | present("parent_clause_number")
+    message = _clause(F.when(F.col("has_parent"), ": has_parent=True but parent fields are null").otherwise(": has_parent=False but parent fields are set"))
+    return _issue("inconsistent_parent", "error", F.col("has_parent") != fields, message)
+
 
+def v08_empty_body():
+    return _issue("empty_body", "warning", strip("body_with_subitems") == "", _clause(" has empty body"))
 
-def _name() -> Column:
-    return F.coalesce(F.nullif("table_number", F.lit("")), F.col("table_id"))
 
+def v09_missing_parent():
+    """On :func:`with_parents`."""
+    found = present("parent_clause_number") & F.col("there").isNull()
+    return _issue("missing_parent", "error", found, _clause(" references non-existent parent ", F.col("parent_clause_number")))
 
-def v13_missing_headers(t):
-    return _issue(t.where(F.size("header_rows") == 0), "missing_headers", "warning", _text("Table ", _name(), " has no header rows"), False)
 
+def v10_orphan_note():
+    return _issue("orphan_note", "warning", (F.size("notes") > 0) & (strip("body_with_subitems") == ""), _clause(" has notes but no body"))
 
-def v14_empty_table(t):
-    return _issue(t.where(F.size("data_rows") == 0), "empty_table", "warning", _text("Table ", _name(), " has no data rows"), False)
 
+def v11_toc_in_body():
+    return _issue("toc_in_body", "error", F.col("body_with_subitems").rlike(LEADERS), _clause(" body contains TOC-style content (dot leaders)"))
 
-def v15_suspicious_title(t):
+
+# Rules over single tables.
+
+
+def _table(*tail) -> Column:
+    return _text("Table ", F.coalesce(F.nullif("table_number", F.lit("")), F.col("table_id")), *tail)
+
+
+def v13_missing_headers():
+    return _issue("missing_headers", "warning", F.size("header_rows") == 0, _table(" has no header rows"), False)
+
+
+def v14_empty_table():
+    return _issue("empty_table", "warning", F.size("data_rows") == 0, _table(" has no data rows"), False)
+
+
+def v15_suspicious_title():
     own = strip("title")
-    d = t.where(present("title") & ((F.length(own) > 100) | own.rlike(PROSE) | own.rlike(NUMBERED_TITLE)))
+    found = present("title") & ((F.length(own) > 100) | own.rlike(PROSE) | own.rlike(NUMBERED_TITLE))
     short = F.when(F.length("title") <= 100, F.col("title")).otherwise(F.concat(F.substring("title", 1, 97), F.lit("...")))
-    return _issue(d, "suspicious_table_title", "warning", _text("Table ", _name(), " title may include clause prose: ", short), False)
+    return _issue("suspicious_table_title", "warning", found, _table(" title may include clause prose: ", short), False)
 
 
-def v16_duplicate_table_number(t):
-    d = t.where(present("table_number")).groupBy("doc_id", "table_number").count().where("count > 1")
-    return _issue(d, "duplicate_table_number", "warning", _text("Table number ", F.col("table_number"), " appears ", F.col("count").cast("string"), " times in output (check merge/dedup)"), False)
+# Rules over the rows of a number.
 
 
-CLAUSE_RULES = (v01_single_digit, v02_header_as_clause, v03_toc_contamination, v04_page_tracking, v05_inconsistent_parent, v06_poor_hierarchy, v07_first_clause, v08_empty_body, v09_missing_parent, v10_orphan_note, v11_toc_in_body, v12_duplicate_number)
-TABLE_RULES = (v13_missing_headers, v14_empty_table, v15_suspicious_title, v16_duplicate_table_number)
+def v12_duplicate_number():
+    return _issue("duplicate_number", "error", F.col("count") > 1, _text("Duplicate clause number: ", F.col("clause_number")), False)
+
+
+def v16_duplicate_table_number():
+    message = _text("Table number ", F.col("table_number"), " appears ", _n("count"), " times in output (check merge/dedup)")
+    return _issue("duplicate_table_number", "warning", F.col("count") > 1, message, False)
+
+
+#: What the rules of a group look at, and the rules: each group is one pass, however many rules it has.
+CLAUSE_GROUPS = (
+    (document_counts, (v01_single_digit, v03_toc_contamination, v04_page_tracking, v06_poor_hierarchy, v07_first_clause)),
+    (with_parents, (v02_header_as_clause, v05_inconsistent_parent, v08_empty_body, v09_missing_parent, v10_orphan_note, v11_toc_in_body)),
+    (lambda c: c.groupBy("doc_id", "clause_number").count(), (v12_duplicate_number,)),
+)
+TABLE_GROUPS = (
+    (lambda t: t, (v13_missing_headers, v14_empty_table, v15_suspicious_title)),
+    (lambda t: t.where(present("table_number")).groupBy("doc_id", "table_number").count(), (v16_duplicate_table_number,)),
+)
+
+
+def _by_name(groups) -> dict:
+    return {r.__name__: partial(lambda frame, seen, rule: _issues(seen(frame), [rule]), seen=seen, rule=r) for seen, rules in groups for r in rules}
+
+
+#: Each rule on its own, by name.
+CLAUSE_RULES, TABLE_RULES = _by_name(CLAUSE_GROUPS), _by_name(TABLE_GROUPS)
 
 
 def clause_issues(c: DataFrame) -> DataFrame:
-    return reduce(DataFrame.unionByName, [r(c) for r in CLAUSE_RULES])
+    return reduce(DataFrame.unionByName, [_issues(seen(c), rules) for seen, rules in CLAUSE_GROUPS])
 
 
 def table_issues(t: DataFrame) -> DataFrame:
-    return reduce(DataFrame.unionByName, [r(t) for r in TABLE_RULES])
+    return reduce(DataFrame.unionByName, [_issues(seen(t), rules) for seen, rules in TABLE_GROUPS])
 
 
 def apply_flags(c: DataFrame) -> DataFrame:
     """The clauses with the flags that validation leaves: body, parent that exists, orphan note."""
-    numbers = c.select("doc_id", F.col("clause_number").alias("parent_clause_number"), F.lit(True).alias("there")).distinct()
     blank = strip("body_with_subitems") == ""
-    return c.join(numbers, ["doc_id", "parent_clause_number"], "left").withColumns({
+    return with_parents(c).withColumns({
         "has_body": F.col("has_body") & ~blank,
         "has_parent": F.col("has_parent") & (~present("parent_clause_number") | F.coalesce("there", F.lit(False))),
         "is_orphan_note": F.col("is_orphan_note") | ((F.size("notes") > 0) & blank),

@@ -154,8 +154,8 @@ QUERIES: dict[str, Query] = {
     "clause_text": of_clauses("doc_id", "clause_id", "full_normalized_text"),
     "clauses_strict": lambda s, d: C.clauses(lines(s, d), "strict").select(*COLUMNS, "title", "parent_clause_number", "parent_clause_id", "level", "body_text", "full_normalized_text"),
     "clause_counts": lambda s, d: clauses(s, d).groupBy("doc_id", "kind").agg(F.count("*").alias("n")),
-    **{r.__name__: issue_rule(r, clauses) for r in V.CLAUSE_RULES},
-    **{r.__name__: issue_rule(r, tables) for r in V.TABLE_RULES},
+    **{n: issue_rule(r, clauses) for n, r in V.CLAUSE_RULES.items()},
+    **{n: issue_rule(r, tables) for n, r in V.TABLE_RULES.items()},
     "missing_parent_anti": lambda s, d: V.missing_parents(clauses(s, d)).select("doc_id", "clause_id", "clause_number", "parent_clause_number"),
     "issue_summary": lambda s, d: V.summary(issues(s, d)),
     "filter_empty": lambda s, d: raw(s, d).where(F.size("data_rows") == 0).select("pos"),
@@ -193,7 +193,7 @@ QUERIES: dict[str, Query] = {
     "merge_chunks": merged,
     "document_title": lambda s, d: C.document_title(clauses(s, d)),
     "normalized_text": normalized,
-    "clauses_json": lambda s, d: S.clauses_json(clauses(s, d), CLAUSE_JSON),
+    "clauses_json": lambda s, d: S.clauses_json(V.apply_flags(clauses(s, d)), CLAUSE_JSON),
     "tables_json": lambda s, d: S.tables_json(run(s, d).tables, TABLE_JSON),
     "job_summary": lambda s, d: run(s, d).summary,
     "tables_only_summary": lambda s, d: tables_only(raw(s, d)).summary,

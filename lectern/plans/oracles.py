@@ -193,7 +193,7 @@ def as_json(fields: dict[str, str]) -> str:
 
 
 _CLAUSE_JSON = as_json({k: k for k in ("clause_id", "clause_number", "title", "parent_clause_id", "parent_clause_number", "level", "page_start", "page_end", "body_with_subitems")}
-                       | {"notes": "CAST([] AS VARCHAR[])", "exceptions": "CAST([] AS VARCHAR[])"} | {k: k for k in ("full_normalized_text", "confidence", "has_parent", "has_body")} | {"is_orphan_note": "false"})
+                       | {"notes": "CAST([] AS VARCHAR[])", "exceptions": "CAST([] AS VARCHAR[])"} | {"full_normalized_text": "full_normalized_text", "confidence": "confidence", "has_parent": "has_parent AND EXISTS (FROM c x WHERE x.doc_id = c.doc_id AND x.clause_number = c.parent_clause_number)", "has_body": "has_body"} | {"is_orphan_note": "false"})
 _TABLE_JSON = as_json({k: k for k in ("table_id", "table_number", "title", "parent_clause_id", "parent_clause_number", "page_start", "page_end", "header_rows", "data_rows", "has_headers", "confidence", "normalized_text_representation")})
 
 _NL = "chr(10)"
@@ -310,7 +310,7 @@ ORACLES = {
     "merge_chunks": f"WITH {PLAN} SELECT doc_id, chunk_index, (page_start - 1 + 1 + abs(doc_id) % 3)::int AS page FROM pl",
     "document_title": f"WITH {CLAUSES}, {TITLES} SELECT * FROM ti",
     "normalized_text": f"WITH {NORMALIZED}",
-    "clauses_json": f"WITH {CLAUSES} SELECT doc_id, '[' || string_agg({_CLAUSE_JSON}, ',' ORDER BY page, line_no) || ']' AS json FROM c GROUP BY doc_id",
+    "clauses_json": f"WITH {CLAUSES}, cj AS (SELECT doc_id, page, line_no, {_CLAUSE_JSON} AS j FROM c) SELECT doc_id, '[' || string_agg(j, ',' ORDER BY page, line_no) || ']' AS json FROM cj GROUP BY doc_id",
     "tables_json": f"WITH {GOOD_LINKED} SELECT doc_id, '[' || string_agg({_TABLE_JSON}, ',' ORDER BY page, pos) || ']' AS json FROM lt GROUP BY doc_id",
     "job_summary": f"""WITH {CLAUSES}, {_COUNTS}, {GOOD_TABLES}, {TITLES}, iss AS ({_ALL_ISSUES}), iq AS (SELECT doc_id, {_SEVERITIES} FROM iss GROUP BY doc_id),
         ds AS (SELECT doc_id FROM ln UNION SELECT doc_id FROM raw), nc AS (SELECT doc_id, count(*) AS n FROM c GROUP BY doc_id), nt AS (SELECT doc_id, count(*) AS n FROM tt GROUP BY doc_id)

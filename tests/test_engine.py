@@ -111,6 +111,56 @@ def test_filters_and_text(spark):
     assert tables.quality_filter(tables.quality_filter(raw)).count() == tables.quality_filter(raw).count() == 1
 
 
+CLAUSE_FIELDS = (
+    "doc_id string, page int, line_no int, clause_id string, clause_number string, title string, parent_clause_id string, parent_clause_number string, "
+    "body_with_subitems string, notes array<struct<type:string,text:string>>, page_start int, page_end int, has_parent boolean, has_body boolean, is_orphan_note boolean"
+)
+
+
+def clause_rows(spark, doc, specs):
+    rows = []
+    for i, (number, extra) in enumerate(specs):
+        r = {"title": None, "pid": None, "parent": None, "body": "text", "notes": [], "page": 2, "has_parent": False} | extra
+        rows.append((doc, r["page"], i, f"{doc}{i}", number, r["title"], r["pid"], r["parent"], r["body"], r["notes"], r["page"], r["page"], r["has_parent"], True, False))
+    return spark.createDataFrame(rows, CLAUSE_FIELDS)
+
+
+def test_every_clause_rule_finds_its_rows(spark):
+    note = [("NOTE", "n")]
+    docs = {
+        "single": [("7", {"title": "ISO 9001"}), ("10", {}), ("1.1", {})],  # 2 of 3, one with a standard's title
+        "edge": [*((str(i), {}) for i in range(1, 4)), *((f"{i}.1", {}) for i in range(1, 8))],  # 3 of 10 is not more than 0.3
+        "toc": [("1.1", {"body": "a\nScope ..... 12\nb"}), ("1.2", {"body": "x ... y"})],
+        "ones": [(f"1.{i}", {"page": 1}) for i in range(5)] + [("1.9", {})],  # 5 of 6 on page 1
+        "flat": [(f"Appendix {chr(65 + i)}", {}) for i in range(11)],  # 11 without a dot
+        "first": [("2.1", {}), ("1.1", {})],
+        "parents": [("1.1", {"has_parent": True}), ("1.2", {"parent": "1.1"}), ("1.3", {"parent": "9", "has_parent": True}), ("1.4", {"parent": "1.1", "pid": "parents0", "has_parent": True})],
+        "blank": [("1.1", {"body": " \n"}), ("1.2", {"body": "", "notes": note}), ("1.3", {"notes": note})],
+        "twice": [("1.1", {}), ("1.1", {}), ("1.1", {})],
+    }
+    frame = None
+    for doc, specs in docs.items():
+        own = clause_rows(spark, doc, specs)
+        frame = own if frame is None else frame.union(own)
+    found = validate.clause_issues(frame).collect()
+    got = sorted((r.doc_id, r.type, r.severity, r.clause_id) for r in found)
+    want = [
+        ("blank", "empty_body", "warning", "blank0"), ("blank", "empty_body", "warning", "blank1"), ("blank", "orphan_note", "warning", "blank1"),
+        ("first", "unexpected_first_clause", "warning", None), ("flat", "poor_hierarchy", "warning", None),
+        ("ones", "poor_page_tracking", "warning", None),
+        ("parents", "inconsistent_parent", "error", "parents0"), ("parents", "inconsistent_parent", "error", "parents1"), ("parents", "missing_parent", "error", "parents2"),
+        ("single", "header_as_clause", "error", "single0"), ("single", "single_digit_contamination", "error", None),
+        ("single", "unexpected_first_clause", "warning", None),
+        ("toc", "toc_contamination", "error", None), ("toc", "toc_in_body", "error", "toc0"), ("toc", "toc_in_body", "error", "toc1"),
+        ("twice", "duplicate_number", "error", None),
+    ]
+    assert got == sorted(want, key=lambda r: (*r[:3], r[3] or ""))
+    each = [r for rule in validate.CLAUSE_RULES.values() for r in rule(frame).collect()]
+    assert sorted(each, key=repr) == sorted(found, key=repr)
+    flags = {r.clause_id: (r.has_parent, r.has_body, r.is_orphan_note) for r in validate.apply_flags(frame).collect()}
+    assert flags["parents2"] == (False, True, False) and flags["blank1"] == (False, False, True) and flags["parents3"] == (True, True, False)
+
+
 def test_ocr_json(spark):
     j = '{"elements":[{"Text":" a ","Bounds":[1,2,4,8],"Page":1},{"Text":"  ","Page":2}]}'
     frame = spark.createDataFrame([("d", j)], "doc_id string, json string")
@@ -169,7 +219,7 @@ def rounded(rows):
     return sorted((tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in rows), key=repr)
 
 
-@pytest.mark.parametrize("name", ["clauses_strict", "clause_text", "issue_summary", "quality_filter", "link_cascade", "caption_parse", "region_text", "cell_grid", "merge_chunks", "normalized_text"])
+@pytest.mark.parametrize("name", ["clauses_strict", "clause_text", "issue_summary", "quality_filter", "link_cascade", "caption_parse", "region_text", "cell_grid", "merge_chunks", "normalized_text", "fallback_content", "ocr_elements", "clauses_json", "tables_json", "job_summary", "tables_only_summary"])
 def test_queries_equal_their_sql(spark, duck, name):
     frame = catalog.QUERIES[name](spark, SF)
     result = duck.execute(catalog.ORACLES[name])
