@@ -34,15 +34,34 @@ def line_text(lines: DataFrame) -> DataFrame:
     return lines.select("doc_id", "page", "line_no", strip(F.coalesce("line", F.lit(""))).alias("line"))
 
 
+def line_kinds(lines: DataFrame) -> DataFrame:
+    """Adds ``kind`` by the line alone (N, A, L or null) and ``stops``."""
+    rows = line_text(lines)
+    line = F.col("line")
+    return rows.withColumns({
+        "kind": F.when(line.rlike(NUMBERED), "N").when(line.rlike(APPENDIX), "A").when(line.rlike(LETTER), "L"),
+        "stops": (line == "") | line.rlike(NUMBERED_STOP) | line.rlike(APPENDIX_STOP) | line.rlike(LETTER_STOP),
+    })
+
+
 def classify(lines: DataFrame) -> DataFrame:
-    """Adds ``kind``: N, A, L (only once the document has had an N or A), or null; and ``stops``."""
-    rows = line_text(lines).withColumns({"n": F.col("line").rlike(NUMBERED), "l": F.col("line").rlike(LETTER)})
-    rows = rows.withColumn("a", ~F.col("n") & F.col("line").rlike(APPENDIX))
-    seen = F.max(F.col("n") | F.col("a")).over(W.partitionBy(*DOC).orderBy("page", "line_no"))
-    return rows.withColumn("kind", F.when(F.col("n"), "N").when(F.col("a"), "A").when(F.col("l") & seen, "L")).withColumn(
-        "stops",
-        (F.col("line") == "") | F.col("line").rlike(NUMBERED_STOP) | F.col("line").rlike(APPENDIX_STOP) | F.col("line").rlike(LETTER_STOP),
-    ).drop("n", "a", "l")
+    """As :func:`line_kinds`, but a letter counts only once the document has had a number or an appendix.
+
+    That place is one row per document, from a partial aggregation, so no task sorts a whole document.
+    """
+    rows = line_kinds(lines)
+    place = F.struct("page", "line_no")
+    first = rows.where(F.col("kind").isin("N", "A")).groupBy(*DOC).agg(F.min(place).alias("first"))
+    late = F.coalesce(place > F.col("first"), F.lit(False))
+    return rows.join(first, DOC, "left").withColumn("kind", F.when((F.col("kind") != "L") | late, F.col("kind"))).select("doc_id", "page", "line_no", "line", "kind", "stops")
+
+
+def carried_numbers(rows: DataFrame) -> DataFrame:
+    """``(doc_id, page, carried)``: the last number or appendix of the document's earlier pages, by a window over pages, not lines."""
+    own = F.when(F.col("kind").isin("N", "A"), F.struct("line_no", _own_number().alias("own")))
+    pages = rows.groupBy(*PAGE).agg(F.max(own)["own"].alias("last"))
+    before = W.partitionBy(*DOC).orderBy("page").rowsBetween(W.unboundedPreceding, -1)
+    return pages.select(*PAGE, F.last("last", ignorenulls=True).over(before).alias("carried"))
 
 
 def segments(rows: DataFrame) -> DataFrame:
@@ -75,13 +94,18 @@ def clause_id(*parts: str) -> Column:
     return F.concat(F.lit("clause_"), F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 8))
 
 
+def _own_number() -> Column:
+    """The number of a line that is of kind N or A."""
+    first = lambda p: F.regexp_extract("line", p, 1)
+    return F.when(F.col("kind") == "N", first(NUMBERED)).when(F.col("kind") == "A", F.concat(F.lit("Appendix "), first(APPENDIX)))
+
+
 def _numbers(c: DataFrame) -> DataFrame:
     first = lambda p: F.regexp_extract("line", p, 1)
     second = lambda p: F.regexp_extract("line", p, 2)
     appendix = F.col("kind") == "A"
-    own = F.when(F.col("kind") == "N", first(NUMBERED)).when(appendix, F.concat(F.lit("Appendix "), first(APPENDIX)))
     return c.withColumns({
-        "own": own,
+        "own": _own_number(),
         "title": F.when(F.col("kind") == "N", strip(second(NUMBERED))).when(appendix, F.nullif(strip(second(APPENDIX)), F.lit(""))),
         "sign": F.when(F.col("kind") == "L", first(LETTER)), "lead": F.when(F.col("kind") == "L", second(LETTER)),
         "clause_id": clause_id("doc_id", "page", "line_no"),
@@ -109,14 +133,20 @@ def _finish(c: DataFrame) -> DataFrame:
 
 
 def clauses(lines: DataFrame, dialect: str = "deployed") -> DataFrame:
-    """Clauses of ``(doc_id, page, line_no, line)``, in the deployed or the strict dialect."""
+    """Clauses of ``(doc_id, page, line_no, line)``, in the deployed or the strict dialect.
+
+    Letters are segmented before it is known whether a number precedes them in the document: those
+    that none precedes are dropped afterwards, which changes no other clause, as none is open there.
+    So lines are dealt by page, and only a row per page meets the others of its document.
+    """
     if dialect == "strict":
         return strict_clauses(lines)
     if dialect != "deployed":
         raise ValueError(f"unknown dialect {dialect!r}")
-    c = _numbers(segments(classify(lines)))
-    before = W.partitionBy(*DOC).orderBy("page", "line_no")
-    c = c.withColumns({"parent_own": F.last("own", ignorenulls=True).over(before)})
+    rows = line_kinds(lines)
+    c = _numbers(segments(rows)).join(carried_numbers(rows), PAGE, "left")
+    here = F.last("own", ignorenulls=True).over(W.partitionBy(*PAGE).orderBy("line_no"))
+    c = c.withColumn("parent_own", F.coalesce(here, "carried")).where("kind != 'L' OR parent_own IS NOT NULL")
     return _finish(
         c.withColumns({
             "clause_number": F.when(F.col("kind") == "L", F.concat("parent_own", F.lit("("), "sign", F.lit(")"))).otherwise(F.col("own")),
@@ -124,7 +154,7 @@ def clauses(lines: DataFrame, dialect: str = "deployed") -> DataFrame:
             "level": (F.when(F.col("kind") == "L", dots("parent_own") + 2).otherwise(dots("own") + 1)).cast("int"),
             "body_text": F.when(F.col("kind") == "L", F.concat("lead", F.lit(" "), "tail")).otherwise(F.col("tail")),
         })
-    ).drop("own", "parent_own", "sign", "lead", "tail", "line")
+    ).drop("own", "parent_own", "carried", "sign", "lead", "tail", "line")
 
 
 def page_parents(rows: DataFrame) -> DataFrame:

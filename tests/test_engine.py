@@ -63,6 +63,22 @@ def test_clauses_equal_a_line_loop(spark, seed):
     assert [tuple(r) for r in got] == parse(pages)
 
 
+@pytest.mark.parametrize("seed", [3, 4])
+def test_letters_hang_on_the_last_number_of_earlier_pages(spark, seed):
+    rng = random.Random(seed)
+    docs = {}
+    for d in ("d", "e", "f"):
+        plain = ["(a) item", "(b) item", "body", "", "NOTE: x"]
+        docs[d] = {p: [rng.choice(plain) for _ in range(rng.randint(1, 9))] for p in range(1, 13)}
+        for p in rng.sample(range(2, 13), 3):  # numbers on three pages only, never on the first
+            docs[d][p].insert(rng.randint(0, len(docs[d][p])), f"{p}.1 Title")
+    frame = rows(spark, docs["d"]).union(rows(spark, docs["e"], "e")).union(rows(spark, docs["f"], "f"))
+    got = C.clauses(frame).orderBy("doc_id", "page", "line_no").select("doc_id", "clause_number", "title", "parent_clause_number", "level", "body_text").collect()
+    assert [tuple(r) for r in got] == [(d, *r) for d in docs for r in parse(docs[d])]
+    kinds = {(r.doc_id, r.page, r.line_no) for r in C.classify(frame).where("kind IS NOT NULL").collect()}
+    assert kinds == {(r.doc_id, r.page, r.line_no) for r in C.clauses(frame).collect()}
+
+
 def test_letter_before_any_clause_and_defects(spark):
     pages = {1: ["(a) orphan", "1.1 Scope", "body", "", "lost", "(a) item", "1.1 Scope again"]}
     got = C.clauses(rows(spark, pages)).orderBy("line_no").collect()
