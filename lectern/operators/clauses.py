@@ -157,6 +157,12 @@ def clauses(lines: DataFrame, dialect: str = "deployed") -> DataFrame:
     ).drop("own", "parent_own", "carried", "sign", "lead", "tail", "line")
 
 
+def remarks(texts: str | Column, kind: str = "NOTE") -> Column:
+    """Notes or exceptions given as plain texts, as ``(text, type)``; null and empty ones go, and no list is an empty one."""
+    own = F.filter(F.coalesce(col(texts), F.array().cast("array<string>")), lambda x: F.coalesce(x, F.lit("")) != "")
+    return F.transform(own, lambda x: F.struct(x.alias("text"), F.lit(kind).alias("type")))
+
+
 def page_parents(rows: DataFrame) -> DataFrame:
     """Strict dialect: ``(doc_id, page, parent)``, the number that letters on a page hang on.
 

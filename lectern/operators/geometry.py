@@ -76,6 +76,26 @@ def parse_caption(c: str = "caption") -> Column:
     return F.when(~F.coalesce(garbage, F.lit(False)), found)
 
 
+# Patterns of captions that optical readers give, in the order in which they are tried.
+READ_CAPTIONS = [
+    r"(?Ud)(?i)TABLE\s+([A-Z]?\d+\.?\d*)",
+    r"(?Ud)(?i)^([A-Z]?\d+\.?\d*)\s*[-–—]",
+    r"(?Ud)(?i)^([A-Z]?\d+\.?\d*)\s+\w",
+]
+
+
+def parse_read_caption(c: str = "caption") -> Column:
+    """struct(table_number, title) of a caption that an optical reader gave; a title has more than three characters."""
+    text = F.col(c)
+    number, rest = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for pattern in reversed(READ_CAPTIONS):
+        hit = text.rlike(pattern)
+        number = F.when(hit, F.regexp_extract(text, pattern, 1)).otherwise(number)
+        rest = F.when(hit, F.regexp_extract(text, pattern + r"([\s\S]*)$", 2)).otherwise(rest)
+    title = F.regexp_replace(strip(rest), U + r"^[-–—:\s]+", "")
+    return F.struct(number.alias("table_number"), F.when(F.length(title) > 3, title).alias("title"))
+
+
 def region_text(elements: DataFrame, regions: DataFrame) -> DataFrame:
     """Texts of the elements that overlap a region (touching counts), in element order."""
     e, r = elements.alias("e"), regions.alias("r")

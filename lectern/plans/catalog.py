@@ -91,6 +91,27 @@ def ocr_results(s, d):
     return load(s, d, "part").selectExpr("p_partkey AS doc_id", f"{j} AS json")
 
 
+def read_captions(s, d):
+    return exprs(s, d, "part", {"p_partkey": "p_partkey", "caption": O.CAPTION_TEXT}).select("p_partkey", G.parse_read_caption().alias("p")).select("p_partkey", "p.*")
+
+
+def note_coercion(s, d):
+    notes = load(s, d, "part").select("p_partkey", C.remarks(F.expr(O.NOTES)).alias("n"), C.remarks(F.expr("CASE WHEN p_size > 25 THEN array(p_name) END"), "Exception").alias("x"))
+    shown = lambda c: F.array_join(F.transform(c, lambda r: F.concat(r["type"], F.lit(": "), r["text"])), "|")
+    return notes.select("p_partkey", shown("n").alias("notes"), shown("x").alias("exceptions"))
+
+
+def table_overlay(s, d):
+    found = exprs(s, d, "supplier", O.OVERLAID).withColumnRenamed("region_id", "table_id")
+    out = G.overlay(found, X.elements(s, d), X.elements(s, d))
+    return out.select("doc_id", "page", "table_id", "adobe_text", "ocr_source")
+
+
+def ocr_page_sizes(s, d):
+    pages = ocr.ocr_pages(ocr_results(s, d))
+    return pages.select("doc_id", "page", "width", "height", F.when(F.col("elements").isNull(), 0).otherwise(F.size("elements")).alias("n_elements"))
+
+
 def plan(s, d):
     return K.chunk_plan(X.page_counts(s, d))
 
@@ -182,6 +203,11 @@ QUERIES: dict[str, Query] = {
     "caption_candidates": captions,
     "caption_top3": lambda s, d: G.caption_text(captions(s, d)),
     "caption_parse": caption_parse,
+    "read_caption_parse": read_captions,
+    "note_coercion": note_coercion,
+    "table_overlay": table_overlay,
+    "crop_bands": lambda s, d: X.regions(s, d).select("region_id", G.crop_band().alias("b")).select("region_id", "b.top", "b.bottom"),
+    "ocr_pages": ocr_page_sizes,
     "region_text": lambda s, d: G.region_text(X.elements(s, d), X.regions(s, d)),
     "cell_text": lambda s, d: G.cell_text(X.elements(s, d), cells(s, d)),
     "native_lines": native,

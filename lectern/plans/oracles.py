@@ -225,6 +225,11 @@ TOP3 = f"{CANDIDATES}, tp AS (SELECT *, row_number() OVER (PARTITION BY doc_id,
 _PATTERNS = [r"(?i)TABLE\s+([A-Z]?\d+\.\d+)", r"(?i)TABLE\s+([A-Z]?\d+)", r"^([A-Z]?\d+\.\d+)\s*[-–—:]", r"^([A-Z]?\d+\.\d+)\s+[A-Z]", r"^([A-Z]?\d+)\s*[-–—:]"]
 _NUM = "CASE " + " ".join(f"WHEN regexp_matches(caption, '{p}') THEN regexp_extract(caption, '{p}', 1)" for p in _PATTERNS) + " END"
 _REST = "CASE " + " ".join(f"WHEN regexp_matches(caption, '{p}') THEN regexp_extract(caption, '{p}([\\s\\S]*)$', 2)" for p in _PATTERNS) + " END"
+_READ = [r"(?i)TABLE\s+([A-Z]?\d+\.?\d*)", r"(?i)^([A-Z]?\d+\.?\d*)\s*[-–—]", r"(?i)^([A-Z]?\d+\.?\d*)\s+\w"]
+_READ_NUM = "CASE " + " ".join(f"WHEN regexp_matches(caption, '{p}') THEN regexp_extract(caption, '{p}', 1)" for p in _READ) + " END"
+_READ_REST = "CASE " + " ".join(f"WHEN regexp_matches(caption, '{p}') THEN regexp_extract(caption, '{p}([\\s\\S]*)$', 2)" for p in _READ) + " END"
+NOTES = "CASE WHEN p_size % 4 > 0 THEN array(p_brand, '', CASE WHEN p_size % 2 = 0 THEN p_type END) END"
+OVERLAID = X.F3_REGIONS | {"page": "cast(1 + s_suppkey % 7 as int)"}
 CELLS = "ce AS (SELECT doc_id, page, region_id, r AS row, k AS \"column\", x0 + 75 * k AS x0, y0 + 40 * r AS y0, x0 + 75 * k + 75 AS x1, y0 + 40 * r + 40 AS y1 FROM rg, (SELECT unnest([0, 1])::int AS r), (SELECT unnest([0, 1])::int AS k))"
 
 SPANS = {"doc_id": "cast(1 as bigint)", "page": "cast(1 + p_partkey % 5 as int)", "block": "p_partkey % 40", "line": "p_partkey % 7", "seq": "p_partkey", "text": "CASE WHEN p_partkey % 3 = 0 THEN ' ' ELSE p_brand END", "x0": "p_partkey % 500", "size": "cast(p_size as double)", "font": "CASE WHEN p_partkey % 4 = 0 THEN '' ELSE p_brand END"}
@@ -297,6 +302,17 @@ ORACLES = {
         r1 AS (SELECT *, regexp_replace(regexp_replace({strip("rest")}, '^[-–—:\s]+', ''), '(?i)\(continued\)\s*$', '') AS ti,
                   coalesce(regexp_matches(num, '^\d{{2,}}\.\d{{2,}}$') AND TRY_CAST(split_part(num, '.', 1) AS BIGINT) > 50, false) AS garbage FROM r0)
         SELECT doc_id, page, table_id, CASE WHEN NOT garbage THEN num END AS table_number, CASE WHEN NOT garbage AND length(ti) > 3 THEN ti END AS title FROM r1""",
+    "read_caption_parse": rf"""WITH r0 AS (SELECT p_partkey, {CAPTION_TEXT} AS caption FROM part), r1 AS (SELECT p_partkey, {_READ_NUM} AS table_number, regexp_replace({strip(f"({_READ_REST})")}, '^[-–—:\s]+', '') AS ti FROM r0)
+        SELECT p_partkey, table_number, CASE WHEN length(ti) > 3 THEN ti END AS title FROM r1""",
+    "note_coercion": """SELECT p_partkey, CASE WHEN p_size % 4 > 0 THEN 'NOTE: ' || p_brand || CASE WHEN p_size % 2 = 0 THEN '|NOTE: ' || p_type ELSE '' END ELSE '' END AS notes,
+        CASE WHEN p_size > 25 THEN 'Exception: ' || p_name ELSE '' END AS exceptions FROM part""",
+    "table_overlay": f"""WITH {_CAPS}, tv AS (SELECT {items(OVERLAID)} FROM supplier), pg AS (SELECT DISTINCT doc_id, page FROM el)
+        SELECT t.doc_id, t.page, t.region_id AS table_id, CASE WHEN pg.page IS NOT NULL THEN coalesce(string_agg(e.text, ' ' ORDER BY e.seq), '') END AS adobe_text, CASE WHEN pg.page IS NOT NULL THEN 'adobe' END AS ocr_source
+        FROM tv t LEFT JOIN pg ON pg.doc_id = t.doc_id AND pg.page = t.page
+        LEFT JOIN el e ON e.doc_id = t.doc_id AND e.page = t.page AND e.x <= t.x1 AND e.x + e.width >= t.x0 AND e.y <= t.y1 AND e.y + e.height >= t.y0 GROUP BY t.doc_id, t.page, t.region_id, pg.page""",
+    "crop_bands": f"WITH {_CAPS} SELECT region_id, greatest(0, y0 - 100) AS top, y0 AS bottom FROM rg",
+    "ocr_pages": """SELECT doc_id, page, 612 AS width, 792 AS height, sum(n)::int AS n_elements FROM (SELECT p_partkey AS doc_id, 1 + p_size AS page, 1 AS n FROM part
+        UNION ALL SELECT p_partkey, 4, 0 FROM part UNION ALL SELECT p_partkey, 1, 1 FROM part) GROUP BY doc_id, page""",
     "region_text": f"WITH {_CAPS} SELECT r.doc_id, r.page, r.region_id, coalesce(string_agg(e.text, ' ' ORDER BY e.seq), '') AS text FROM rg r LEFT JOIN el e ON e.doc_id = r.doc_id AND e.page = r.page AND e.x <= r.x1 AND e.x + e.width >= r.x0 AND e.y <= r.y1 AND e.y + e.height >= r.y0 GROUP BY ALL",
     "cell_text": f"WITH {_CAPS}, {CELLS} SELECT c.doc_id, c.page, c.region_id, c.row, c.\"column\", string_agg(e.text, ' ' ORDER BY e.seq) AS text FROM ce c JOIN el e ON e.doc_id = c.doc_id AND e.page = c.page AND e.x + e.width / 2 BETWEEN c.x0 AND c.x1 AND e.y + e.height / 2 BETWEEN c.y0 AND c.y1 GROUP BY ALL",
     "native_lines": f"WITH s AS (SELECT {items(SPANS)} FROM part) SELECT doc_id, page, block, line, string_agg(text, '' ORDER BY seq) AS text, arg_min(x0, seq) AS x0, max(size) AS font_size, coalesce(arg_min(font, seq) FILTER (font <> ''), '') AS font_name FROM s GROUP BY doc_id, page, block, line HAVING trim(string_agg(text, '' ORDER BY seq)) <> ''",

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Iterator
+from typing import Protocol
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,5 +36,42 @@ def ocr_pages(results: DataFrame, page_offset: int = 0) -> DataFrame:
     return pages.join(own, ["doc_id", "page"], "left").select("doc_id", "page", F.lit(PAGE_WIDTH).alias("width"), F.lit(PAGE_HEIGHT).alias("height"), "elements")
 
 
+class ChunkReader(Protocol):
+    """Reads pages page_start to page_end of a document and gives their elements as JSON. Raises if the chunk can't be read."""
+
+    def read(self, doc_id, page_start: int, page_end: int) -> str: ...
+
+
+def read_chunks(plan: DataFrame, reader: ChunkReader) -> DataFrame:
+    """A row per chunk of the plan: ``success``, ``json``, ``error``, ``processing_time``; a chunk that fails stops no other.
+
+    Chunks are rows, so those of one document are read side by side.
+    """
+    names = ["doc_id", "chunk_index", "page_start", "success", "json", "error", "processing_time"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for doc, chunk, first, last in zip(batch["doc_id"], batch["chunk_index"], batch["page_start"], batch["page_end"], strict=True):
+                began = time.monotonic()
+                try:
+                    got = (True, reader.read(doc, int(first), int(last)), None)
+                except Exception as e:  # a failed chunk is a row of its own
+                    got = (False, None, str(e))
+                out.append((doc, chunk, first, *got, time.monotonic() - began))
+            yield pd.DataFrame(out, columns=names)
+
+    kind = plan.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, chunk_index int, page_start int, success boolean, json string, error string, processing_time double"
+    return plan.select("doc_id", "chunk_index", "page_start", "page_end").mapInPandas(run, schema)
+
+
+def chunk_elements(results: DataFrame) -> DataFrame:
+    """The elements of the chunks that were read, their pages counted from the document's first."""
+    own = results.where("success").select(F.struct("doc_id", "chunk_index", F.col("page_start").alias("first")).alias("doc_id"), "json")
+    found = ocr_elements(own)
+    return found.select("doc_id.doc_id", "doc_id.chunk_index", (F.col("page") + F.col("doc_id.first") - 1).alias("page"), *found.columns[2:])
+
+
 def failure_reason(error: str = "error"):
     return F.when(F.contains(F.coalesce(F.col(error), F.lit("")), F.lit("disqualified")), "adobe_api_limit").otherwise("adobe_error")

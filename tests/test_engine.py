@@ -185,6 +185,30 @@ def test_ocr_json(spark):
     assert sorted(x.page for x in ocr.ocr_pages(frame).collect()) == [2, 3]
 
 
+def test_chunks_are_read_side_by_side(spark):
+    class OneBadChunk:
+        def read(self, doc_id, page_start, page_end):
+            if page_start == 94:
+                raise ValueError("no pages")
+            return '{"elements":[{"Text":"first","Page":0},{"Text":"last","Page":%d}]}' % (page_end - page_start)
+
+    plan = chunks.chunk_plan(spark.createDataFrame([(1, 250), (2, 80)], "doc_id long, total_pages int"))
+    read = ocr.read_chunks(plan, OneBadChunk())
+    assert sorted((r.doc_id, r.chunk_index, r.success, r.error) for r in read.collect()) == [(1, 0, True, None), (1, 1, False, "no pages"), (1, 2, True, None), (2, 0, True, None)]
+    found = ocr.chunk_elements(read).collect()
+    assert sorted((r.doc_id, r.page, r.text) for r in found) == [(1, 1, "first"), (1, 93, "last"), (1, 187, "first"), (1, 250, "last"), (2, 1, "first"), (2, 80, "last")]
+    costs = {r.doc_id: (r.num_chunks, r.successful_chunks, r.total_cost) for r in chunks.chunk_metrics(read).collect()}
+    assert costs == {1: (3, 2, 0.112), 2: (1, 1, 0.056)}
+
+
+def test_read_captions_and_remarks(spark):
+    want = {"table 3.1 - Sizes": ("3.1", "Sizes"), "3.1 Installation": ("3.1", "nstallation"), "A4 – abc": ("A4", None), "plain": (None, None), "": (None, None)}
+    got = spark.createDataFrame([(c,) for c in want], "caption string").select("caption", geometry.parse_read_caption().alias("p")).select("caption", "p.*").collect()
+    assert {r.caption: (r.table_number, r.title) for r in got} == want
+    notes = spark.createDataFrame([(["a", "", None, "b"],), ([],), (None,)], "n array<string>").select(C.remarks("n").alias("r")).collect()
+    assert [[tuple(x) for x in r.r] for r in notes] == [[("a", "NOTE"), ("b", "NOTE")], [], []]
+
+
 def test_whole_run_and_outputs(spark, tmp_path):
     out = process(catalog.lines(spark, SF), catalog.raw(spark, SF))
     s = out.summary.orderBy("doc_id").collect()
@@ -235,7 +259,7 @@ def rounded(rows):
     return sorted((tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in rows), key=repr)
 
 
-@pytest.mark.parametrize("name", ["clauses_strict", "clause_text", "issue_summary", "quality_filter", "link_cascade", "caption_parse", "region_text", "cell_grid", "merge_chunks", "normalized_text", "fallback_content", "ocr_elements", "clauses_json", "tables_json", "job_summary", "tables_only_summary"])
+@pytest.mark.parametrize("name", ["clauses_strict", "clause_text", "issue_summary", "quality_filter", "link_cascade", "caption_parse", "region_text", "cell_grid", "merge_chunks", "normalized_text", "fallback_content", "ocr_elements", "clauses_json", "tables_json", "job_summary", "tables_only_summary", "read_caption_parse", "note_coercion", "table_overlay", "crop_bands", "ocr_pages"])
 def test_queries_equal_their_sql(spark, duck, name):
     frame = catalog.QUERIES[name](spark, SF)
     result = duck.execute(catalog.ORACLES[name])
