@@ -190,7 +190,8 @@ def page_parents(rows: DataFrame) -> DataFrame:
 def strict_clauses(lines: DataFrame) -> DataFrame:
     """The strict dialect: roman sub-clauses, letters under the previous pages' last clause, one clause per number.
 
-    Of clauses with the same number the last one's values stay, at the first one's place.
+    Of clauses with the same number the last one's values stay, at the first one's place; map tasks
+    send one clause per number, however often it is repeated.
     """
     rows = line_text(lines).withColumns({"n": F.col("line").rlike(NUMBERED), "l": F.col("line").rlike(LETTER), "r": F.col("line").rlike(ROMAN)})
     rows = rows.withColumn("a", F.col("line").rlike(APPENDIX))
@@ -213,9 +214,9 @@ def strict_clauses(lines: DataFrame) -> DataFrame:
         "level": F.when(F.col("kind") == "L", dots(base) + 2).when(F.col("kind") == "R", dots(base) + 3).otherwise(dots("own") + 1).cast("int"),
         "body_text": F.when(sub, F.concat(lead, F.lit(" "), F.col("tail"))).otherwise(F.col("tail")),
     }).drop("own", "parent", "sign", "lead", "tail", "line")
-    same = W.partitionBy("doc_id", "clause_number")
-    last = F.row_number().over(same.orderBy(F.col("page").desc(), F.col("line_no").desc()))
-    c = c.withColumns({"rk": last, "place": F.min(F.struct("page", "line_no")).over(same)}).where("rk = 1").drop("rk")
+    place = F.struct("page", "line_no")
+    values = F.struct(*(x for x in c.columns if x not in ("doc_id", "clause_number")))
+    c = c.groupBy("doc_id", "clause_number").agg(F.max_by(values, place).alias("v"), F.min(place).alias("place")).select("doc_id", "clause_number", "v.*", "place")
     return _finish(c)
 
 
