@@ -15,8 +15,6 @@ MAGIC = b"WARC/1.0\r\n"
 MIN_REVISIT = 1000
 FILE_BYTES = 32 << 20
 CHUNK = 1 << 20
-#: A header block longer than this is no record's.
-MAX_HEADER = 1 << 16
 #: Spark reads a file of an archive as one binary value, which may have this many bytes.
 MAX_FILE = (1 << 31) - (1 << 20)
 MAX_ROUNDS = 40
@@ -67,7 +65,7 @@ def record(date: str = "2024-01-01T00:00:00Z") -> Column:
 
 def write_archives(records: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> None:
     """Writes records as uncompressed WARC files of about ``file_bytes``; the blank lines after a record are the line separator."""
-    mean = records.agg(F.avg("bytes").alias("m")).first()["m"] or 0
+    mean = records.agg(F.avg(F.col("bytes") + F.coalesce(F.octet_length("url"), F.lit(0))).alias("m")).first()["m"] or 0
     per_file = max(1, int(file_bytes // (mean + 600)))
     records.select(record().alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", per_file).text(path)
 
@@ -75,13 +73,23 @@ def write_archives(records: DataFrame, path: str, file_bytes: int = FILE_BYTES)
 _FIELD = re.compile(rb"(?im)^(warc-type|warc-record-id|warc-refers-to|warc-payload-digest|warc-payload-length|content-length|warc-target-uri):[ \t]*([^\r\n]*)\r$")
 
 
-def parse_header(data: bytes, at: int) -> tuple[int, dict[bytes, bytes]] | None:
-    """End of the header block that starts at a magic, and its fields; None if there is no sound one."""
-    end = data.find(b"\r\n\r\n", at, at + MAX_HEADER)
-    if end < 0:
-        return None
-    fields = {m[1].lower(): m[2] for m in _FIELD.finditer(data, at + len(MAGIC), end + 2)}
-    return (end + 4, fields) if fields.get(b"content-length", b"").isdigit() else None
+def headers(data: bytes):
+    """(offset, end of the header block, fields) of every magic that a sound header of any length follows.
+
+    Magics before the same blank line share its end; their fields are read once, and each has those
+    behind it, so the time is in proportion to the length.
+    """
+    at, end, last = data.find(MAGIC), -1, {}
+    while at >= 0:
+        if end < at:
+            end = data.find(b"\r\n\r\n", at)
+            if end < 0:
+                return
+            last = {m[1].lower(): (m.start(), m[2]) for m in _FIELD.finditer(data, at + len(MAGIC), end + 2)}
+        fields = {k: v for k, (place, v) in last.items() if place >= at + len(MAGIC)}
+        if fields.get(b"content-length", b"").isdigit():
+            yield at, end + 4, fields
+        at = data.find(MAGIC, at + 1)
 
 
 def candidates(data: bytes, chunk: int = CHUNK):
@@ -90,16 +98,11 @@ def candidates(data: bytes, chunk: int = CHUNK):
     A place counts if a magic stands there, a sound header follows, and the block that the header
     announces ends with blank lines inside the file.
     """
-    at = data.find(MAGIC)
-    while at >= 0:
-        head = parse_header(data, at)
-        if head:
-            start, fields = head
-            end = start + int(fields[b"content-length"])
-            if end + 4 <= len(data) and data[end : end + 4] == b"\r\n\r\n":
-                http = data.find(b"\r\n\r\n", start, end)
-                yield at, end + 4, fields, (data[http + 4 : end] if http >= 0 else b"")
-        at = data.find(MAGIC, at + 1)
+    for at, start, fields in headers(data):
+        end = start + int(fields[b"content-length"])
+        if end + 4 <= len(data) and data[end : end + 4] == b"\r\n\r\n":
+            http = data.find(b"\r\n\r\n", start, end)
+            yield at, end + 4, fields, (data[http + 4 : end] if http >= 0 else b"")
 
 
 def chunk_forest(found: list[tuple[int, int]], chunk: int = CHUNK) -> list[tuple[int, int, int, int]]:
@@ -139,9 +142,13 @@ _SCANNED = (
 )
 
 
+def archive_files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path)
+
+
 def scan_archives(spark: SparkSession, path: str, chunk: int = CHUNK, with_payload: bool = False) -> DataFrame:
     """A row per candidate record of all files under path, sound or not."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path)
+    files = archive_files(spark, path)
     schema = _SCANNED + ", payload binary" * with_payload
 
     def run(batches):
@@ -188,15 +195,26 @@ def reachable_entries(found: DataFrame) -> DataFrame:
     raise RuntimeError("chains did not settle")
 
 
+def check_ends(files: DataFrame, reached: DataFrame) -> None:
+    """Raises if the chain from some file's start does not end at the file's end."""
+    ends = reached.groupBy("path").agg(F.max("at").alias("ends"))
+    short = files.select("path", "length").join(ends, "path", "left").where("length <> coalesce(ends, 0)").first()
+    if short:
+        raise ValueError(f"{short['path']}: the records end at byte {short['ends'] or 0} of {short['length']}")
+
+
 def read_archives(spark: SparkSession, path: str, chunk: int = CHUNK, with_payload: bool = False) -> DataFrame:
     """The records of the WARC files under path: candidates that the chain from a file's start passes.
 
     Magic inside a payload gives a candidate at most, which no chain from a file's start passes.
-    Files may have up to 2 GB (one binary value each); an empty folder gives no rows.
+    Files may have up to 2 GB (one binary value each); an empty folder gives no rows. A file whose
+    records do not reach its end is an error.
     """
     found = scan_archives(spark, path, chunk, with_payload)
     found = found if with_payload else found.checkpoint()
-    entries = reachable_entries(found).select("path", (F.col("at") / F.lit(chunk)).cast("long").alias("chunk"), F.col("at").alias("enters"))
+    reached = reachable_entries(found)
+    check_ends(archive_files(spark, path), reached)
+    entries = reached.select("path", (F.col("at") / F.lit(chunk)).cast("long").alias("chunk"), F.col("at").alias("enters"))
     entry = found.select("path", F.col("at").alias("enters"), F.col("pre").alias("enter_pre")).join(entries, ["path", "enters"])
     return found.join(entry.drop("enters"), ["path", "chunk"]).where("enter_pre BETWEEN pre AND post").drop("enter_pre")
 

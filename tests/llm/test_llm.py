@@ -315,6 +315,38 @@ def test_warc_round_trip_with_magic_in_payloads(spark, tmp_path, monkeypatch):
     assert warc.archive_round_trip(pages.limit(0)).count() == 0
 
 
+def test_warc_long_urls_and_broken_chains(spark, tmp_path):
+    urls = ["http://e/" + "q" * 100_000, "http://e/1", "data:," + "x" * 70_000, "http://e/3"]
+    pages = spark.createDataFrame([(i, u, f"body {i}") for i, u in enumerate(urls)], "page_id long, url string, html string").coalesce(1)
+    got = warc.archive_round_trip(pages, keep_at=str(tmp_path / "w")).collect()
+    assert sorted((r.page_id, r.payload_bytes) for r in got) == [(i, 6) for i in range(4)]
+    data = next((tmp_path / "w").glob("part-*")).read_bytes()
+    at = [x[0] for x in warc.candidates(data)]
+    for k, broken in enumerate((data[:-3], data[: at[2]] + b"junk" + data[at[2] :], b"junk" + data, b"junk")):
+        (tmp_path / f"b{k}").mkdir()
+        (tmp_path / f"b{k}" / "part-0").write_bytes(broken)
+        with pytest.raises(ValueError, match="records end at byte"):
+            warc.read_archives(spark, str(tmp_path / f"b{k}"))
+
+
+def test_warc_headers_in_time_and_as_one_by_one():
+    import time
+
+    def one(data, at):
+        end = data.find(b"\r\n\r\n", at)
+        fields = {m[1].lower(): m[2] for m in warc._FIELD.finditer(data, at + len(warc.MAGIC), end + 2)} if end >= 0 else {}
+        return [(at, end + 4, fields)] if fields.get(b"content-length", b"").isdigit() else []
+
+    rng = random.Random(8)
+    parts = [warc.MAGIC, b"Content-Length: 2\r\n", b"WARC-Type: a\r\n", b"\r\n", b"x", b"content-length: 31\r\n"]
+    for _ in range(300):
+        data = b"".join(rng.choice(parts) for _ in range(rng.randint(0, 30)))
+        assert [*warc.headers(data)] == [x for m in re.finditer(re.escape(warc.MAGIC), data) for x in one(data, m.start())]
+    began = time.time()
+    assert len([*warc.headers(warc.MAGIC * 200_000 + b"Content-Length: 0\r\n\r\n")]) == 200_000
+    assert time.time() - began < 5
+
+
 # --- 7 ---------------------------------------------------------------------------------------
 
 
