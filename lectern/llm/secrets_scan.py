@@ -17,11 +17,13 @@ ASSIGN = re.compile(
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 #: Maximal runs, as a greedy match of any length followed by a test of its length would give.
 HEX = re.compile(r"[0-9a-f]{24,}")
-CONTEXT = re.compile(
-    r"""(?<![A-Za-z0-9])(?:passwords?|passwd|passphrase|pwd|secrets?|tokens?|credentials?|(?:api|access|private|auth|signing|encryption)[_-]?key)"""
-    r"""["']?[\x20\t]*(?::=|=>|[:=])[\x20\t]*(?:"([^"\r\n]+)"|'([^'\r\n]+)'|([^\s"'<>,;)\]}]+))""",
+#: A keyword anywhere in a name, with the rest of the name: clientSecret, SECRET_KEY.
+NAME = re.compile(
+    r"""(?:passw(?:ord|d)|passphrase|pwd|secret|token|credential|(?:api|access|private|auth|signing|encryption)[_-]?key)[A-Za-z0-9_-]*+""",
     re.IGNORECASE | re.ASCII,
 )
+SIGN = re.compile(r"""["']?[\x20\t]*(?::=|=>|[:=])[\x20\t]*""")
+VALUE = re.compile(r""""([^"\r\n]+)"|'([^'\r\n]+)'|([^\s"'<>,;)\]}]+)""", re.ASCII)
 #: A text without any of these (in lower case) has no assignment and no credential context.
 HINTS = ("passw", "passphrase", "pwd", "secret", "token", "credential", "key")
 KINDS = ("assign", "access", "hex", "guess")
@@ -163,12 +165,20 @@ def base_spans(text: str, hinted: bool = True) -> list[tuple[int, int, int]]:
 
 
 def guess_spans(text: str, least: float = MIN_LOG10_GUESSES) -> list[tuple[int, int, int, float]]:
-    """(start, kind, end, log10 guesses) of the values in credential contexts that are hard to guess."""
-    out = []
-    for m in CONTEXT.finditer(text):
-        a, b = next(s for s in (m.span(1), m.span(2), m.span(3)) if s[0] >= 0)
-        if b - a >= MIN_VALUE and (cost := log10_guesses(text[a:b])) >= least:
-            out.append((a, 3, b, cost))
+    """(start, kind, end, log10 guesses) of the values in credential contexts that are hard to guess.
+
+    Names are read once each, whatever their length. A value that is easy to guess may hold names
+    with values of their own (``tokens: pwd: ...``); one that is a span holds no other.
+    """
+    out, done = [], 0
+    for name in NAME.finditer(text):
+        sign = SIGN.match(text, name.end())
+        value = VALUE.match(text, sign.end()) if sign and sign.end() >= done else None
+        if value:
+            a, b = value.span(value.lastindex)
+            if b - a >= MIN_VALUE and (cost := log10_guesses(text[a:b])) >= least:
+                out.append((a, 3, b, cost))
+                done = b
     return out
 
 
@@ -189,8 +199,8 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per document: id, ``n_assign``, ``n_access``, ``n_hex``, ``n_guess``, ``base_sha256``, ``spans``, ``max_log10_guesses``.
 
     Base spans are whole pattern matches, leftmost and non-overlapping per kind. The method adds a
-    span of kind ``guess`` for each value in a credential context (a wider set of names, quoting and
-    characters than the base's) whose cheapest segmentation takes ``10**least`` guesses or more;
+    span of kind ``guess`` for each value in a credential context (a wider set of names, with anything
+    before and after the keyword, quoting and characters than the base's) whose cheapest segmentation takes ``10**least`` guesses or more;
     placeholders such as ``password = changeme123`` stay below. Offsets are code points in the whole
     text, ends exclusive. Null and empty texts have no spans (null ``max_log10_guesses``); a row is
     scanned on its own, with no shuffle, and repeated rows give repeated rows.

@@ -106,6 +106,27 @@ def test_secret_scan_of_awkward_texts():
     assert [(a, b) for a, _, b, _ in found] == [(15, 27)]
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        'dbPassword = "x9$Kq!vR2#mT"', '"clientSecret": "p$7&kQ!z0@Lw#9"', "accessToken: x9$Kq!vR2#mT", "USERPASSWORD='x9$Kq!vR2#mT'", 'SECRET_KEY = "x9$Kq!vR2#mT"',
+        "secret_" + "k" * 100 + "=x9$Kq!vR2#mT", "myApiKeyForProd := x9$Kq!vR2#mT", "tokenNames: pwd: x9$Kq!vR2#mT", 'a_secretName:password="x9$Kq!vR2#mT"', "passwords => x9$Kq!vR2#mT",
+    ],
+)
+def test_secret_names_around_the_keyword(text):
+    value = "p$7&kQ!z0@Lw#9" if "clientSecret" in text else "x9$Kq!vR2#mT"
+    assert [text[a:b] for a, _, b, _ in secrets_scan.guess_spans(text)] == [value]
+
+
+def test_secret_names_in_linear_time():
+    import time
+
+    began = time.time()
+    for t in ("secret" * 100_000, "password-token_" * 50_000 + "!", "pwd=" * 30_000, "secret:" * 30_000, "token " + " " * 300_000 + "token", "token=" + "k" * 100_000):
+        secrets_scan.guess_spans(t)
+    assert time.time() - began < 20
+
+
 def test_secret_scan_rows(spark):
     t = 'db_password: "x9$Kq!vR2#mT" and pwd=changeme123 secret=aaaaaaa1'
     got = secrets_scan.secret_scan(docs(spark, [t, None, "", "clean text", t], [1, 2, 3, 4, 1])).collect()
