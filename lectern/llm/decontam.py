@@ -12,7 +12,11 @@ from .common import SHINGLE_WORDS, SIMILARITY, U64, folded, mix64, multipliers,
 HASHES = 40
 FACTORS = multipliers(HASHES, 23)
 _TAGS = mix64(np.arange(1, HASHES + 1, dtype=U64))
-LEAST_CLASS = 8
+#: Items of up to this many shingle positions are found by shingles of theirs, not by minima of windows.
+SHORT = 8
+LEAST_CLASS = 2 * SHORT
+#: The size that stands for items found by their shingles.
+BY_SHINGLES = 0
 #: The filter of item keys has 2**24 to 2**27 bits (16 MB), whatever the number of items.
 FILTER_BITS = (24, 27)
 #: Words of documents whose minima are taken together.
@@ -32,6 +36,25 @@ def keys_of(least: np.ndarray, size: int) -> np.ndarray:
     return mix64(least ^ _TAGS ^ U64(size * 0x9E3779B9))
 
 
+def shingle_keys(values: np.ndarray) -> np.ndarray:
+    """64-bit keys of single shingles."""
+    return mix64(values ^ U64(0xC2B2AE3D27D4EB4F))
+
+
+def item_keys(at: np.ndarray, threshold: float) -> tuple[int, np.ndarray]:
+    """Size and keys of an item with the given shingle values.
+
+    Of an item's n distinct shingles a document must hold ceil(threshold * n), so it holds one at
+    least of any n + 1 less that many: these are the keys of short items, and of those that repeat
+    so many shingles that their minima would seldom equal a window's. None of their pairs is missed.
+    """
+    own, size = np.unique(at), size_class(len(at))
+    if len(at) > SHORT and 2 * len(own) > size:
+        return size, keys_of(np.array([(at * f).min() for f in FACTORS], dtype=U64), size)
+    needed = max(1, int(np.ceil(threshold * len(own) - 1e-9)))
+    return BY_SHINGLES, shingle_keys(own[: max(1, len(own) - needed + 1)])
+
+
 def block_minima(documents: list[np.ndarray], size: int) -> list[np.ndarray]:
     """For each document's shingle values (blocks, HASHES): the least of each hash over every stretch of ``size`` positions."""
     counts = [-(-len(v) // size) for v in documents]
@@ -71,7 +94,7 @@ def in_filter(bitmap: np.ndarray, log2: int, keys: np.ndarray) -> np.ndarray:
     return hit[((bitmap[(two >> U64(6)).astype(np.int64)] >> (two & U64(63))) & U64(1)).astype(bool)]
 
 
-def index_items(items: DataFrame, item_col: str, text_col: str) -> DataFrame:
+def index_items(items: DataFrame, item_col: str, text_col: str, threshold: float = SIMILARITY) -> DataFrame:
     """``(item, size, keys, shingles)`` of the items that have five words or more."""
 
     def run(batches):
@@ -81,9 +104,8 @@ def index_items(items: DataFrame, item_col: str, text_col: str) -> DataFrame:
                 words = words_of(folded(text.as_py()))[0]
                 if len(words) >= SHINGLE_WORDS:
                     at = shingle_positions(words)
-                    size = size_class(len(at))
-                    least = np.array([(at * f).min() for f in FACTORS], dtype=U64)
-                    rows.append((item, size, keys_of(least, size).view(np.int64), np.unique(at).tobytes()))
+                    size, keys = item_keys(at, threshold)
+                    rows.append((item, size, keys.view(np.int64), np.unique(at).tobytes()))
             cols = list(zip(*rows, strict=True)) or [[], [], [], []]
             kinds = [batch.schema.field(0).type, pa.int64(), pa.list_(pa.int64()), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["item", "size", "keys", "shingles"])
@@ -116,10 +138,12 @@ def contained_items(
 
     A row per pair: id, item id, ``n_shared``, ``n_item``, ``containment``. Long documents against
     short items have a Jaccard similarity near zero, which MinHash cannot find; so items are parted by
-    size (powers of two of shingle positions), and for each size that occurs documents are cut into
+    size (powers of two of shingle positions, from 16), and for each size that occurs documents are cut into
     windows of twice that size, one size apart: a passage of an item lies whole in one of them, with a
     similarity of 0.19 at the least (0.25 for a whole passage). One of 40 equal MinHash values makes
-    a candidate: 0.02 % of pairs at the bound are missed, 0.001 % of whole passages.
+    a candidate: 0.02 % of pairs at the bound are missed, 0.001 % of whole passages. Items of up to 8
+    positions, and those that repeat their shingles, are looked up by their shingles instead, and
+    none of their pairs is missed (:func:`item_keys`).
 
     Every document is read once; window keys that pass a filter of the items' keys (16 MB at most, a
     fixed bound) leave the scan, with the shingles of their document. Key and id joins follow, which
@@ -132,8 +156,9 @@ def contained_items(
     prepare(spark)
     kind = docs.schema[id_col].dataType.simpleString()
     item_kind = items.schema[item_col].dataType.simpleString()
-    index = index_items(items, item_col, item_text_col).checkpoint()
+    index = index_items(items, item_col, item_text_col, threshold).checkpoint()
     sizes = sorted(r["size"] for r in index.select("size").distinct().collect())  # one per power of two
+    by_shingles, windowed = BY_SHINGLES in sizes, [x for x in sizes if x != BY_SHINGLES]
     if not sizes:
         return spark.createDataFrame([], f"{id_col} {kind}, {item_col} {item_kind}, n_shared long, n_item long, containment double")
     shared = spark.sparkContext.broadcast(_filter(index))
@@ -148,8 +173,9 @@ def contained_items(
                     held.append((doc, shingle_positions(words)))
                     waiting += len(words)
                 if held and (text is None or waiting >= AT_ONCE):
-                    for (own, at), least in zip(held, block_minima([v for _, v in held], sizes[0]), strict=True):
-                        every = window_keys(least, sizes)
+                    minima = block_minima([v for _, v in held], windowed[0]) if windowed else [None] * len(held)
+                    for (own, at), least in zip(held, minima, strict=True):
+                        every = np.concatenate([*([window_keys(least, windowed)] if windowed else []), *([shingle_keys(at)] if by_shingles else [])])
                         hits = every[in_filter(bitmap, log2, every)]
                         if len(hits):
                             ids.append(own)

@@ -391,6 +391,35 @@ def test_contained_items_equal_brute_force(spark):
     assert decontam.contained_items(frame, bench.limit(0)).count() == 0 and decontam.contained_items(docs(spark, []), bench).count() == 0
 
 
+def test_short_and_repetitive_items_are_never_missed(spark):
+    rng = random.Random(12)
+    items = [sentence(rng, 5 + k % 8) for k in range(120)] + ["again and again " * 6, "one two three four five six " * 4 + "seven", "no no no no no no no no no no no no no"]
+    texts = [sentence(rng, 60) + " " + " ".join(q.split()[: len(q.split()) - k % 2]) + " " + sentence(rng, 60) for k, q in enumerate(items)] + [" ".join(items)]
+    sets = [set(common.shingles(t).tolist()) for t in texts]
+    want = set()
+    for j, q in enumerate(items):
+        own = set(common.shingles(q).tolist())
+        want |= {(i, j) for i, s in enumerate(sets) if len(own & s) >= 0.8 * len(own) - 1e-9}
+    for least in (0, 100):  # short items alone, and among long ones
+        more = [(1000 + k, sentence(rng, 40)) for k in range(least)]
+        bench = spark.createDataFrame([*enumerate(items), *more], "item_id long, text string")
+        got = [(r.doc_id, r.item_id) for r in decontam.contained_items(docs(spark, texts), bench).collect()]
+        assert len(got) == len(want) and set(got) == want
+
+
+@pytest.mark.parametrize("n", range(1, 10))
+@pytest.mark.parametrize("threshold", [0.3, 0.8, 1.0])
+def test_keys_of_short_items_meet_every_match(n, threshold):
+    values = np.arange(100, 100 + n, dtype=common.U64)
+    size, keys = decontam.item_keys(values[: min(n, 8)], threshold)
+    assert size == decontam.BY_SHINGLES
+    own = values[: min(n, 8)]
+    for k in range(1, len(own) + 1):
+        for part in combinations(own.tolist(), k):
+            if k >= threshold * len(own) - 1e-9:
+                assert np.isin(decontam.shingle_keys(np.array(part, dtype=common.U64)), keys).any()
+
+
 # --- 8 and 10 --------------------------------------------------------------------------------
 
 
