@@ -19,40 +19,65 @@ LEAST_STEPS = 600
 WINDOW, STRIDE = 32, 24
 HIDDEN, WORD_DIM, CHAR_DIM = 8, 8, 8
 WORD_ROWS, CHAR_ROWS = 1 << 12, 1 << 13
-#: Character runs of a word that are looked up: 2 to 4 bytes, up to this many places from its start.
-GRAMS, PLACES = (2, 3, 4), 12
+#: Character runs of a word that are looked up, in bytes: all of them, wherever they start.
+GRAMS = (2, 3, 4)
+#: A longer word (a sentence without spaces) is so many bytes at a time a place of its own in the windows; each
+#: piece but the first begins LAP bytes early, so that every run is whole in one of them.
+PIECE, LAP = 16, max(GRAMS) - 1
 WINDOWS_AT_ONCE = 2048
 #: Distinct words whose inputs a task keeps between batches (50 MB).
 KEPT_WORDS = 1 << 18
 TEXTS_AT_ONCE = 500
 
 
-def _char_rows(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """(words, len(GRAMS) * PLACES) rows of the character table, 0 where a run does not fit; a mark before a word's start tells prefixes apart."""
-    width = PLACES + max(GRAMS)
-    at = start[:, None] + np.arange(width) - 1
-    chars = np.where((at >= start[:, None]) & (at < end[:, None]), data[np.clip(at, 0, max(0, len(data) - 1))], 0).astype(U64)
-    chars[:, 0] = 1
-    length = np.minimum(end - start + 1, width)
-    out = np.zeros((len(start), len(GRAMS) * PLACES), dtype=np.int32)
+def _char_rows(data: np.ndarray, start: np.ndarray, end: np.ndarray, lead: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the character table, of all words one after another, and how many each has; where lead is 1 a mark before the start tells prefixes apart."""
+    size = end - start + lead
+    begin = np.cumsum(size) - size
+    owner = np.repeat(np.arange(len(size)), size)
+    nth = np.arange(len(owner)) - begin[owner]
+    chars = np.zeros(len(owner) + LAP, dtype=U64)
+    chars[: len(owner)] = data[np.maximum(start[owner] + nth - lead[owner], 0)]
+    chars[begin[lead == 1]] = 1
+    left = size[owner] - nth
+    out = np.zeros((len(owner), len(GRAMS)), dtype=np.int32)
     for g, n in enumerate(GRAMS):
-        acc = np.full((len(start), PLACES), U64(n))
+        acc = np.full(len(owner), U64(n))
         for k in range(n):
-            acc = acc * U64(0x100000001B3) + chars[:, k : k + PLACES]
-        rows = (mix64(acc) % U64(CHAR_ROWS - 1)).astype(np.int32) + 1
-        out[:, g * PLACES : (g + 1) * PLACES] = np.where(np.arange(PLACES) + n <= length[:, None], rows, 0)
-    return out
+            acc = acc * U64(0x100000001B3) + chars[k : k + len(owner)]
+        out[:, g] = np.where(left >= n, (mix64(acc) % U64(CHAR_ROWS - 1)).astype(np.int32) + 1, 0)
+    there = out > 0
+    return out[there], np.add.reduceat(there.sum(axis=1), begin)
+
+
+def places_of(folded_bytes: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, start, end and lead (1: begins a word) of every word of folded bytes, long words in pieces."""
+    h, s, e = words_of(folded_bytes)
+    count = -(-(e - s) // PIECE)
+    owner = np.repeat(np.arange(len(h)), count)
+    nth = np.arange(len(owner)) - (np.cumsum(count) - count)[owner]
+    start, end = s[owner] + nth * PIECE - LAP * (nth > 0), np.minimum(e[owner], s[owner] + (nth + 1) * PIECE)
+    hashes, lead = h[owner], (nth == 0).astype(np.int64)
+    cut = np.flatnonzero(count[owner] > 1)
+    if len(cut):
+        data = np.frombuffer(folded_bytes, dtype=np.uint8)
+        acc = mix64(lead[cut].astype(U64) + U64(0x632BE59BD9B4E019))
+        for k in range(PIECE + LAP):
+            at = start[cut] + k
+            own = np.where(at < end[cut], data[np.minimum(at, len(data) - 1)].astype(U64) + U64(1), U64(0))
+            acc = (acc ^ own) * U64(0x9E3779B97F4A7C15)
+            acc ^= acc >> U64(29)
+        hashes[cut] = mix64(acc)
+    return hashes, start, end, lead
 
 
 class WordRows:
     """Rows of the embedding tables for some words: one each of the word table, and a run of the character table's."""
 
-    def __init__(self, words, data, start, end):
+    def __init__(self, words, data, start, end, lead):
         self.word_rows = (words % U64(WORD_ROWS - 1)).astype(np.int32) + 1
-        rows = _char_rows(data, start, end) if len(words) else np.zeros((0, 1), np.int32)
-        there = rows > 0
-        self.count = there.sum(axis=1)
-        self.rows = rows[there]  # of all words, one after another; every word has one at least
+        none = np.zeros(0, np.int32), np.zeros(0, np.int64)
+        self.rows, self.count = _char_rows(data, start, end, lead) if len(words) else none  # every word has one at least
         self.begin = np.cumsum(self.count) - self.count
 
 
@@ -60,13 +85,14 @@ class Vocabulary:
     """The distinct words of a batch of texts, and each text as places in it (0 is padding)."""
 
     def __init__(self, texts):
-        hashes, starts, ends, data, offset, sizes = [], [], [], [], 0, []
+        hashes, starts, ends, leads, data, offset, sizes = [], [], [], [], [], 0, []
         for text in texts:
             own = folded(text)
-            h, s, e = words_of(own)
+            h, s, e, lead = places_of(own)
             hashes.append(h)
             starts.append(s + offset)
             ends.append(e + offset)
+            leads.append(lead)
             sizes.append(len(h))
             data.append(own)
             offset += len(own)
@@ -78,9 +104,10 @@ class Vocabulary:
         none = np.zeros(0, np.int64)
         self.start = np.concatenate(starts)[first] if hashes else none
         self.end = np.concatenate(ends)[first] if hashes else none
+        self.lead = np.concatenate(leads)[first] if hashes else none
 
     def part(self, words: np.ndarray) -> WordRows:
-        return WordRows(self.words[words], self.data, self.start[words], self.end[words])
+        return WordRows(self.words[words], self.data, self.start[words], self.end[words], self.lead[words])
 
     def windows(self) -> tuple[np.ndarray, np.ndarray]:
         """(windows, WINDOW) places, and the text of each window: all overlapping windows; a text without words has one of padding."""
@@ -326,7 +353,8 @@ def toxicity_scores(
     """One row per document: id, ``held_out``, ``score`` (0 to 1), ``predicted`` (1 if the score is 0.5 or more), ``n_windows``.
 
     The score is that of the highest of all overlapping windows (32 words, 24 apart) over the whole
-    text. The network is trained on the driver on at most 3,000 labelled documents of up to 200,000
+    text, and of a word all character runs count; each 16 bytes of a longer word are as a word in the
+    windows. The network is trained on the driver on at most 3,000 labelled documents of up to 200,000
     characters outside the held-out fold; its weights (0.4 MB) go to the tasks. Null and empty texts
     have one window of padding. Without labels, or with one class only, all scores are that class's.
     Repeated rows give repeated rows; a null id is not held out. An empty table gives no rows.

@@ -294,6 +294,35 @@ def test_gradients_are_slopes():
         assert slope == pytest.approx(float(g[name][at]), rel=0.15, abs=2e-4), name
 
 
+def test_every_character_run_of_a_word_is_looked_up():
+    rng = random.Random(5)
+    for word in ("a", "ab", "x" * 14 + "zorgwub", "q" * 32, "q" * 33, "Donaudampfschifffahrtsgesellschaft", "これは空白のない長い文です" * 9, "".join(rng.choice("abcde") for _ in range(3000))):
+        data = np.frombuffer(common.folded(word), dtype=np.uint8)
+        v = toxicity.Vocabulary([word])
+        got = v.part(np.arange(len(v.words)))
+        marked, want = [1, *data.tolist()], set()
+        for n in toxicity.GRAMS:
+            for i in range(len(marked) - n + 1):
+                acc = n
+                for c in marked[i : i + n]:
+                    acc = (acc * 0x100000001B3 + c) & common.MASK64
+                want.add(int(common.mix64(np.array([acc], dtype=common.U64))[0]) % (toxicity.CHAR_ROWS - 1) + 1)
+        assert {*got.rows.tolist()} == want and got.count.min() >= 1 and got.count.sum() == len(got.rows)
+    assert len(toxicity.Vocabulary(["q" * 40, "q" * 40 + " " + "q" * 40]).words) == -(-40 // toxicity.PIECE)
+
+
+def test_toxic_words_behind_others_in_a_long_one():
+    rng = random.Random(6)
+    bad = ["zorgwub", "vuxqekk", "wyzzyrp"]
+    texts = [sentence(rng, 40) + (" " + bad[k % 3] if k % 2 else "") + " " + sentence(rng, 40) for k in range(400)]
+    net = toxicity.Network().fit(texts, np.array([k % 2 for k in range(400)]))
+    glued = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    probes = [sentence(rng, 30) + " " + glued(18 + k) + bad[k % 3] + " " + sentence(rng, 30) for k in range(30)]
+    clean = [sentence(rng, 30) + " " + glued(25 + k) + " " + sentence(rng, 30) for k in range(30)]
+    caught, wrong = (int((net.scored(x)[1] >= 0.5).sum()) for x in (probes, clean))
+    assert caught >= 24 and wrong <= 6, (caught, wrong)
+
+
 def test_toxicity_held_out(spark):
     d, labels = (common.table(spark, "/root/testdata/sf0.01", t) for t in ("documents", "labels"))
     got = toxicity.toxicity_scores(d, labels).join(labels, "doc_id").where("held_out").collect()
