@@ -16,7 +16,7 @@ SAMPLE = 3_000
 EPOCHS, DOCS_PER_STEP, SEED = 8, 32, 7
 #: A small sample is gone through more often, for about this many steps.
 LEAST_STEPS = 600
-WINDOW, STRIDE = 32, 24
+WINDOW, STRIDE = 32, 16
 HIDDEN, WORD_DIM, CHAR_DIM = 8, 8, 8
 WORD_ROWS, CHAR_ROWS = 1 << 12, 1 << 13
 #: Character runs of a word that are looked up, in bytes: all of them, wherever they start.
@@ -352,7 +352,7 @@ def toxicity_scores(
 ) -> DataFrame:
     """One row per document: id, ``held_out``, ``score`` (0 to 1), ``predicted`` (1 if the score is 0.5 or more), ``n_windows``.
 
-    The score is that of the highest of all overlapping windows (32 words, 24 apart) over the whole
+    The score is that of the highest of all overlapping windows (32 words, 16 apart) over the whole
     text, and of a word all character runs count; each 16 bytes of a longer word are as a word in the
     windows. The network is trained on the driver on at most 3,000 labelled documents of up to 200,000
     characters outside the held-out fold; its weights (0.4 MB) go to the tasks. Null and empty texts

@@ -323,6 +323,14 @@ def test_toxic_words_behind_others_in_a_long_one():
     assert caught >= 24 and wrong <= 6, (caught, wrong)
 
 
+@pytest.mark.parametrize("n", [1, 17, 32, 33, 100, 161])
+def test_passages_of_half_a_window_lie_whole_in_one(n):
+    v = toxicity.Vocabulary([" ".join(f"w{k}" for k in range(n))])
+    windows = [{*w.tolist()} - {0} for w in v.windows()[0]]
+    runs = [{*v.places[k : k + 16].tolist()} for k in range(max(1, n - 15))]
+    assert all(any(run <= w for w in windows) for run in runs)
+
+
 def test_toxicity_held_out(spark):
     d, labels = (common.table(spark, "/root/testdata/sf0.01", t) for t in ("documents", "labels"))
     got = toxicity.toxicity_scores(d, labels).join(labels, "doc_id").where("held_out").collect()
