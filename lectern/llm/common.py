@@ -8,13 +8,16 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 
-#: Rows in an Arrow batch. Texts can be long: Spark's own byte limit for a batch also holds.
-BATCH_ROWS = 2000
+#: A key that holds more than a thousandth of all rows is joined by broadcast: by counting, there are fewer than HOT such keys.
+HOT = 1000
+#: Tables of at most so many narrow rows (under 10 MB) are broadcast once they have been counted; larger ones are shuffled.
+BROADCAST_ROWS = 100_000
 
 U64 = np.uint64
 MASK64 = (1 << 64) - 1
@@ -25,18 +28,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Small Arrow batches, and a checkpoint folder if the session has none."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Names a checkpoint folder if the session has none; no other setting is touched."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_folder(spark))
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share, from ``spark.checkpoint.dir``."""
+    """The folder that the driver and all executors share, from ``spark.checkpoint.dir``.
+
+    Only where driver and executors are one process may it be missing: then it is a temporary folder.
+    """
     sc = spark.sparkContext
-    own = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    return own or sc.getCheckpointDir() or tempfile.mkdtemp(prefix="lectern-")
+    own = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if own:
+        return own
+    if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="lectern-")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -49,6 +58,51 @@ def remove_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+# --- joins ---------------------------------------------------------------------------------
+
+
+def if_small(frame: DataFrame) -> DataFrame:
+    """The (materialised, narrow) frame, to be broadcast if a count shows that it is small."""
+    return F.broadcast(frame) if frame.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else frame
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, n: str, total: int, how: str = "inner", counted: bool = False) -> DataFrame:
+    """Joins rows with (materialised) groups, one row per key, where ``n`` is how many of the ``total`` rows have the key.
+
+    Keys that many rows share never meet in one task: those with more than a thousandth of all rows
+    are broadcast (fewer than HOT, as their rows add up to the total), the others are shuffled.
+    ``counted``: groups are counted first, and broadcast whole if they are few.
+    """
+    if counted and groups.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(groups), key, how)
+    bound = F.lit(max(total // HOT, HOT))
+    first = rows.join(F.broadcast(groups.where(F.col(n) > bound)), key, "left")
+    others = first.where(F.col(n).isNull()).select(*rows.columns).join(groups.where(F.col(n) <= bound), key, how)
+    return first.where(F.col(n).isNotNull()).unionByName(others)
+
+
+def row_key(text_col: str) -> Column:
+    """What tells rows with the same id apart: a 64-bit hash of the text."""
+    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.col(text_col).isNull())
+
+
+def without_rows(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of docs whose id (null equals null) and :func:`row_key` are not together in ``gone`` (``id``, ``x``)."""
+    gone = gone.select(F.col("id").alias("_gone_id"), F.col("x").alias("_gone_x"))
+    return docs.join(if_small(gone.distinct()), docs[id_col].eqNullSafe(F.col("_gone_id")) & (row_key(text_col) == F.col("_gone_x")), "left_anti")
+
+
+def one_of_repeated(docs: DataFrame, repeated: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Of the rows whose id and :func:`row_key` are in ``repeated`` (``id``, ``x``), one each stays; all others stay."""
+    if repeated.isEmpty():
+        return docs
+    again = if_small(repeated.select(F.col("id").alias("_gone_id"), F.col("x").alias("_gone_x")).distinct())
+    same = docs[id_col].eqNullSafe(F.col("_gone_id")) & (row_key(text_col) == F.col("_gone_x"))
+    ours = docs.join(again, same, "left_semi")
+    one = ours.withColumn("_gone_x", row_key(text_col)).dropDuplicates([id_col, "_gone_x"]).select(docs.columns)
+    return docs.join(again, same, "left_anti").unionByName(one)
+
+
 # --- words ---------------------------------------------------------------------------------
 
 #: Punctuation and spaces beyond ASCII that separate words: Latin-1 signs, general punctuation, CJK punctuation.
@@ -96,29 +150,45 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def _pieces(data: np.ndarray):
-    """Stretches of at most about _PIECE bytes that end between words; a longer word is cut."""
-    at = 0
+def _word_end(data: np.ndarray, at: int) -> int:
+    """Where the word that goes on at ``at`` ends."""
     while at < len(data):
-        end = min(at + _PIECE, len(data))
-        if end < len(data):
-            gaps = np.flatnonzero(~_BYTE_IS_WORD[data[at:end]])
-            if len(gaps):
-                end = at + int(gaps[-1]) + 1
-        yield at, end
-        at = end
+        gaps = np.flatnonzero(~_BYTE_IS_WORD[data[at : at + _PIECE]])
+        if len(gaps):
+            return at + int(gaps[0])
+        at += _PIECE
+    return len(data)
+
+
+def _long_word(data: np.ndarray) -> np.ndarray:
+    """The same hash for one word of any length."""
+    total = 0
+    for at in range(0, len(data), _PIECE):
+        part = data[at : at + _PIECE]
+        total += pow(_BASE, at, 1 << 64) * int((_BYTE_VALUE[part] * _POWER[: len(part)]).sum(dtype=U64))
+    return mix64(np.array([total & MASK64], dtype=U64) + U64(len(data)))
 
 
 def words_of(folded_bytes: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, start and end of every word of folded bytes."""
+    """Hash, start and end of every word of folded bytes, read in stretches of about _PIECE bytes that end between words."""
     data = np.frombuffer(folded_bytes, dtype=np.uint8)
-    parts = []
-    for at, to in _pieces(data):
-        own = data[at:to]
+    parts, at = [], 0
+    while at < len(data):
+        end = min(at + _PIECE, len(data))
+        if end < len(data) and _BYTE_IS_WORD[data[end - 1]] and _BYTE_IS_WORD[data[end]]:
+            gaps = np.flatnonzero(~_BYTE_IS_WORD[data[at:end]])
+            if not len(gaps):
+                end = _word_end(data, end)
+                parts.append((_long_word(data[at:end]), np.array([at]), np.array([end])))
+                at = end
+                continue
+            end = at + int(gaps[-1]) + 1
+        own = data[at:end]
         s, e = word_spans(own)
         total = np.zeros(len(own) + 1, dtype=U64)
         np.cumsum(_BYTE_VALUE[own] * _POWER[: len(own)], out=total[1:])
         parts.append((mix64((total[e] - total[s]) * _INVERSE[s] + (e - s).astype(U64)), s + at, e + at))
+        at = end
     if not parts:
         none = np.zeros(0, dtype=np.int64)
         return np.zeros(0, dtype=U64), none, none

@@ -39,12 +39,15 @@ def sentence(rng, n):
 def test_words_and_shingles():
     plain = lambda t: re.findall(r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", common.WIDE_GAPS.sub(" ", t.lower()))
     rng = random.Random(3)
-    for t in ("", "  ", "One two—three, ÉTÉ x_y 'q'", "z" * 700_000 + " end", "".join(rng.choice("ab Éx,.\n“") for _ in range(5000))):
+    for t in ("", "  ", "One two—three, ÉTÉ x_y 'q'", "z" * 700_000 + " end", "".join(rng.choice("ab Éx,.\n“") for _ in range(5000))):
         data = common.folded(t)
         h, s, e = common.words_of(data)
-        if len(t) < 100_000:
-            assert [data[a:b].decode() for a, b in zip(s, e, strict=True)] == plain(t)
-        assert len({*h.tolist()}) <= len(h)
+        assert [data[a:b].decode() for a, b in zip(s, e, strict=True)] == plain(t)
+    alone = common.words_of(b"z" * 700_000)[0][0]
+    for before in ("", "a ", "word " * 52_428, "q" * 300_000 + " ", "x" * ((1 << 18) - 1) + " "):  # at any place a long word is one and the same
+        h, s, e = common.words_of(common.folded(before + "z" * 700_000 + " end"))
+        assert len(h) == len(before.split()) + 2 and h[-2] == alone and e[-2] - s[-2] == 700_000
+        assert h[-1] == common.words_of(b"end")[0][0]
     assert common.shingles("A b, c d e") [0] == common.shingles("a B c d E")[0] and len(common.shingles("")) == 1
     assert len(common.shingles("a b c d e f")) == 2
 
@@ -208,15 +211,41 @@ def test_components(spark):
 def test_exact_dedup(spark):
     texts = ["a  b", "a\tb", None, "", "c", "c", "A b", "c"]
     ids = [5, 3, 1, 9, 4, 4, 2, None]
-    for hash_fn in (dedup.content_hash, lambda c: F.unhex(F.lit("00"))):  # the second makes every text collide
+    for hash_fn in (dedup.content_hash, lambda norm: b"0"):  # the second makes every text collide
         got = dedup.exact_dedup(docs(spark, texts, ids), hash_fn=hash_fn).collect()
         assert sorted((str(r.doc_id), r.keep_id, r.group_size, r.kept) for r in got) == sorted(
             [("5", 3, 2, False), ("3", 3, 2, True), ("1", 1, 2, True), ("9", 1, 2, False), ("4", 4, 3, True), ("4", 4, 3, True), ("2", 2, 1, True), ("None", 4, 3, False)]
         )
         assert {r.text_sha256 for r in got if r.doc_id == 5} == {hashlib.sha256(b"a b").hexdigest()}
-    kept = dedup.drop_exact_copies(docs(spark, texts, ids)).where("doc_id is not null")
-    assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 3, 4]
-    assert dedup.exact_dedup(docs(spark, [])).count() == 0
+    kept = dedup.drop_exact_copies(docs(spark, texts, ids))
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 3, 4] and kept.columns == docs(spark, []).columns
+    assert dedup.exact_dedup(docs(spark, [])).count() == dedup.drop_exact_copies(docs(spark, [])).count() == 0
+
+
+REPEATED = [(1, "a"), (7, "a"), (7, "b"), (7, "b"), (4, "c  c"), (4, "c c"), (None, "x"), (None, "y"), (None, "z"), (None, "z"), (None, "a")]
+
+
+@pytest.mark.parametrize("least", [0, 100_000])
+def test_rows_go_by_id_and_text(spark, monkeypatch, least):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", least)  # 0: every join is a shuffle
+    kept = dedup.drop_exact_copies(docs(spark, [t for _, t in REPEATED], [i for i, _ in REPEATED])).collect()
+    got = sorted((str(r.doc_id), common_text(r.text)) for r in kept)
+    assert got == [("1", "a"), ("4", "c c"), ("7", "b"), ("None", "x"), ("None", "y"), ("None", "z")]
+
+
+def common_text(text):
+    return re.sub(r"[\x20\x09-\x0D]+", " ", text)
+
+
+@pytest.mark.parametrize("hot", [1, 1000])
+def test_exact_dedup_of_hot_groups_and_long_texts(spark, monkeypatch, hot):
+    monkeypatch.setattr(common, "HOT", hot)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    texts = ["same\t text"] * 40 + [f"own {k % 30}" for k in range(50)] + [" " * 3_000_000 + "end", "\n" * 70_000 + "end"]
+    got = {r.doc_id: r for r in dedup.exact_dedup(docs(spark, texts)).collect()}
+    norm = [common_text(t) for t in texts]
+    assert [(got[i].keep_id, got[i].group_size) for i in range(len(texts))] == [(norm.index(t), norm.count(t)) for t in norm]
+    assert all(got[i].text_sha256 == hashlib.sha256(t.encode()).hexdigest() for i, t in enumerate(norm))
 
 
 # --- 4 ---------------------------------------------------------------------------------------
