@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 
-#: A key that holds more than a thousandth of all rows is joined by broadcast: by counting, there are fewer than HOT such keys.
+#: A key that holds more than a thousandth of all rows is dealt over several tasks: by counting, there are fewer than HOT such keys.
 HOT = 1000
 #: Tables of at most so many narrow rows (under 10 MB) are broadcast once they have been counted; larger ones are shuffled.
 BROADCAST_ROWS = 100_000
@@ -66,19 +66,22 @@ def if_small(frame: DataFrame) -> DataFrame:
     return F.broadcast(frame) if frame.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else frame
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, key: str, n: str, total: int, how: str = "inner", counted: bool = False) -> DataFrame:
-    """Joins rows with (materialised) groups, one row per key, where ``n`` is how many of the ``total`` rows have the key.
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, n: str, total: int, salt: list[str], how: str = "inner", counted: bool = False) -> DataFrame:
+    """Joins rows with groups, one row per key, where ``n`` is how many of the ``total`` rows have the key.
 
-    Keys that many rows share never meet in one task: those with more than a thousandth of all rows
-    are broadcast (fewer than HOT, as their rows add up to the total), the others are shuffled.
-    ``counted``: groups are counted first, and broadcast whole if they are few.
+    Keys that many rows share never meet in one task: one with more than a thousandth of all rows is
+    dealt by a hash of the rows' ``salt`` columns into pieces of about that many, and its group is
+    copied to each. Only the names of these keys are broadcast; as their rows add up to the total,
+    there are fewer than HOT. ``counted``: groups (materialised) are counted first, and broadcast
+    whole if they are few.
     """
     if counted and groups.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         return rows.join(F.broadcast(groups), key, how)
-    bound = F.lit(max(total // HOT, HOT))
-    first = rows.join(F.broadcast(groups.where(F.col(n) > bound)), key, "left")
-    others = first.where(F.col(n).isNull()).select(*rows.columns).join(groups.where(F.col(n) <= bound), key, how)
-    return first.where(F.col(n).isNotNull()).unionByName(others)
+    pieces = F.ceil(F.col(n) / F.lit(max(total // HOT, HOT)))
+    hot = groups.where(pieces > 1).select(key, pieces.alias("_pieces"))
+    dealt = rows.join(F.broadcast(hot), key, "left").withColumn("_piece", F.pmod(F.xxhash64(*salt), F.coalesce("_pieces", F.lit(1))))
+    copied = groups.withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(pieces, F.lit(1)) - 1)))
+    return dealt.join(copied, [key, "_piece"], how).drop("_piece", "_pieces")
 
 
 def row_key(text_col: str) -> Column:
@@ -225,7 +228,3 @@ def minhash(values: np.ndarray, factors: np.ndarray) -> np.ndarray:
         block = values[None, at : at + 512] * factors[:, None]
         np.minimum(least, block.min(axis=1) >> U64(32), out=least)
     return least.astype(np.uint32)
-
-
-def big_binary(values: list[bytes | None]) -> pa.Array:
-    return pa.array(values, type=pa.binary())

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import join_groups, prepare
 
 MAX_ROUNDS = 60
 
@@ -14,9 +14,10 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """``(node, root)`` for every node of a link, root the least node of its component.
 
     Each round hangs every node's larger neighbours, then its smaller ones, onto the least node it
-    knows (large star, small star); rounds grow with the logarithm of the longest path. Hubs are
-    safe: least neighbours are partial aggregates and joins are on one key, which adaptive
-    execution can split. Nulls and self-links are dropped; no links give no rows.
+    knows (large star, small star); rounds grow with the logarithm of the longest path. Least
+    neighbours are partial aggregates, and a hub's links are dealt over several tasks
+    (:func:`join_groups`), so none gathers a hub. Nulls and self-links are dropped; no links give
+    no rows.
     """
     spark = links.sparkSession
     prepare(spark)
@@ -32,12 +33,12 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         if mark["n"] == 0 or mark == before:
             return stars.select(F.col("u").alias("node"), F.col("v").alias("root")).union(stars.select("v", "v").distinct())
         before = mark
-        both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
+        both = stars.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*")
+        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n"))
+        large = join_groups(both, least, "u", "n", 2 * mark["n"], ["v"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        down = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         stars = (
-            large.join(down, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            join_groups(large, down, "u", "n", 2 * mark["n"], ["v"]).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .union(down.select("u", "m")).distinct().checkpoint()
         )
     raise RuntimeError("components did not settle")

@@ -48,7 +48,7 @@ def _members(docs: DataFrame, id_col: str, text_col: str, hash_fn: Callable[[byt
     narrow = _hashed(docs, id_col, text_col, hash_fn, False).checkpoint()
     total = narrow.count()
     shared = narrow.groupBy("_h").agg(F.count("*").alias("n")).where("n > 1").checkpoint()
-    texts = join_groups(_hashed(docs, id_col, text_col, hash_fn, True), shared, "_h", "n", total, counted=True).drop("n")
+    texts = join_groups(_hashed(docs, id_col, text_col, hash_fn, True), shared, "_h", "n", total, ["_id", "_x"], counted=True).drop("n")
     groups = texts.groupBy("_h", "_norm").agg(F.min("_id").alias("keep_id"), F.count("*").alias("group_size"))
     found = groups.select("_h", "keep_id", "group_size").checkpoint()
     odd = found.groupBy("_h").agg(F.count("*").alias("n")).where("n > 1").drop("n")
@@ -56,7 +56,7 @@ def _members(docs: DataFrame, id_col: str, text_col: str, hash_fn: Callable[[byt
     plain = narrow.join(if_small(odd), "_h", "left_anti") if clash else narrow
     sole = found.join(odd, "_h", "left_anti") if clash else found
     alone = F.col("group_size").isNull()
-    members = join_groups(plain, sole, "_h", "group_size", total, "left").select(
+    members = join_groups(plain, sole, "_h", "group_size", total, ["_id", "_x"], "left").select(
         "_id", "_x", "_sha", F.when(alone, F.col("_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size")
     )
     if clash:
@@ -72,7 +72,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     2. Only rows of hashes that occur twice send their texts, which are grouped by hash *and* bytes, so
        a hash that two different texts share still gives two groups. Equal texts collapse inside each
        map task: a group with a third of all rows sends one row per task.
-    3. Groups are joined to the narrow rows of step 1; hashes with very many rows by broadcast
+    3. Groups are joined to the narrow rows of step 1; hashes with very many rows in pieces
        (:func:`join_groups`). Should a hash hold several texts, its rows are joined on their bytes.
 
     Texts may be of any length that a row holds. Null texts count as empty. A null id wins a group only

@@ -173,9 +173,12 @@ def near_texts(seed=5):
     return [*out, *(sentence(rng, 60) for _ in range(20))]
 
 
-@pytest.mark.parametrize("block", [256, 8])
-def test_jaccard_join_equals_all_pairs(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "size", "pairs", "hot"), [(1024, 1 << 24, 1 << 17, 1000), (8, 1 << 24, 50, 1), (1024, 5000, 1 << 17, 1000)])
+def test_jaccard_join_equals_all_pairs(spark, monkeypatch, block, size, pairs, hot):
     monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "BLOCK_BYTES", size)
+    monkeypatch.setattr(jaccard, "PAIRS", pairs)
+    monkeypatch.setattr(common, "HOT", hot)
     texts = near_texts()
     links, root = brute_links(texts)
     got = {r.doc_id: r for r in jaccard.jaccard_join(docs(spark, texts))["documents"].collect()}
@@ -190,8 +193,24 @@ def test_jaccard_edges(spark):
     assert sorted((str(r.doc_id), r.n_links) for r in got) == [("7", 1), ("8", 0), ("8", 0), ("None", 1)]
 
 
+@pytest.mark.parametrize("least", [0, 100_000])
+def test_near_copies_go_by_id_and_text(spark, monkeypatch, least):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", least)
+    rng = random.Random(21)
+    one, two = sentence(rng, 120), sentence(rng, 120)
+    near = lambda t, k: " ".join([*t.split()[:k], "changed", *t.split()[k + 1 :]])
+    rows = [(1, one), (7, near(one, 3)), (7, "a text like no other one here"), (None, near(one, 60)), (None, near(two, 5)), (None, near(two, 70)), (None, "x"), (None, "y"), (None, "y"), (9, "z"), (9, "z"), (3, two + "!"), (3, two)]
+    frame = docs(spark, [t for _, t in rows], [i for i, _ in rows])
+    kept = jaccard.drop_near_copies(frame)
+    got = sorted((str(r.doc_id), common.folded(r.text).decode()[:20].strip(" !")) for r in kept.collect())
+    assert got == sorted([("1", one[:20].strip()), ("7", "a text like no other"), ("None", "x"), ("None", "y"), ("9", "z"), ("3", two[:20].strip())])
+    assert kept.columns == frame.columns and jaccard.drop_near_copies(docs(spark, [])).count() == 0
+    links = jaccard.jaccard_join(frame)["documents"].collect()
+    assert sorted(r.n_links for r in links) == sorted([2, 2, 2, 0, 3, 3, 3, 3, 0, 1, 1, 1, 1])
+
+
 def test_prune_limits_keep_similar_pairs():
-    assert all(sum(math.comb(n, m) * 0.8**m * 0.2 ** (n - m) for m in range(least)) < 1e-3 for n, least in jaccard.prune_limits())
+    assert all(sum(math.comb(n, m) * 0.8**m * 0.2 ** (n - m) for m in range(least)) < 1e-5 for n, least in jaccard.prune_limits())
 
 
 def test_components(spark):
