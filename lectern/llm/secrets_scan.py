@@ -65,10 +65,11 @@ def _neighbours() -> dict[str, set[str]]:
 
 
 NEAR = _neighbours()
-_DATE = re.compile(
-    r"(?:(?:19|20)\d\d(?P<s>[-/._]?)(?:0?[1-9]|1[0-2])(?P=s)(?:0?[1-9]|[12]\d|3[01])"
-    r"|(?:0?[1-9]|[12]\d|3[01])(?P<t>[-/._]?)(?:0?[1-9]|1[0-2])(?P=t)(?:19|20)\d\d|(?:19|20)\d\d)"
-)
+_YEAR = re.compile(r"(?:19|20)[0-9][0-9]")
+_MONTH = {f"{m:0{w}d}" for m in range(1, 13) for w in (1, 2)}
+_DAY = {f"{d:0{w}d}" for d in range(1, 32) for w in (1, 2)}
+#: Signs that may stand between the parts of a date, twice the same or not at all.
+_BETWEEN = "-/._"
 #: Guesses for a segment's kind and place, in powers of ten; it keeps many small segments from being free.
 PER_SEGMENT = 1.0
 
@@ -94,62 +95,114 @@ def _word_costs(value: str, i: int):
             yield n, cost
 
 
-def _runs(value: str, follows) -> list[int]:
-    """For each place, how far the run that starts there reaches."""
-    out = [1] * len(value)
-    for i in range(len(value) - 2, -1, -1):
-        if follows(value[i], value[i + 1]):
-            out[i] = out[i + 1] + 1
-    return out
+def _date_lengths(value: str, i: int) -> set[int]:
+    """Lengths of all dates that start at i: years, year-month-day and day-month-year, with one or two digits for month and day."""
+    out = set()
 
+    def ends(at: int, known: set[str]):
+        return (at + k for k in (1, 2) if at + k <= len(value) and value[at : at + k] in known)
 
-def _echoes(value: str, size: int) -> list[int]:
-    """For each place, for how many characters on the value equals itself ``size`` further on."""
-    out = [0] * (len(value) + 1)
-    for i in range(len(value) - size - 1, -1, -1):
-        if value[i] == value[i + size]:
-            out[i] = out[i + 1] + 1
+    def signs(at: int):
+        return ("", value[at]) if at < len(value) and value[at] in _BETWEEN else ("",)
+
+    if _YEAR.match(value, i):
+        out.add(4)
+        for sign in signs(i + 4):
+            for month in ends(i + 4 + len(sign), _MONTH):
+                if value.startswith(sign, month):
+                    out |= {day - i for day in ends(month + len(sign), _DAY)}
+    for day in ends(i, _DAY):
+        for sign in signs(day):
+            for month in ends(day + len(sign), _MONTH):
+                if value.startswith(sign, month) and _YEAR.match(value, month + len(sign)):
+                    out.add(month + len(sign) + 4 - i)
     return out
 
 
+class _Least:
+    """The least of cost[i] + f(j - i) over the places i given so far, for concave f and growing j.
+
+    Of two places the earlier one gains on the later as j grows, so a later one that is not better at
+    once never is; the others are kept, each with the j from which the one before it is no worse.
+    """
+
+    def __init__(self, f):
+        self.f, self.kept = f, []
+
+    def clear(self) -> None:
+        self.kept.clear()
+
+    def add(self, i: int, cost: float, j: int, last: int) -> None:
+        if self.least(j) <= cost + self.f(j - i):
+            return
+        until = math.inf
+        while self.kept:
+            b, below, own = self.kept[-1]
+            lo, hi = j, last + 1  # the first j from which the one below is no worse, last + 1 if none
+            while lo < hi:
+                mid = (lo + hi) // 2
+                if below + self.f(mid - b) <= cost + self.f(mid - i):
+                    hi = mid
+                else:
+                    lo = mid + 1
+            until = lo
+            if own > until:
+                break
+            self.kept.pop()
+            until = math.inf
+        self.kept.append((i, cost, until))
+
+    def least(self, j: int) -> float:
+        while self.kept and self.kept[-1][2] <= j:
+            self.kept.pop()
+        return self.kept[-1][1] + self.f(j - self.kept[-1][0]) if self.kept else math.inf
+
+
 def log10_guesses(value: str) -> float:
     """The least number of guesses, as a power of ten, over all segmentations of a value.
 
     best[j] is the least cost of the first j characters; a segment i..j is a common word, a date, a
-    repeat (of one character, or of a unit of up to 4), a keyboard walk of 3 or more keys, or brute
-    force at the alphabet of the whole value. Repeats and walks are tried at their full length and at
-    every shorter one up to 32 characters, and brute force extends by one character, so the time is
-    in proportion to the length.
+    repeat (3 or more of one character, or 2 or more of a unit of 2 to 4), a keyboard walk of 3 or more
+    keys, or brute force at the alphabet of the whole value. Every length of each is tried: brute force
+    extends by one character, and repeats and walks, whose costs are concave in their lengths, by
+    :class:`_Least`, so the time is in proportion to the length (times its logarithm).
     """
     n = len(value)
     if not n:
         return 0.0
     low = "".join(c if len(c) == 1 else own for own, c in zip(value, map(str.lower, value), strict=True))  # as long as the value
     per_char = _alphabet(value)
-    same = _runs(low, lambda a, b: a == b)
-    walk = _runs(low, lambda a, b: b in NEAR.get(a, ()))
-    again = {size: _echoes(low, size) for size in (2, 3, 4)}
-    best = [math.inf] * (n + 1)
-    force = [math.inf] * (n + 1)  # as best, where the last segment is brute force
-    best[0] = 0.0
-    for i in range(n):
-        here = best[i]
-        force[i + 1] = min(force[i], here + PER_SEGMENT) + per_char
-        ends = [(k, c) for k, c in _word_costs(value, i)]
-        for m in (_DATE.match(value, i),) if value[i].isdigit() else ():
-            if m:
-                ends.append((m.end() - i, math.log10(365 * 130) if m.end() - i > 4 else math.log10(130)))
-        for run, unit in ((same[i], per_char), (walk[i], math.log10(47 * 4))):
-            for k in {*range(3, min(run, 32) + 1), *([run] if run >= 3 else [])}:
-                ends.append((k, unit + math.log10(k) + (0 if unit == per_char else (k - 1) * math.log10(1.6))))
-        for size in (2, 3, 4):
-            k = size * (1 + again[size][i] // size)
-            if k >= 2 * size:
-                ends.append((k, size * per_char + math.log10(k / size)))
-        for k, c in ends:
-            if here + c + PER_SEGMENT < best[i + k]:
-                best[i + k] = here + c + PER_SEGMENT
-        best[i + 1] = min(best[i + 1], force[i + 1])
+    walk_base, walk_step = math.log10(47 * 4), math.log10(1.6)
+    walks = _Least(lambda k: walk_base + math.log10(k) + (k - 1) * walk_step)
+    repeats = {size: [_Least(lambda k, unit=size * per_char: unit + math.log10(k)) for _ in range(size)] for size in (1, 2, 3, 4)}
+    adjacent, echo = 0, dict.fromkeys(repeats, 0)  # how long the walk, and the repeat of each size, has gone on
+    best, force = [0.0] + [math.inf] * n, math.inf
+    for j in range(n + 1):
+        if j:
+            force = min(force, best[j - 1] + PER_SEGMENT) + per_char
+            cost = min(best[j], force)
+            adjacent = adjacent + 1 if j > 1 and low[j - 1] in NEAR.get(low[j - 2], ()) else 0
+            if adjacent >= 2:
+                walks.add(j - 3, best[j - 3], j, n)
+                cost = min(cost, walks.least(j) + PER_SEGMENT)
+            else:
+                walks.clear()
+            for size, own in repeats.items():
+                echo[size] = echo[size] + 1 if j > size and low[j - 1] == low[j - 1 - size] else 0
+                times = 3 if size == 1 else 2
+                if not echo[size]:
+                    for x in own:
+                        x.clear()
+                elif echo[size] >= (times - 1) * size:
+                    x, at = own[j % size], j // size
+                    x.add(at - times, best[j - times * size], at, n // size + 1)
+                    cost = min(cost, x.least(at) + PER_SEGMENT)
+            best[j] = cost
+        here = best[j] + PER_SEGMENT
+        for k, c in _word_costs(value, j):
+            best[j + k] = min(best[j + k], here + c)
+        for k in _date_lengths(value, j) if value[j : j + 1].isdecimal() else ():
+            best[j + k] = min(best[j + k], here + math.log10(365 * 130 if k > 4 else 130))
     return best[n]
 
 
@@ -203,7 +256,8 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     before and after the keyword, quoting and characters than the base's) whose cheapest segmentation takes ``10**least`` guesses or more;
     placeholders such as ``password = changeme123`` stay below. Offsets are code points in the whole
     text, ends exclusive. Null and empty texts have no spans (null ``max_log10_guesses``); a row is
-    scanned on its own, with no shuffle, and repeated rows give repeated rows.
+    scanned on its own, with no shuffle, whatever its length, and repeated rows give repeated rows. An
+    empty table gives no rows; other columns are not read.
     """
     prepare(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
