@@ -66,8 +66,8 @@ def if_small(frame: DataFrame) -> DataFrame:
     return F.broadcast(frame) if frame.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else frame
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, key: str, n: str, total: int, salt: list[str], how: str = "inner", counted: bool = False) -> DataFrame:
-    """Joins rows with groups, one row per key, where ``n`` is how many of the ``total`` rows have the key.
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, n: str, total: int, salt: list[str], how: str = "inner", counted: bool = False, unique: bool = True) -> DataFrame:
+    """Joins rows with groups, one row per key (several unless ``unique``), where ``n`` is how many of the ``total`` rows have the key.
 
     Keys that many rows share never meet in one task: one with more than a thousandth of all rows is
     dealt by a hash of the rows' ``salt`` columns into pieces of about that many, and its group is
@@ -79,6 +79,7 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, n: str, total: int
         return rows.join(F.broadcast(groups), key, how)
     pieces = F.ceil(F.col(n) / F.lit(max(total // HOT, HOT)))
     hot = groups.where(pieces > 1).select(key, pieces.alias("_pieces"))
+    hot = hot if unique else hot.distinct()
     dealt = rows.join(F.broadcast(hot), key, "left").withColumn("_piece", F.pmod(F.xxhash64(*salt), F.coalesce("_pieces", F.lit(1))))
     copied = groups.withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(pieces, F.lit(1)) - 1)))
     return dealt.join(copied, [key, "_piece"], how).drop("_piece", "_pieces")

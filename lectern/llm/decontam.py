@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SHINGLE_WORDS, SIMILARITY, U64, folded, mix64, multipliers, prepare, shingle_positions, words_of
+from .common import SHINGLE_WORDS, SIMILARITY, U64, folded, join_groups, mix64, multipliers, prepare, row_key, shingle_positions, without_rows, words_of
 
 HASHES = 40
 FACTORS = multipliers(HASHES, 23)
@@ -19,7 +19,7 @@ LEAST_CLASS = 2 * SHORT
 BY_SHINGLES = 0
 #: The filter of item keys has 2**24 to 2**27 bits (16 MB), whatever the number of items.
 FILTER_BITS = (24, 27)
-#: Words of documents whose minima are taken together.
+#: Words of documents whose minima are taken together, a power of two; a longer document is read in stretches.
 AT_ONCE = 1 << 15
 
 
@@ -94,24 +94,30 @@ def in_filter(bitmap: np.ndarray, log2: int, keys: np.ndarray) -> np.ndarray:
     return hit[((bitmap[(two >> U64(6)).astype(np.int64)] >> (two & U64(63))) & U64(1)).astype(bool)]
 
 
+def document_hits(at: np.ndarray, sizes: list[int], hits_of) -> list[np.ndarray]:
+    """Hits of the window keys of one long document, by stretches that overlap by the largest size, so that every window lies in one."""
+    span = max(AT_ONCE, 2 * sizes[-1])
+    return [hits_of(window_keys(block_minima([at[a : a + span + sizes[-1]]], sizes[0])[0], sizes)) for a in range(0, len(at), span)]
+
+
 def index_items(items: DataFrame, item_col: str, text_col: str, threshold: float = SIMILARITY) -> DataFrame:
-    """``(item, size, keys, shingles)`` of the items that have five words or more."""
+    """``(item, width, size, keys, shingles)`` of the items that have a word: shingles of five words, or one of all words if there are fewer."""
 
     def run(batches):
         for batch in batches:
             rows = []
             for item, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 words = words_of(folded(text.as_py()))[0]
-                if len(words) >= SHINGLE_WORDS:
+                if len(words):
                     at = shingle_positions(words)
                     size, keys = item_keys(at, threshold)
-                    rows.append((item, size, keys.view(np.int64), np.unique(at).tobytes()))
-            cols = list(zip(*rows, strict=True)) or [[], [], [], []]
-            kinds = [batch.schema.field(0).type, pa.int64(), pa.list_(pa.int64()), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["item", "size", "keys", "shingles"])
+                    rows.append((item, min(len(words), SHINGLE_WORDS), size, keys.view(np.int64), np.unique(at).tobytes()))
+            cols = list(zip(*rows, strict=True)) or [[], [], [], [], []]
+            kinds = [batch.schema.field(0).type, pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["item", "width", "size", "keys", "shingles"])
 
     kind = items.schema[item_col].dataType.simpleString()
-    return items.select(F.col(item_col).alias("item"), text_col).distinct().mapInArrow(run, f"item {kind}, size long, keys array<long>, shingles binary")
+    return items.select(F.col(item_col).alias("item"), F.col(text_col).cast("string").alias("text")).distinct().mapInArrow(run, f"item {kind}, width long, size long, keys array<long>, shingles binary")
 
 
 def _filter(index: DataFrame) -> tuple[np.ndarray, int]:
@@ -130,66 +136,66 @@ def _filter(index: DataFrame) -> tuple[np.ndarray, int]:
     return bitmap.view(U64), log2
 
 
-def contained_items(
-    docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
-    threshold: float = SIMILARITY,
-) -> DataFrame:
-    """Pairs of a document and an item of whose distinct 5-word shingles it holds ``threshold`` or more.
-
-    A row per pair: id, item id, ``n_shared``, ``n_item``, ``containment``. Long documents against
-    short items have a Jaccard similarity near zero, which MinHash cannot find; so items are parted by
-    size (powers of two of shingle positions, from 16), and for each size that occurs documents are cut into
-    windows of twice that size, one size apart: a passage of an item lies whole in one of them, with a
-    similarity of 0.19 at the least (0.25 for a whole passage). One of 40 equal MinHash values makes
-    a candidate: 0.02 % of pairs at the bound are missed, 0.001 % of whole passages. Items of up to 8
-    positions, and those that repeat their shingles, are looked up by their shingles instead, and
-    none of their pairs is missed (:func:`item_keys`).
-
-    Every document is read once; window keys that pass a filter of the items' keys (16 MB at most, a
-    fixed bound) leave the scan, with the shingles of their document. Key and id joins follow, which
-    adaptive execution can split when one item is in a third of all documents, and the whole
-    document's shingles decide. Items of under five words have no shingle and match nothing; null
-    texts are empty and match nothing; repeated rows of items count once and repeated document ids
-    count as one document each time they match. Empty tables give no rows.
-    """
+def _found(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, threshold: float) -> DataFrame:
+    """``(doc, x, item, n_shared, n_item)`` of the pairs that reach the threshold; x tells rows of one id apart."""
     spark = docs.sparkSession
     prepare(spark)
     kind = docs.schema[id_col].dataType.simpleString()
     item_kind = items.schema[item_col].dataType.simpleString()
     index = index_items(items, item_col, item_text_col, threshold).checkpoint()
-    sizes = sorted(r["size"] for r in index.select("size").distinct().collect())  # one per power of two
+    shapes = index.select("size", "width").distinct().collect()  # powers of two, and widths up to five
+    sizes, short = sorted({r["size"] for r in shapes}), sorted({r["width"] for r in shapes} - {SHINGLE_WORDS})
     by_shingles, windowed = BY_SHINGLES in sizes, [x for x in sizes if x != BY_SHINGLES]
     if not sizes:
-        return spark.createDataFrame([], f"{id_col} {kind}, {item_col} {item_kind}, n_shared long, n_item long, containment double")
+        return spark.createDataFrame([], f"doc {kind}, x long, item {item_kind}, n_shared long, n_item long")
     shared = spark.sparkContext.broadcast(_filter(index))
+    none = np.zeros(0, dtype=U64)
 
     def scan(batches):
         bitmap, log2 = shared.value
+
+        def hits_of(keys):
+            return keys[in_filter(bitmap, log2, keys)]
+
+        def finished(held):
+            """(doc, x, keys, shingles) of the documents that the filter lets through."""
+            small = [at for _, _, _, at in held if len(at) <= AT_ONCE and len(at)]
+            minima = iter(block_minima(small, windowed[0]) if windowed and small else [])
+            for doc, x, words, at in held:
+                found = []
+                if windowed and len(at):
+                    found += document_hits(at, windowed, hits_of) if len(at) > AT_ONCE else [hits_of(window_keys(next(minima), windowed))]
+                if by_shingles and len(at):
+                    found.append(hits_of(shingle_keys(at)))
+                runs = [shingle_positions(words, w) for w in short if len(words) >= w]
+                found += [hits_of(shingle_keys(r)) for r in runs]
+                hits = np.unique(np.concatenate([none, *found]))
+                if len(hits):
+                    yield doc, x, hits.view(np.int64), np.unique(np.concatenate([at, *runs])).tobytes()
+
         for batch in batches:
-            ids, keys, sets, held, waiting = [], [], [], [], 0
-            for doc, text in zip([*batch.column(0).to_pylist(), None], [*batch.column(1), None], strict=True):
-                words = words_of(folded(text.as_py()))[0] if text is not None else []
-                if len(words) >= SHINGLE_WORDS:
-                    held.append((doc, shingle_positions(words)))
+            rows, held, waiting = [], [], 0
+            for doc, x, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                words = words_of(folded(text.as_py()))[0]
+                if len(words):
+                    held.append((doc, x, words, shingle_positions(words) if len(words) >= SHINGLE_WORDS else none))
                     waiting += len(words)
-                if held and (text is None or waiting >= AT_ONCE):
-                    minima = block_minima([v for _, v in held], windowed[0]) if windowed else [None] * len(held)
-                    for (own, at), least in zip(held, minima, strict=True):
-                        every = np.concatenate([*([window_keys(least, windowed)] if windowed else []), *([shingle_keys(at)] if by_shingles else [])])
-                        hits = every[in_filter(bitmap, log2, every)]
-                        if len(hits):
-                            ids.append(own)
-                            keys.append(np.unique(hits).view(np.int64))
-                            sets.append(np.unique(at).tobytes())
+                if waiting >= AT_ONCE:
+                    rows += finished(held)
                     held, waiting = [], 0
-            kinds = [batch.schema.field(0).type, pa.list_(pa.int64()), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((ids, keys, sets), kinds, strict=True)], ["doc", "keys", "own"])
+            rows += finished(held)
+            cols = list(zip(*rows, strict=True)) or [[], [], [], []]
+            kinds = [batch.schema.field(0).type, pa.int64(), pa.list_(pa.int64()), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["doc", "x", "keys", "own"])
 
-    hits = docs.select(F.col(id_col).alias("doc"), text_col).mapInArrow(scan, f"doc {kind}, keys array<long>, own binary")
-    hits = hits.withColumn("row", F.monotonically_increasing_id()).checkpoint()
-    lookup = index.select("item", F.explode("keys").alias("k"))
-    pairs = hits.select("row", F.explode("keys").alias("k")).join(lookup, "k").select("row", "item").distinct()
-    both = pairs.join(index.select("item", "shingles"), "item").join(hits.select("row", "doc", "own"), "row")
+    rows = docs.select(F.col(id_col).alias("doc"), row_key(text_col).alias("x"), F.col(text_col).cast("string").alias("text"))
+    hits = rows.mapInArrow(scan, f"doc {kind}, x long, keys array<long>, own binary").withColumn("row", F.monotonically_increasing_id()).checkpoint()
+    keys = hits.select("row", F.explode("keys").alias("k"))
+    n_keys = hits.agg(F.sum(F.size("keys")).alias("n")).first()["n"] or 0
+    lookup = index.select("item", F.explode("keys").alias("k")).join(keys.groupBy("k").agg(F.count("*").alias("n")), "k")
+    pairs = join_groups(keys, lookup, "k", "n", n_keys, ["row"], unique=False).select("row", "item").distinct().checkpoint()
+    wanted = index.select("item", "shingles").join(pairs.groupBy("item").agg(F.count("*").alias("n")), "item")
+    both = join_groups(pairs, wanted, "item", "n", pairs.count(), ["row"], unique=False).join(hits.select("row", "doc", "x", "own"), "row")
 
     def verify(batches):
         for batch in batches:
@@ -199,30 +205,59 @@ def contained_items(
                 at = np.minimum(np.searchsorted(x, q), len(x) - 1)
                 n.append(int((x[at] == q).sum()))
                 m.append(len(q))
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("item"), pa.array(n, pa.int64()), pa.array(m, pa.int64())], ["doc", "item", "n_shared", "n_item"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("x"), batch.column("item"), pa.array(n, pa.int64()), pa.array(m, pa.int64())], ["doc", "x", "item", "n_shared", "n_item"])
+
+    found = both.select("doc", "x", "item", "shingles", "own").mapInArrow(verify, f"doc {kind}, x long, item {item_kind}, n_shared long, n_item long")
+    return found.where(F.col("n_shared") >= threshold * F.col("n_item") - 1e-9)
+
 
-    found = both.select("doc", "item", "shingles", "own").mapInArrow(verify, f"doc {kind}, item {item_kind}, n_shared long, n_item long")
-    return found.where(F.col("n_shared") >= threshold * F.col("n_item") - 1e-9).select(
+def contained_items(
+    docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+    threshold: float = SIMILARITY,
+) -> DataFrame:
+    """Pairs of a document and an item of whose distinct 5-word shingles it holds ``threshold`` or more.
+
+    A row per pair: id, item id, ``n_shared``, ``n_item``, ``containment``. Long documents against
+    short items have a Jaccard similarity near zero, which MinHash cannot find; so items are parted by
+    size (powers of two of shingle positions, from 16), and for each size that occurs documents are cut into
+    windows of twice that size, one size apart: a passage of an item lies whole in one of them, with a
+    similarity of 0.19 at the least (0.25 for a whole passage). One of 40 equal MinHash values makes
+    a candidate: 0.02 % of pairs at the bound are missed, 0.001 % of whole passages. Items of up to 8
+    positions, and those that repeat their shingles, are looked up by their shingles instead, and
+    none of their pairs is missed (:func:`item_keys`). An item of under five words has one shingle, of
+    all its words, and is contained where they follow one another.
+
+    Every document is read once, long ones in stretches; window keys that pass a filter of the items'
+    keys (16 MB at most, a fixed bound) leave the scan, with the shingles of their document. Keys and
+    items that a third of all documents hold are joined in pieces (:func:`join_groups`), and the
+    whole document's shingles decide. Items without a word match nothing; null texts are empty and
+    match nothing; repeated rows of items count once and repeated document ids count as one document
+    each time they match, with or without an id. Empty tables give no rows.
+    """
+    return _found(docs, items, id_col, text_col, item_col, item_text_col, threshold).select(
         F.col("doc").alias(id_col), F.col("item").alias(item_col), "n_shared", "n_item", (F.col("n_shared") / F.col("n_item")).alias("containment")
     )
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", threshold: float = SIMILARITY) -> DataFrame:
-    """The documents that hold no item; rows with a null id stay."""
-    found = contained_items(docs, items, id_col, text_col, item_col, threshold=threshold)
-    return docs.join(found.where(F.col(id_col).isNotNull()).select(id_col).distinct(), id_col, "left_anti")
+    """The documents that hold no item, with all their columns. Rows go by their own id and text, whether they have an id or share it."""
+    found = _found(docs, items, id_col, text_col, item_col, "text", threshold)
+    return without_rows(docs, found.select(F.col("doc").alias("id"), "x").distinct().checkpoint(), id_col, text_col)
 
 
 def oracle(threshold: float = SIMILARITY) -> str:
     """All shared shingles counted, in SQL."""
     words = r"regexp_extract_all(regexp_replace(lower(text), '[\x{80}-\x{a9}\x{ab}-\x{b4}\x{b6}-\x{b9}\x{bb}-\x{bf}\x{d7}\x{f7}\x{2000}-\x{206f}\x{3000}-\x{303f}\x{feff}]', ' ', 'g'), '[^\x00-\x2f\x3a-\x60\x7b-\x7f]+')"
     n = SHINGLE_WORDS
-    cut = f"SELECT DISTINCT id, unnest(list_transform(range(1, len(w) - {n - 2}), lambda i: array_to_string(w[i:i + {n - 1}], ' '))) AS s"
     return f"""
-        WITH q AS ({cut} FROM (SELECT item_id AS id, {words} AS w FROM (SELECT DISTINCT item_id, text FROM benchmark)) WHERE len(w) >= {n}),
-             x AS ({cut} FROM (SELECT doc_id AS id, {words} AS w FROM documents) WHERE len(w) >= {n}),
+        WITH q AS (
+                SELECT DISTINCT id, least(len(w), {n}) AS k, unnest(list_transform(range(1, greatest(len(w) - {n - 2}, 2)), lambda i: array_to_string(w[i:i + {n - 1}], ' '))) AS s
+                FROM (SELECT item_id AS id, {words} AS w FROM (SELECT DISTINCT item_id, text FROM benchmark)) WHERE len(w) > 0),
+             x AS (
+                SELECT DISTINCT id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS s
+                FROM (SELECT doc_id AS id, {words} AS w FROM documents), (SELECT DISTINCT k FROM q) WHERE len(w) >= k),
              size AS (SELECT id, count(*) AS n_item FROM q GROUP BY id)
         SELECT x.id AS doc_id, q.id AS item_id, count(*) AS n_shared, any_value(n_item) AS n_item,
                count(*)::DOUBLE / any_value(n_item) AS containment
-        FROM q JOIN x USING (s) JOIN size ON size.id = q.id
+        FROM q JOIN x USING (s, k) JOIN size ON size.id = q.id
         GROUP BY x.id, q.id HAVING count(*) >= {threshold} * any_value(n_item) - 1e-9"""
