@@ -6,17 +6,17 @@ import hashlib
 import re
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare, remove_path, scratch_path
+from .common import join_groups, prepare, remove_path, scratch_path
 
 MAGIC = b"WARC/1.0\r\n"
+END = b"\r\n\r\n"
 MIN_REVISIT = 1000
 FILE_BYTES = 32 << 20
 CHUNK = 1 << 20
-#: Spark reads a file of an archive as one binary value, which may have this many bytes.
-MAX_FILE = (1 << 31) - (1 << 20)
 MAX_ROUNDS = 40
 
 
@@ -24,18 +24,16 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     """Adds to each page its payload's size and digest, and for copies the page that they revisit.
 
     Of pages with equal payloads of at least ``least`` bytes, that with the largest id is the
-    response; the others refer to it. Payloads are equal when SHA-1, SHA-256 and length are. Groups
-    are partial aggregates of digests, and the join back is on the digest, which adaptive execution
-    can split if a third of all pages are one payload. Null html is an empty payload; rows that
-    repeat a page id and payload are all responses; a null id never wins a group.
+    response; the others refer to it. Payloads are equal when SHA-1 and SHA-256 are. Groups are partial
+    aggregates of digests, and the join back is on the digest, in pieces if very many pages are one
+    payload (:func:`join_groups`). Null html is an empty payload; rows that repeat a page id and payload
+    are all responses; a null id never wins a group and, as a revisit, refers to the winner's.
     """
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
-    rows = rows.withColumns({"bytes": F.octet_length("html").cast("long"), "digest": F.sha1("html"), "wide": F.sha2("html", 256)})
-    groups = (
-        rows.where(F.col("bytes") >= least).groupBy("digest", "wide", "bytes")
-        .agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    )
-    joined = rows.join(groups, ["digest", "wide", "bytes"], "left")
+    rows = rows.withColumns({"bytes": F.octet_length("html").cast("long"), "digest": F.sha1("html")})
+    rows = rows.withColumn("payload", F.when(F.col("bytes") >= least, F.concat("digest", F.sha2("html", 256))).otherwise(F.hex(F.xxhash64("page_id", "url"))))
+    groups = rows.where(F.col("bytes") >= least).groupBy("payload").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").checkpoint()
+    joined = join_groups(rows, groups, "payload", "n", groups.agg(F.sum("n").alias("n")).first()["n"] or 0, ["page_id"], "left", counted=True)
     return joined.select(
         "page_id", "url", "html", "bytes", "digest",
         F.when(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"),
@@ -63,11 +61,26 @@ def record(date: str = "2024-01-01T00:00:00Z") -> Column:
     )
 
 
-def write_archives(records: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> None:
-    """Writes records as uncompressed WARC files of about ``file_bytes``; the blank lines after a record are the line separator."""
-    mean = records.agg(F.avg(F.col("bytes") + F.coalesce(F.octet_length("url"), F.lit(0))).alias("m")).first()["m"] or 0
-    per_file = max(1, int(file_bytes // (mean + 600)))
-    records.select(record().alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", per_file).text(path)
+def write_archives(records: DataFrame, path: str, file_bytes: int | None = None) -> None:
+    """Writes records as uncompressed WARC files; the blank lines after a record are the line separator.
+
+    Each task begins a new file (folder ``file=n`` under path) before a record that would take the one
+    at hand past ``file_bytes``, so only a record that is larger by itself makes a larger file.
+    """
+    most = file_bytes or FILE_BYTES
+
+    def deal(batches):
+        number, held = 0, 0
+        for batch in batches:
+            files = []
+            for size in pc.binary_length(batch.column(0)).to_pylist():
+                if held and held + size + len(END) > most:
+                    number, held = number + 1, 0
+                held += size + len(END)
+                files.append(number)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(files, pa.int32())], ["value", "file"])
+
+    records.select(record().alias("value")).mapInArrow(deal, "value string, file int").write.option("lineSep", END.decode()).partitionBy("file").text(path)
 
 
 _FIELD = re.compile(rb"(?im)^(warc-type|warc-record-id|warc-refers-to|warc-payload-digest|warc-payload-length|content-length|warc-target-uri):[ \t]*([^\r\n]*)\r$")
