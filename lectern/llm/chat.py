@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Turns of one dialogue that one row renders; a longer dialogue goes on in further rows.
-TURNS_PER_ROW = 1024
+#: Turn numbers of one dialogue that one row renders; a longer dialogue goes on in further rows.
+TURNS_PER_ROW = 1 << 14
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 
 
@@ -16,22 +16,27 @@ def rotate_perspectives(
 ) -> DataFrame:
     """Renders every dialogue once per participant: that one as assistant, the others as named users.
 
-    A row per dialogue, participant and part: ``part`` (0 first; part p holds turns p*1024 and up),
+    A row per dialogue, participant and part: ``part`` (0 first; part p holds turns p*16,384 and up),
     ``rendered``, ``n_turns``, ``n_own``, ``mask`` (spans ``start:end`` of code points in ``rendered``,
     comma-joined, that the loss covers: the participant's texts with their end mark) and
     ``mask_chars``. Narrators (the system) keep their role, are masked out and have no perspective of
     their own.
 
     A dialogue's part is a fixed range of turn numbers, so no row and no task gathers a dialogue
-    without bound, and participants are found by a partial aggregation. Order inside a part: turn,
-    then speaker, then text (ties cannot depend on the layout of the input); null turns come first,
-    in part 0. Null texts count as empty; null and empty speakers are called ``unknown``. A row with
-    no conv_id is a dialogue of its own. Marks inside texts are broken by a space after their ``<``, so a text cannot
-    end its turn. A dialogue of narrators only gives no row; an empty table gives none.
+    without bound, and participants are found by a partial aggregation. Parts of a dialogue put one
+    after another are its rendering. Order inside a part: turn, then speaker, then text (ties cannot
+    depend on the layout of the input); null turns come first, in part 0. Null texts count as empty,
+    texts may be long; null and empty speakers are called ``unknown``. A row with no conv_id is a
+    dialogue of its own. Marks inside texts and speakers' names are broken by a space after their
+    ``<``, and line ends in names are shown as a space, so neither can end its turn. A dialogue of
+    narrators only gives no row; an empty table gives none; other columns are not read.
     """
-    safe = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    for mark in (OPEN, CLOSE):
-        safe = F.replace(safe, F.lit(mark), F.lit(mark.replace("<", "< ", 1)))
+
+    def unmarked(c):
+        for mark in (OPEN, CLOSE):
+            c = F.replace(c, F.lit(mark), F.lit(mark.replace("<", "< ", 1)))
+        return c
+
     rows = turns.select(
         F.col(conv_col).alias("_conv"),
         F.when(F.col(conv_col).isNull(), F.monotonically_increasing_id()).otherwise(-1).alias("_solo"),
@@ -39,7 +44,7 @@ def rotate_perspectives(
         F.struct(
             F.col(turn_col).cast("long").alias("turn"),
             F.coalesce(F.when(F.trim(F.col(speaker_col)) != "", F.trim(F.col(speaker_col))), F.lit("unknown")).alias("who"),
-            safe.alias("text"),
+            unmarked(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("text"),
         ).alias("t"),
     )
     keys = ["_conv", "_solo"]
@@ -50,10 +55,11 @@ def rotate_perspectives(
 
     def segment(t):
         mine = t["who"] == F.col("participant")
+        shown = unmarked(F.regexp_replace(t["who"], r"[\r\n]+", " "))
         head = (
             F.when(mine, F.lit(f"{OPEN}assistant\n"))
-            .when(t["who"].isin(*narrators), F.concat(F.lit(OPEN), t["who"], F.lit("\n")))
-            .otherwise(F.concat(F.lit(f"{OPEN}user name="), t["who"], F.lit("\n")))
+            .when(t["who"].isin(*narrators), F.concat(F.lit(OPEN), shown, F.lit("\n")))
+            .otherwise(F.concat(F.lit(f"{OPEN}user name="), shown, F.lit("\n")))
         )
         return F.struct(mine.alias("mine"), F.length(head).alias("head"), F.concat(head, t["text"], F.lit(f"{CLOSE}\n")).alias("s"))
 

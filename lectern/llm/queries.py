@@ -95,17 +95,18 @@ _OP6 = """
            CASE WHEN bytes >= 1000 AND page_id <> top THEN top END AS refers_to
     FROM s"""
 
-_OP8 = """
+_OP8 = r"""
     WITH t AS (
-        SELECT conv_id, floor(coalesce(turn, 0) / 1024)::BIGINT AS part, turn, coalesce(nullif(trim(role), ''), 'unknown') AS who,
-               replace(replace(coalesce(text, ''), '<|im_start|>', '< |im_start|>'), '<|im_end|>', '< |im_end|>') AS text
+        SELECT conv_id, floor(coalesce(turn, 0) / 16384)::BIGINT AS part, turn, coalesce(nullif(trim(role), ''), 'unknown') AS who,
+               replace(replace(coalesce(text, ''), '<|im_start|>', '< |im_start|>'), '<|im_end|>', '< |im_end|>') AS text,
+               replace(replace(regexp_replace(who, '[\r\n]+', ' ', 'g'), '<|im_start|>', '< |im_start|>'), '<|im_end|>', '< |im_end|>') AS shown
         FROM conversations),
     w AS (SELECT DISTINCT conv_id, who AS participant FROM t WHERE who <> 'system'),
     s AS (
-        SELECT t.conv_id, w.participant, part, turn, who, text, who = participant AS mine,
+        SELECT t.conv_id, w.participant, part, turn, who, shown, text, who = participant AS mine,
                CASE WHEN who = participant THEN '<|im_start|>assistant' || chr(10)
                     WHEN who = 'system' THEN '<|im_start|>system' || chr(10)
-                    ELSE '<|im_start|>user name=' || who || chr(10) END AS head
+                    ELSE '<|im_start|>user name=' || shown || chr(10) END AS head
         FROM t JOIN w ON t.conv_id = w.conv_id),
     l AS (SELECT *, head || text || '<|im_end|>' || chr(10) AS seg FROM s),
     o AS (SELECT *, coalesce(sum(length(seg)) OVER (PARTITION BY conv_id, participant, part ORDER BY turn, who, text
