@@ -32,11 +32,27 @@ This program is distributed in the hope that it will be useful, but WITHOUT ANY
 
 You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."""
 
+_UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+_BOOST = """Boost Software License - Version 1.0 - August 17th, 2003
+
+Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:
+
+The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+
 KNOWN_LICENSES: dict[str, list[str]] = {
     "0BSD": [f"{_ISC_GRANT}.\n\n{_ISC_TAIL}", f"BSD Zero Clause License\n\n{_ISC_GRANT}.\n\n{_ISC_TAIL}"],
     "Apache-2.0-notice": [_APACHE_NOTICE, "Licensed under the Apache License, Version 2.0."],
     "BSD-2-Clause": [f"{_BSD_HEAD}\n\n{_BSD_TAIL}", f"BSD 2-Clause License\n\n{_BSD_HEAD}\n\n{_BSD_TAIL}"],
     "BSD-3-Clause": [f"{_BSD_HEAD}\n\n{_BSD_THIRD}\n\n{_BSD_TAIL}", f"BSD 3-Clause License\n\n{_BSD_HEAD}\n\n{_BSD_THIRD}\n\n{_BSD_TAIL}"],
+    "BSL-1.0": [_BOOST],
     "CC-BY-NC-4.0-notice": ["Licensed under CC BY-NC 4.0."],
     "GPL-3.0-or-later-notice": [_GPL3_NOTICE],
     "GPL-3.0-notice": ["This work is licensed under the GNU General Public License, version 3."],
@@ -46,5 +62,25 @@ KNOWN_LICENSES: dict[str, list[str]] = {
     ],
     "MIT": [f"{_MIT_GRANT}\n\n{_MIT_REST}", f"MIT License\n\n{_MIT_GRANT}\n\n{_MIT_REST}", f"The MIT License (MIT)\n\n{_MIT_GRANT}\n\n{_MIT_REST}"],
     "MIT-notice": ["Released under the MIT License."],
+    "Unlicense": [_UNLICENSE, f"{_UNLICENSE}\n\nFor more information, please refer to <https://unlicense.org>"],
     "Zlib": [_ZLIB, f"zlib License\n\n{_ZLIB}"],
 }
+
+
+# Digests of the canonical whole texts of longer licences, as their stewards publish them (with their
+# appendices on how to apply them).
+KNOWN_DIGESTS: dict[str, str] = {
+    "4a6318c7afd8feed8c4463ea5ae0f2f609d433928a8b17f31104c8e7743de2c5": "Apache-2.0",
+    "08f1dc258c8f9e175155356aa1dd0dead8cfdec586bc1bb4c8b1452699a91702": "Artistic-1.0-Perl",
+    "cccf7894e1b9f4ba9f97728bf0c5baf9e07bc2ac93da7a51556451b1fb2b868e": "CC0-1.0",
+    "1c057ea35084eb195331cec1a49fca335c176422a7726a9a23636906fd4e241f": "GFDL-1.2",
+    "7e8edd3abe6258bb82bb853d91a0c24fcd9976894fd0592747354cffe1cb18e7": "GFDL-1.3",
+    "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224": "GPL-1.0",
+    "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821": "GPL-2.0",
+    "a8cd54d6683aa630f0b8d05d56184ad91dc486756da2df61c94d3e4e8d5ecb68": "GPL-3.0",
+    "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908": "LGPL-2.0",
+    "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891": "LGPL-2.1",
+    "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be": "LGPL-3.0",
+    "3f0343dd4f3b064be36e0c6584737c9b7bb5c322721694563f9009e088ce96d1": "MPL-1.1",
+    "4019e4c8fe9ede57c538b37b3332dc097a88c163e273bb6905d38316e63c2eb6": "MPL-2.0",
+}

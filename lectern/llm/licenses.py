@@ -8,51 +8,52 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .license_texts import KNOWN_LICENSES
+from .license_texts import KNOWN_DIGESTS, KNOWN_LICENSES
 
-#: A line that begins with a copyright mark or is a reservation of rights; the text is lower case by then.
-COPYRIGHT_LINE = r"(^|\n)[ \t]*(copyright[ \t]|\(c\)|©|all rights reserved)[^\n]*"
+#: A line that begins with a copyright mark, or with the word and a mark, year, colon, "by" or blank to fill in, or that reserves
+#: rights; the text is lower case by then. Prose that only begins a line with "copyright notice" or "copyright holders" is none.
+COPYRIGHT_LINE = r"(^|\n)[ \t]*(copyright[ \t]*([(]c[)]|©|[12][0-9][0-9][0-9]|[<:\[]|by[ \t])|[(]c[)][ \t]*([12][0-9][0-9][0-9]|copyright)|©|all rights reserved)[^\n]*"
 
-# Spellings that count as equal, from and to, applied in this order.
+# Spellings that count as equal, from and to, applied in this order to words with one space between them.
 EQUIVALENTS = [
-    ("\r\n", "\n"),
-    ("\r", "\n"),
-    ("http://", "https://"),
+    ("http ", "https "),
     ("licence", "license"),
-    ("sub-license", "sublicense"),
-    ("non-infringement", "noninfringement"),
-    ("non-commercial", "noncommercial"),
+    ("sub license", "sublicense"),
+    ("non infringement", "noninfringement"),
+    ("non commercial", "noncommercial"),
     ("acknowledgement", "acknowledgment"),
     ("organisation", "organization"),
     ("copyright owner", "copyright holder"),
     ("favour", "favor"),
     ("per cent", "percent"),
-    ("&", "and"),
 ]
 GAPS = r"[^\p{L}\p{N}]+"
 
 
 def canonical(text: str | Column) -> Column:
-    """Lower case, equivalent spellings made equal, copyright lines gone, punctuation and blanks one space, trimmed."""
+    """Lower case, copyright lines gone, punctuation and line ends one space, then equivalent spellings made equal, trimmed."""
     out = F.lower(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
+    out = F.translate(out, "\r", "\n")
+    out = F.regexp_replace(out, COPYRIGHT_LINE, "$1")
+    out = F.regexp_replace(F.replace(out, F.lit("&"), F.lit(" and ")), GAPS, " ")
     for old, new in EQUIVALENTS:
         out = F.replace(out, F.lit(old), F.lit(new))
-    out = F.regexp_replace(out, COPYRIGHT_LINE, "$1")
-    return F.trim(F.regexp_replace(out, GAPS, " "))
+    return F.trim(out)
 
 
 def canonical_text(text: str | None) -> str:
     """The same in Python, for the known texts."""
-    text = (text or "").lower()
+    text = (text or "").lower().replace("\r", "\n")
+    text = re.sub(COPYRIGHT_LINE, r"\1", text)
+    text = re.sub(r"[\W_]+", " ", text.replace("&", " and "))
     for old, new in EQUIVALENTS:
         text = text.replace(old, new)
-    text = re.sub(COPYRIGHT_LINE, r"\1", text)
-    return re.sub(r"[\W_]+", " ", text).strip()
+    return text.strip()
 
 
 def known_digests(known: dict[str, list[str]] = KNOWN_LICENSES) -> dict[str, str]:
     """Digest to licence; a text listed under two licences belongs to the first in order of names."""
-    out: dict[str, str] = {}
+    out: dict[str, str] = dict(KNOWN_DIGESTS) if known is KNOWN_LICENSES else {}
     for name in sorted(known):
         for text in known[name]:
             out.setdefault(hashlib.sha256(canonical_text(text).encode()).hexdigest(), name)
@@ -65,9 +66,11 @@ def license_scan(
     """One row per document: id, ``canonical_sha256``, ``canonical_chars``, ``license_id`` (null: not a known licence text), ``matched``.
 
     The digest is of the whole canonical text, so a document matches when all of it is a known
-    licence. The known digests are a fixed list in the program (a few dozen rows), which bounds the
-    broadcast; the documents are not shuffled. Null and empty texts have an empty canonical text and
-    match nothing; repeated rows give repeated rows.
+    licence, however it is wrapped; a licence inside a longer text is none. The known digests are a
+    fixed list in the program (a few dozen rows), which bounds the broadcast; the documents are not
+    shuffled. Null and empty texts have an empty canonical text and match nothing, texts may be of any
+    length, and repeated rows give repeated rows. An empty table gives no rows; other columns are not
+    read.
     """
     spark = docs.sparkSession
     lookup = spark.createDataFrame(sorted(known_digests(known).items()), "canonical_sha256 string, license_id string")
@@ -80,12 +83,11 @@ def license_scan(
 
 
 def oracle() -> str:
-    text = "lower(coalesce(text, ''))"
+    text = "regexp_replace(translate(lower(coalesce(text, '')), chr(13), chr(10)), '%s', '\\1', 'g')" % COPYRIGHT_LINE
+    text = f"regexp_replace(replace({text}, '&', ' and '), '{GAPS}', ' ', 'g')"
     for old, new in EQUIVALENTS:
-        quoted = [x.replace("\r", "' || chr(13) || '").replace("\n", "' || chr(10) || '") for x in (old, new)]
-        text = f"replace({text}, ('{quoted[0]}'), ('{quoted[1]}'))"
-    text = f"regexp_replace({text}, '{COPYRIGHT_LINE}', '\\1', 'g')"
-    text = f"trim(regexp_replace({text}, '{GAPS}', ' ', 'g'))"
+        text = f"replace({text}, '{old}', '{new}')"
+    text = f"trim({text})"
     rows = ", ".join(f"('{d}', '{n}')" for d, n in sorted(known_digests().items()))
     return f"""
         WITH c AS (SELECT doc_id, {text} AS c FROM documents),
