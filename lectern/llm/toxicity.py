@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .common import U64, folded, mix64, prepare, words_of
@@ -27,7 +28,10 @@ PIECE, LAP = 16, max(GRAMS) - 1
 WINDOWS_AT_ONCE = 2048
 #: Distinct words whose inputs a task keeps between batches (50 MB).
 KEPT_WORDS = 1 << 18
-TEXTS_AT_ONCE = 500
+#: Texts, and their bytes, that are scored together.
+TEXTS_AT_ONCE, BYTES_AT_ONCE = 500, 4 << 20
+#: A labelled document longer than this (characters) is not fitted on, so that the sample stays below 150 MB; it is scored like all others.
+SAMPLE_CHARS = 50_000
 
 
 def _char_rows(data: np.ndarray, start: np.ndarray, end: np.ndarray, lead: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -342,11 +346,23 @@ def best_cut(value: np.ndarray, y: np.ndarray) -> float:
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Network:
-    rows = labelled_sample(docs, labels, label, id_col, text_col, 5, 0, sample, per_class=True).select("_o", "y", "text").collect()
+    rows = labelled_sample(docs, labels, label, id_col, text_col, 5, 0, sample, per_class=True, chars=SAMPLE_CHARS).select("_o", "y", "text").collect()
     rows.sort(key=lambda r: (r["_o"], r["y"], r["text"] or ""))
     return Network().fit([r["text"] for r in rows], np.array([int(r["y"] == 1) for r in rows]))
 
 
+def stretches(sizes: list[int | None], texts: int = TEXTS_AT_ONCE, most: int = BYTES_AT_ONCE):
+    """(from, to) of runs of at most so many texts, and of so many bytes unless one text alone has more."""
+    start, held = 0, 0
+    for k, size in enumerate(sizes):
+        if k > start and (k - start == texts or held + (size or 0) > most):
+            yield start, k
+            start, held = k, 0
+        held += size or 0
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
 def toxicity_scores(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", model: Network | None = None
 ) -> DataFrame:
@@ -354,7 +370,7 @@ def toxicity_scores(
 
     The score is that of the highest of all overlapping windows (32 words, 16 apart) over the whole
     text, and of a word all character runs count; each 16 bytes of a longer word are as a word in the
-    windows. The network is trained on the driver on at most 3,000 labelled documents of up to 200,000
+    windows. The network is trained on the driver on at most 3,000 labelled documents of up to 50,000
     characters outside the held-out fold; its weights (0.4 MB) go to the tasks. Null and empty texts
     have one window of padding. Without labels, or with one class only, all scores are that class's.
     Repeated rows give repeated rows; a null id is not held out. An empty table gives no rows.
@@ -368,8 +384,8 @@ def toxicity_scores(
     def run(batches):
         net, known = shared.value, Known()
         for batch in batches:
-            for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
-                part = batch.slice(at, TEXTS_AT_ONCE)
+            for at, to in stretches(pc.binary_length(batch.column(1)).to_pylist()):
+                part = batch.slice(at, to - at)
                 texts = part.column(1).to_pylist()
                 windows, scores = net.scored(texts, known)
                 held = [v is not None and zlib.crc32(str(v).encode()) % 5 == 0 for v in part.column(0).to_pylist()]

@@ -65,38 +65,82 @@ def test_secret_base_spans_are_the_patterns():
         assert secrets_scan.scan_text(t)["base"] == want
 
 
+def is_date(text):
+    """A year, or year-month-day or day-month-year with one sign (or none) between the parts."""
+    if re.fullmatch(r"(19|20)[0-9]{2}", text):
+        return True
+    for sign in ("", "-", "/", ".", "_"):
+        for a, b in combinations(range(1, len(text)), 2):
+            x, y, z = text[:a], text[a:b], text[b:]
+            if sign:
+                if not (x.endswith(sign) and y.endswith(sign)):
+                    continue
+                x, y = x[:-1], y[:-1]
+            for year, month, day in ((x, y, z), (z, y, x)):
+                number = lambda v, top: re.fullmatch("[0-9]{1,2}", v) and 1 <= int(v) <= top
+                if re.fullmatch(r"(19|20)[0-9]{2}", year) and number(month, 12) and number(day, 31):
+                    return True
+    return False
+
+
 def brute_cost(value):
-    """All segmentations of a short value, by the same segment costs."""
+    """The least cost over all segmentations, every segment looked at by itself."""
     per = secrets_scan._alphabet(value)
     low, n = value.lower(), len(value)
 
     def seg(i, j):
-        own, out = low[i:j], [(j - i) * per]
-        out += [c for k, c in secrets_scan._word_costs(value, i) if k == j - i]
-        m = secrets_scan._DATE.match(value, i) if value[i].isdigit() else None
-        if m and m.end() == j:
-            out.append(math.log10(365 * 130) if j - i > 4 else math.log10(130))
-        if j - i >= 3 and len(set(own)) == 1:
-            out.append(per + math.log10(j - i))
-        if j - i >= 3 and all(b in secrets_scan.NEAR.get(a, ()) for a, b in zip(own, own[1:])):
-            out.append(math.log10(47 * 4) + math.log10(j - i) + (j - i - 1) * math.log10(1.6))
-        for size in (2, 3, 4):
-            if j - i >= 2 * size and (j - i) % size == 0 and own == own[:size] * ((j - i) // size) and low[j : j + size] != own[:size]:
-                out.append(size * per + math.log10((j - i) // size))
+        own, k, out = low[i:j], j - i, [(j - i) * per]
+        out += [c for m, c in secrets_scan._word_costs(value, i) if m == k]
+        if is_date(value[i:j]):
+            out.append(math.log10(365 * 130) if k > 4 else math.log10(130))
+        if k >= 3 and len(set(own)) == 1:
+            out.append(per + math.log10(k))
+        if k >= 3 and all(b in secrets_scan.NEAR.get(a, ()) for a, b in zip(own, own[1:])):
+            out.append(math.log10(47 * 4) + math.log10(k) + (k - 1) * math.log10(1.6))
+        out += [size * per + math.log10(k // size) for size in (2, 3, 4) if k >= 2 * size and k % size == 0 and own == own[:size] * (k // size)]
         return min(out) + secrets_scan.PER_SEGMENT
 
-    best = math.inf
-    for cuts in product((0, 1), repeat=n - 1):
-        at = [0, *(i + 1 for i, c in enumerate(cuts) if c), n]
-        best = min(best, sum(seg(a, b) for a, b in zip(at, at[1:])))
-    return best
+    best = [0.0] + [math.inf] * n
+    for j in range(1, n + 1):
+        best[j] = min(best[i] + seg(i, j) for i in range(j))
+    return best[n]
+
 
+KEYS_40 = "qwertyuioplkjhgfdsazxcvbnmjuytrewqasdfgh"
+GUESSED = ["password1", "qwertyui", "aaaaaa", "abab12", "2019x7", "P@ssw0rd", "x9$Kq!", "admin123", "asdf1990", "20191231", "20200115", "2019-12-31", "20191234", "31/12/2019", "1.1.2020", "x2019_1_1y", "12-1-20199", "abcabcabcabcabca", KEYS_40, KEYS_40 + "zz9", "a" * 50 + "word", "xyxyxyxyxyxyxyx2019-1-12aaaa", "kkkkpassword" * 4]
 
-@pytest.mark.parametrize("value", ["password1", "qwertyui", "aaaaaa", "abab12", "2019x7", "P@ssw0rd", "x9$Kq!", "admin123", "asdf1990"])
+
+@pytest.mark.parametrize("value", GUESSED)
 def test_guess_cost_is_the_least_over_segmentations(value):
     assert secrets_scan.log10_guesses(value) == pytest.approx(brute_cost(value))
 
 
+def test_guess_costs_of_random_values():
+    rng = random.Random(31)
+    parts = ["a", "aa", "ab", "abc", "qwe", "1", "2019", "12", "31", "-", "/", "pass", "word", "Z", "$", "é", "0", "9876"]
+    for _ in range(400):
+        value = "".join(rng.choice(parts) for _ in range(rng.randint(1, 22)))
+        assert secrets_scan.log10_guesses(value) == pytest.approx(brute_cost(value)), value
+    for i in range(200):
+        value = "".join(rng.choice("0123/-19") for _ in range(12))
+        assert secrets_scan._date_lengths(value, 0) == {k for k in range(1, 13) if is_date(value[:k])}, value
+
+
+def test_guess_spans_of_whole_texts():
+    rng = random.Random(32)
+    words = ["password", "dbSecret", "x", "token", "api-key", "PIN", "name"]
+    values = ["x9$Kq!vR2#mT", "changeme123", "p$7&kQ!z0@Lw#9", "aaaaaaaaaaaa", "k3!", "2019-12-31", "Tr0ub4dor&3xyz!"]
+    for _ in range(150):
+        chosen = [(rng.choice(words), rng.choice(values)) for _ in range(6)]
+        text = " and ".join(f'{name}="{value}"' for name, value in chosen)
+        want, at = [], 0
+        for name, value in chosen:
+            at = text.index(f'{name}="{value}"', at) + len(name) + 2
+            if any(k in name.lower() for k in ("password", "secret", "token", "api-key")) and len(value) >= 6 and brute_cost(value) >= secrets_scan.MIN_LOG10_GUESSES:
+                want.append((at, at + len(value)))
+        assert [(a, b) for a, _, b, _ in secrets_scan.guess_spans(text)] == want
+
+
 def test_secret_scan_of_awkward_texts():
     import time
 
@@ -137,6 +181,7 @@ def test_secret_scan_rows(spark):
     assert got[1].base_sha256 == hashlib.sha256(b"").hexdigest()
     kind, a, b = next(x for x in got[0].spans.split(",") if x.startswith("guess")).split(":")
     assert t[int(a) : int(b)] == "x9$Kq!vR2#mT"
+    assert secrets_scan.secret_scan(docs(spark, [])).count() == 0
     assert secrets_scan.log10_guesses("k" * 100_000) < 20 < secrets_scan.log10_guesses("x9$Kq!vR" * 3 + "zz81")
 
 
@@ -342,6 +387,93 @@ def test_gradients_are_slopes():
         assert slope == pytest.approx(float(g[name][at]), rel=0.15, abs=2e-4), name
 
 
+def plain_logit(net, rows):
+    """The network's answer for one window, with plain loops: rows is a word row and character rows per place."""
+    p = {k: v.astype(float).tolist() for k, v in net.p.items()}
+    h, dot = toxicity.HIDDEN, lambda x, m, k: sum(a * b[k] for a, b in zip(x, m))
+    sig = lambda v: 1 / (1 + math.exp(-v))
+    xs = []
+    for word, chars in rows:
+        own = p["word"][word] + [sum(p["char"][c][d] for c in chars) / math.sqrt(len(chars)) for d in range(toxicity.CHAR_DIM)]
+        xs.append([dot(own, p["wx"], k) + p["bx"][k] for k in range(6 * h)])
+
+    def run(xs, u):
+        state, out = [0.0] * h, []
+        for x in xs:
+            a = [dot(state, u, k) for k in range(3 * h)]
+            z, r = [sig(x[k] + a[k]) for k in range(h)], [sig(x[h + k] + a[h + k]) for k in range(h)]
+            n = [math.tanh(x[2 * h + k] + r[k] * a[2 * h + k]) for k in range(h)]
+            state = [(1 - z[k]) * n[k] + z[k] * state[k] for k in range(h)]
+            out.append(state)
+        return out
+
+    one, two = run([x[: 3 * h] for x in xs], p["uf"]), run([x[3 * h :] for x in xs][::-1], p["ub"])[::-1]
+    states = [a + b for a, b in zip(one, two)]
+    weight = [math.exp(sum(math.tanh(dot(s, p["wa"], k)) * p["va"][k] for k in range(h))) for s in states]
+    pooled = [sum(w * s[k] for w, s in zip(weight, states)) / sum(weight) for k in range(2 * h)]
+    return sum(a * b for a, b in zip(pooled, p["wo"])) + p["bo"][0]
+
+
+def test_scores_equal_plain_loops():
+    rng = random.Random(41)
+    net = toxicity.Network(seed=3)
+    net.p = {k: v + np.float32(0.05) * np.random.default_rng(1).normal(size=v.shape).astype(np.float32) for k, v in net.p.items()}
+    net.shift = 0.1
+    texts = ["one", "some bad words here", sentence(rng, 33), sentence(rng, 70), "x" * 50 + " tail"]
+    for text, (n, score) in zip(texts, zip(*net.scored(texts)), strict=True):
+        v = toxicity.Vocabulary([text])
+        part = v.part(np.arange(len(v.words)))
+        rows = [(int(part.word_rows[k - 1]), part.rows[part.begin[k - 1] : part.begin[k - 1] + part.count[k - 1]].tolist()) for k in v.places.tolist()]
+        starts = [0] if len(rows) <= toxicity.WINDOW else [*range(0, len(rows) - toxicity.WINDOW + toxicity.STRIDE, toxicity.STRIDE)]
+        logits = [plain_logit(net, rows[a : a + toxicity.WINDOW]) for a in starts if a < len(rows)]
+        assert n == len(logits) and score == pytest.approx(1 / (1 + math.exp(net.shift - max(logits))), abs=1e-4)
+
+
+def test_stretches_hold_texts_and_bytes():
+    rng = random.Random(42)
+    for _ in range(200):
+        sizes = [rng.choice([0, 1, 5, 40, None]) for _ in range(rng.randint(0, 30))]
+        got = [*toxicity.stretches(sizes, 4, 50)]
+        assert [k for a, b in got for k in range(a, b)] == [*range(len(sizes))]
+        assert all(b - a <= 4 and (b - a == 1 or sum(x or 0 for x in sizes[a:b]) <= 50) for a, b in got)
+
+
+def test_ranking_is_the_least_loss_over_pairs():
+    """No change of the weights lowers the Bradley-Terry loss, added up pair by pair in plain loops."""
+    rng = np.random.default_rng(43)
+    x, y = rng.normal(size=(60, quality.N_FEATURES)), np.arange(60) % 2
+    x[:, 0] += y
+    model = quality.RankModel().fit(x, y)
+    phi = model.expand(x)
+    pick = np.random.default_rng(quality.SEED)
+    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+    pairs = list(zip(pick.choice(good, quality.PAIRS).tolist(), pick.choice(bad, quality.PAIRS).tolist(), strict=True))[:]
+
+    def loss(w):
+        raw = [sum(a * b for a, b in zip(row, w)) for row in phi.tolist()]
+        return sum(math.log1p(math.exp(raw[b] - raw[a])) for a, b in pairs) / len(pairs) + 0.0005 * sum(a * a for a in w)
+
+    w = model.weight.tolist()
+    least = loss(w)
+    for k in range(0, len(w), 5):
+        for step in (-0.02, 0.02):
+            assert loss([v + step * (i == k) for i, v in enumerate(w)]) > least
+    scores = model.score(x)
+    assert all((phi[a] @ model.weight > phi[b] @ model.weight) == (scores[a] > scores[b]) for a, b in pairs[:500])
+
+
+def test_drop_poor_keeps_rows_as_they_are(spark):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    rng = random.Random(44)
+    good = [sentence(rng, 60).capitalize() + "." for _ in range(20)]
+    texts = [good[k // 2] if k % 2 else "$$ !! ## " * 30 for k in range(40)] + [None, "", good[0], good[0]]
+    frame = docs(spark, texts, [*range(40), None, 41, None, 7])
+    kept = quality.drop_poor(frame, labels)
+    got = kept.collect()
+    assert kept.columns == frame.columns and {r.text for r in got} >= set(good) and not any("$$" in (r.text or "") for r in got)
+    assert sum(r.text == good[0] for r in got) == 3 and quality.drop_poor(docs(spark, []), labels).count() == 0
+
+
 def test_every_character_run_of_a_word_is_looked_up():
     rng = random.Random(5)
     for word in ("a", "ab", "x" * 14 + "zorgwub", "q" * 32, "q" * 33, "Donaudampfschifffahrtsgesellschaft", "これは空白のない長い文です" * 9, "".join(rng.choice("abcde") for _ in range(3000))):
@@ -426,7 +558,7 @@ def test_warc_long_urls_and_broken_chains(spark, tmp_path):
     pages = spark.createDataFrame([(i, u, f"body {i}") for i, u in enumerate(urls)], "page_id long, url string, html string").coalesce(1)
     got = warc.archive_round_trip(pages, keep_at=str(tmp_path / "w")).collect()
     assert sorted((r.page_id, r.payload_bytes) for r in got) == [(i, 6) for i in range(4)]
-    data = next((tmp_path / "w").glob("part-*")).read_bytes()
+    data = next((tmp_path / "w").rglob("part-*")).read_bytes()
     at = [x[0] for x in warc.candidates(data)]
     for k, broken in enumerate((data[:-3], data[: at[2]] + b"junk" + data[at[2] :], b"junk" + data, b"junk")):
         (tmp_path / f"b{k}").mkdir()
@@ -435,6 +567,30 @@ def test_warc_long_urls_and_broken_chains(spark, tmp_path):
             warc.read_archives(spark, str(tmp_path / f"b{k}"))
 
 
+def test_warc_files_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 20_000)
+    rng = random.Random(18)
+    sizes = [rng.randint(0, 300) for _ in range(300)] + [9_000] * 12 + [rng.randint(0, 300) for _ in range(100)] + [50_000, 30_000]
+    pages = spark.createDataFrame([(i, "u", chr(97 + i % 26) * n) for i, n in enumerate(sizes)], "page_id long, url string, html string").coalesce(1)
+    got = warc.archive_round_trip(pages, keep_at=str(tmp_path / "w")).collect()
+    assert sorted((r.page_id, r.payload_bytes) for r in got) == [*enumerate(sizes)]
+    files = [p.stat().st_size for p in (tmp_path / "w").rglob("part-*")]
+    assert sum(n > 20_000 for n in files) == 2 and len(files) < 60
+
+
+@pytest.mark.parametrize("least", [0, 100_000])
+def test_warc_repeated_and_missing_ids(spark, monkeypatch, least):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", least)
+    long = "x" * 1500
+    rows = [(1, long), (2, long), (2, long), (None, long), (None, "y" * 1200), (None, "y" * 1200), (3, None), (3, "z"), (4, "y" * 999), (5, "y" * 999)]
+    pages = spark.createDataFrame([(i, None, h, "d", 1, 2) for i, h in rows], "page_id long, url string, html string, digest string, bytes int, payload int")
+    got = sorted(((str(r.page_id), r.payload_bytes, r.record_type, r.refers_to) for r in warc.archive_round_trip(pages).collect()), key=str)
+    assert got == sorted([
+        ("1", 1500, "revisit", 2), ("2", 1500, "response", None), ("2", 1500, "response", None), ("None", 1500, "revisit", 2), ("None", 1200, "response", None),
+        ("None", 1200, "response", None), ("3", 0, "response", None), ("3", 1, "response", None), ("4", 999, "response", None), ("5", 999, "response", None),
+    ], key=str)
+
+
 def test_warc_headers_in_time_and_as_one_by_one():
     import time
 
@@ -458,7 +614,7 @@ def test_warc_headers_in_time_and_as_one_by_one():
 
 def test_contained_items_equal_brute_force(spark):
     rng = random.Random(9)
-    items = [sentence(rng, n) for n in (6, 11, 20, 40, 70, 150, 300)] + ["too short", None]
+    items = [sentence(rng, n) for n in (6, 11, 20, 40, 70, 150, 300)] + ["", "!", None]
     texts = [sentence(rng, 400) + " " + items[k % 7] + " " + sentence(rng, k * 13) for k in range(30)] + [None, "", items[2], " ".join(items[:7])]
     for k in range(7):  # most of an item
         w = items[k].split()
@@ -476,6 +632,53 @@ def test_contained_items_equal_brute_force(spark):
     assert decontam.contained_items(frame, bench.limit(0)).count() == 0 and decontam.contained_items(docs(spark, []), bench).count() == 0
 
 
+def brute_contained(texts, items):
+    grams = lambda w, n: {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+    out = set()
+    for j, q in enumerate(items):
+        words = (q or "").lower().split()
+        n = min(5, len(words))
+        own = grams(words, n) if n else set()
+        out |= {(i, j) for i, t in enumerate(texts) if own and len(own & grams((t or "").lower().split(), n)) >= 0.8 * len(own) - 1e-9}
+    return out
+
+
+@pytest.mark.parametrize("at_once", [1 << 15, 64])
+def test_items_of_any_length_in_documents_of_any_length(spark, monkeypatch, at_once):
+    monkeypatch.setattr(decontam, "AT_ONCE", at_once)  # 64: nearly all documents are read in stretches
+    monkeypatch.setattr(common, "HOT", 1)
+    rng = random.Random(14)
+    items = ["one two three", "Uno dos", "solo", "a b c d", sentence(rng, 7), sentence(rng, 33), sentence(rng, 100), sentence(rng, 400), "", None]
+    texts = [sentence(rng, 300) + f" {q or ''} " + sentence(rng, 2000 if k % 2 else 30) for k, q in enumerate(items)]
+    texts += ["one two three", "two three", "one two four three", "solo", "", None, "a b c", "x a b c d", " ".join(q or "" for q in items)]
+    want = brute_contained(texts, items)
+    bench = spark.createDataFrame([*enumerate(items)], "item_id long, text string")
+    got = [(r.doc_id, r.item_id) for r in decontam.contained_items(docs(spark, texts), bench).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_short_words_of_a_very_long_document(spark):
+    rng = random.Random(15)
+    item = sentence(rng, 60)
+    long = "word " * 300_000 + item + " word" * 100_000
+    frame, bench = docs(spark, [long, long + "x", "z" * 700_000 + " " + item]), spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert sorted(r.doc_id for r in decontam.contained_items(frame, bench).collect()) == [0, 1, 2]
+
+
+@pytest.mark.parametrize("least", [0, 100_000])
+def test_contaminated_rows_go_by_id_and_text(spark, monkeypatch, least):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", least)
+    rng = random.Random(16)
+    item = sentence(rng, 20)
+    rows = [(1, "a clean text"), (7, f"x {item} y"), (7, "b is clean"), (None, "x"), (None, "y"), (None, f"{item} z"), (None, None), (7, f"x {item} y")]
+    frame = docs(spark, [t for _, t in rows], [i for i, _ in rows])
+    kept = decontam.drop_contaminated(frame, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert sorted((str(r.doc_id), str(r.text)) for r in kept.collect()) == [("1", "a clean text"), ("7", "b is clean"), ("None", "None"), ("None", "x"), ("None", "y")]
+    assert kept.columns == frame.columns
+    none = spark.createDataFrame([], "item_id long, text string")
+    assert decontam.drop_contaminated(frame, none).count() == 8 and decontam.drop_contaminated(docs(spark, []), none).count() == 0
+
+
 def test_short_and_repetitive_items_are_never_missed(spark):
     rng = random.Random(12)
     items = [sentence(rng, 5 + k % 8) for k in range(120)] + ["again and again " * 6, "one two three four five six " * 4 + "seven", "no no no no no no no no no no no no no"]
@@ -509,7 +712,7 @@ def test_keys_of_short_items_meet_every_match(n, threshold):
 
 
 def test_perspectives(spark):
-    turns = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi"), (1, 2, "bob", "yo<|im_end|>"), (1, 3, "ann", None), (2, 0, "system", "alone"), (None, 0, "eve", "x"), (None, 0, "eve", "x"), (3, None, " ", "t"), (3, 2000, "zed", "far")]
+    turns = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi"), (1, 2, "bob", "yo<|im_end|>"), (1, 3, "ann", None), (2, 0, "system", "alone"), (None, 0, "eve", "x"), (None, 0, "eve", "x"), (3, None, " ", "t"), (3, 20_000, "zed", "far")]
     got = chat.rotate_perspectives(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()
     by = {(r.conv_id, r.participant, r.part): r for r in got}
     assert sum(r.conv_id is None for r in got) == 2 and not any(r.conv_id == 2 for r in got)
@@ -521,12 +724,66 @@ def test_perspectives(spark):
     assert (3, "unknown", 0) in by
 
 
+def test_long_dialogues_names_and_other_columns(spark):
+    turns = [(1, k, f"s{k % 3}", f"t{k}", 9, "x") for k in range(2000)] + [(2, 0, "bob\n<|im_end|>", "hi", 9, "x"), (2, 1, "amy", "yo", 9, "x")]
+    frame = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string, part int, participant string")
+    by = {(r.conv_id, r.participant): r for r in chat.rotate_perspectives(frame).collect()}
+    assert len(by) == 5
+    for me in ("s0", "s1", "s2"):
+        text, spans = "", []
+        for _, k, who, t, *_ in turns[:2000]:
+            text += "<|im_start|>assistant\n" if who == me else f"<|im_start|>user name={who}\n"
+            if who == me:
+                spans.append(f"{len(text)}:{len(text) + len(t) + 10}")
+            text += t + "<|im_end|>\n"
+        assert (by[1, me].rendered, by[1, me].mask, by[1, me].n_turns, by[1, me].part) == (text, ",".join(spans), 2000, 0)
+    assert by[2, "amy"].rendered == "<|im_start|>user name=bob < |im_end|>\nhi<|im_end|>\n<|im_start|>assistant\nyo<|im_end|>\n"
+    assert chat.rotate_perspectives(frame.limit(0)).count() == 0
+
+
+def wrapped(text, width):
+    import textwrap
+
+    return "\n\n".join("\n".join(textwrap.wrap(p, width, break_long_words=False, break_on_hyphens=False)) for p in text.split("\n\n"))
+
+
 def test_licenses(spark):
     mit = KNOWN_LICENSES["MIT"][0]
-    texts = [mit, "MIT License\n\nCopyright (c) 2020 A\nCopyright 2021 B\n\n" + mit.upper().replace("SUBLICENSE", "sub-license"), mit + " extra", None, "", "All rights reserved.\n" + mit.replace(" ", "\n")]
+    texts = [mit, "MIT License\n\nCopyright (c) 2020 A\nCopyright 2021 B\n\n" + mit.upper().replace("SUBLICENSE", "sub-license"), mit + " extra", None, "", "All rights reserved.\n" + mit.replace(" ", "\n"), mit + " " * 2_000_000, mit]
     got = licenses.license_scan(docs(spark, texts)).orderBy("doc_id").collect()
-    assert [r.license_id for r in got] == ["MIT", "MIT", None, None, None, "MIT"]
+    assert [r.license_id for r in got] == ["MIT", "MIT", None, None, None, "MIT", "MIT", "MIT"]
     assert all(r.canonical_sha256 == hashlib.sha256(licenses.canonical_text(t).encode()).hexdigest() for r, t in zip(got, texts, strict=True))
+    assert licenses.license_scan(docs(spark, [])).count() == 0
+
+
+def test_licenses_however_they_are_wrapped(spark):
+    every = [(name, t) for name, ts in KNOWN_LICENSES.items() for t in ts]
+    texts = [head + wrapped(t, width).replace("\n", end) for name, t in every for width, end, head in ((40, "\n", ""), (72, "\r\n", "Copyright (c) 2001-2020, The Holders <a@b.c>\r\n\r\n"), (79, "\n", "Copyright 2019 X\n  © 2020 Y\nCopyright <YEAR> <HOLDER>\n"), (80, "\r", ""))]
+    got = licenses.license_scan(docs(spark, texts)).orderBy("doc_id").collect()
+    assert [r.license_id for r in got] == [name for name, _ in every for _ in range(4)]
+
+
+def test_digests_are_those_of_the_published_texts():
+    names = {"Apache-2.0": "Apache-2.0", "CC0-1.0": "CC0-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0"}
+    folder = Path("/usr/share/common-licenses")
+    if not folder.exists():
+        pytest.skip("no licence texts on this machine")
+    for file, name in names.items():
+        text = (folder / file).read_text()
+        for t in (text, "\r\n".join(text.split("\n")), text.upper()):
+            assert licenses.known_digests()[hashlib.sha256(licenses.canonical_text(t).encode()).hexdigest()] == name
+
+
+def test_license_query_finds_planted_texts(spark, duck, tmp_path):
+    """The query and its SQL on documents of which some are whole licences."""
+    texts = [wrapped(ts[0], 79) for ts in KNOWN_LICENSES.values()] + ["Copyright (c) 2020 A\n" + KNOWN_LICENSES["ISC"][0], "no licence", None, "MIT"]
+    path = str(tmp_path / "documents.parquet")
+    docs(spark, texts).write.parquet(path)
+    got = queries.op10_license_scan(spark, str(tmp_path)).orderBy("doc_id").collect()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}/*.parquet'")
+    want = con.execute(f"SELECT doc_id, canonical_sha256, canonical_chars, license_id, matched FROM ({queries.ORACLES['op10_license_scan']}) ORDER BY doc_id").fetchall()
+    assert [tuple(r) for r in got] == want and sum(r.matched for r in got) == len(KNOWN_LICENSES) + 1
 
 
 # --- queries ---------------------------------------------------------------------------------
