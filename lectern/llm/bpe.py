@@ -1,15 +1,18 @@
-"""Byte-level BPE by overlapping chunks: pre-tokenise, stitch where boundaries meet, merge, decode."""
+"""Byte-level BPE by overlapping chunks: pre-tokenise in parallel, stitch where boundaries meet, merge, decode."""
 
 from __future__ import annotations
 
 import base64
 import hashlib
 from collections.abc import Iterator
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import prepare
 
@@ -17,6 +20,10 @@ CHUNK, OVERLAP = 1 << 16, 1 << 9
 #: A boundary this near to the end of what a chunk sees may move when more is seen.
 MARGIN = 4
 CACHE = 1 << 18
+#: A text of more characters is cut into parts of PART, each with PART_OVERLAP of the next, that are encoded by tasks of their own.
+LONG, PART, PART_OVERLAP = 1 << 20, 1 << 18, 1 << 12
+#: Characters of parts that leave a task at a time.
+PARTS_AT_ONCE = 1 << 23
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -146,6 +153,122 @@ class Codec:
         return b"".join(map(self.raw.__getitem__, np.asarray(ids).tolist()))
 
 
+class Digest:
+    """Count, hash of ids and hash of decoded bytes of one text, from its ids piece by piece."""
+
+    def __init__(self, codec: Codec, with_ids: bool):
+        self.codec, self.n, self.one, self.two, self.ids = codec, 0, hashlib.sha256(), hashlib.sha256(), [] if with_ids else None
+
+    def add(self, part: bytes) -> None:
+        got = np.frombuffer(part, dtype="<u4")
+        self.n += len(got)
+        self.one.update(part)
+        self.two.update(self.codec.decode(got))
+        if self.ids is not None:
+            self.ids.append(got.astype(np.int32))
+
+    def row(self) -> tuple:
+        own = () if self.ids is None else (np.concatenate(self.ids) if self.ids else np.zeros(0, np.int32),)
+        return self.n, self.one.hexdigest(), self.two.hexdigest(), *own
+
+
+def _result(id_col: str, ids: pa.Array, rows: list[tuple], with_ids: bool) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * (3 + with_ids)
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32())][: 3 + with_ids]
+    names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: 4 + with_ids]
+    return pa.RecordBatch.from_arrays([ids, *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names)
+
+
+def _by_row(frame: DataFrame, column: str, work, schema: str) -> DataFrame:
+    """Runs work(id, values) on each ``row``'s values of a column, which stream by in the order of ``part``."""
+    dealt = frame.select("row", "part", "id", column).repartition("row").sortWithinPartitions("row", "part")
+
+    def run(batches):
+        flat = (v for batch in batches for v in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        for _, parts in groupby(flat, key=lambda v: v[0]):
+            first = next(parts)
+            yield work(first[2], (v[3] for v in chain([first], parts)))
+
+    return dealt.mapInArrow(run, schema)
+
+
+def _long_texts(docs: DataFrame, shared, id_col: str, text_col: str, with_ids: bool, schema: str) -> DataFrame | None:
+    """Rows of :func:`tokenise` for the texts of more than LONG characters; None if there are none.
+
+    1. Texts are cut into parts, rows of their own, and every part is split into pre-tokens from its
+       first character on.
+    2. Where a part's boundaries and the next one's agree in their overlap, the one hands over to the
+       other: each part then has a begin and an end.
+    3. Parts are encoded from begin to end, by any task.
+    4. A text's ids stream in order through one task, which takes their hashes; nothing is gathered.
+
+    A text with parts that share no boundary (a pre-token of more than 4,096 characters) is encoded by
+    one task, whose chunks overlap as far as it takes.
+    """
+    kind = docs.schema[id_col].dataType
+    arrow = pa.field("id", to_arrow_type(kind)).type
+
+    def cut(batches):
+        for batch in batches:
+            for row, own, text in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                text = text.as_py()
+                starts = range(0, len(text), PART)
+                for k in range(0, len(starts), max(1, PARTS_AT_ONCE // PART)):
+                    some = starts[k : k + max(1, PARTS_AT_ONCE // PART)]
+                    columns = [pa.array([row] * len(some)), pa.array([own.as_py()] * len(some), arrow), pa.array([a // PART for a in some], pa.int64()), pa.array([a + PART + PART_OVERLAP >= len(text) for a in some]), pa.array([text[a : a + PART + PART_OVERLAP] for a in some])]
+                    yield pa.RecordBatch.from_arrays(columns, ["row", "id", "part", "last", "text"])
+
+    name = kind.simpleString()
+    wide = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where(F.length("text") > LONG)
+    parts = wide.mapInArrow(cut, f"row long, id {name}, part long, last boolean, text string").checkpoint()
+    if parts.isEmpty():
+        return None
+
+    def split(batches):
+        pattern = regex.compile(shared.value[1])
+        for batch in batches:
+            heads, tails = [], []
+            for last, text in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                ends = np.array([m.end() for m in pattern.finditer(text) if last or m.end() <= len(text) - MARGIN], dtype=np.int64)
+                heads.append(ends[ends <= PART_OVERLAP])
+                tails.append(ends[ends > PART] - PART)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, pa.list_(pa.int64())) for x in (heads, tails))], ["row", "part", "head", "tail"])
+
+    edges = parts.select("row", "part", "last", "text").mapInArrow(split, "row long, part long, head array<long>, tail array<long>").checkpoint()
+    follows = edges.select("row", (F.col("part") - 1).alias("part"), F.col("head").alias("next"))
+    meets = edges.join(follows, ["row", "part"]).select("row", "part", F.array_min(F.array_intersect("tail", "next")).alias("meet"))
+    broken = meets.where("meet IS NULL").select("row").distinct()
+    begins = meets.select("row", (F.col("part") + 1).alias("part"), F.col("meet").alias("begin"))
+    placed = parts.join(broken, "row", "left_anti").join(begins, ["row", "part"], "left").join(meets, ["row", "part"], "left")
+
+    def encode(batches):
+        codec = Codec(*shared.value)
+        for batch in batches:
+            out = []
+            for begin, meet, text in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
+                begin, end = begin or 0, len(text) if meet is None else meet + PART
+                ends = [m.end() for m in codec.pattern.finditer(text, begin)]
+                cuts = [begin, *(b for b in ends if b <= end)]
+                out.append(b"".join(codec.piece_ids(text[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.binary())], ["row", "part", "id", "ids"])
+
+    def finish(own, pieces):
+        digest = Digest(Codec(*shared.value), with_ids)
+        for piece in pieces:
+            digest.add(piece)
+        return _result(id_col, pa.array([own], arrow), [digest.row()], with_ids)
+
+    def whole(own, texts):
+        codec = Codec(*shared.value)
+        digest = Digest(codec, with_ids)
+        for piece in codec.encode_chunks("".join(t[:PART] for t in texts)):
+            digest.add(piece)
+        return _result(id_col, pa.array([own], arrow), [digest.row()], with_ids)
+
+    coded = placed.select("row", "part", "id", "begin", "meet", "text").mapInArrow(encode, f"row long, part long, id {name}, ids binary")
+    return _by_row(coded, "ids", finish, schema).unionByName(_by_row(parts.join(broken, "row", "left_semi"), "text", whole, schema))
+
+
 def tokenise(
     docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False
 ) -> DataFrame:
@@ -153,8 +276,10 @@ def tokenise(
 
     The driver reads the vocabulary (about a megabyte, fixed by its file) and broadcasts it. A text
     streams through in overlapping chunks: ids and decoded bytes are hashed chunk by chunk, so memory
-    is bounded by the batch, not by token counts. Null text counts as empty: no tokens, and the hash
-    of no bytes. Repeated rows give repeated rows; other columns are not read.
+    is bounded by the batch, not by token counts. Texts of more than a million characters are cut into
+    overlapping parts that tasks split and encode side by side (:func:`_long_texts`). Null text counts
+    as empty: no tokens, and the hash of no bytes. Repeated rows give repeated rows, a null id is kept;
+    other columns are not read. An empty table gives no rows.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -165,25 +290,14 @@ def tokenise(
     def run(batches):
         codec = Codec(*shared.value)
         for batch in batches:
-            counts, hashes, decoded, ids = [], [], [], []
+            rows = []
             for text in batch.column(1):
-                n, one, two, own = 0, hashlib.sha256(), hashlib.sha256(), []
+                digest = Digest(codec, with_ids)
                 for part in codec.encode_chunks(text.as_py()):
-                    got = np.frombuffer(part, dtype="<u4")
-                    n += len(got)
-                    one.update(part)
-                    two.update(codec.decode(got))
-                    if with_ids:
-                        own.append(got.astype(np.int32))
-                counts.append(n)
-                hashes.append(one.hexdigest())
-                decoded.append(two.hexdigest())
-                ids.append(np.concatenate(own) if own else np.zeros(0, np.int32))
-            columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(hashes, pa.string()), pa.array(decoded, pa.string())]
-            names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
-            if with_ids:
-                columns.append(pa.array(ids, pa.list_(pa.int32())))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(columns, names)
-
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+                    digest.add(part)
+                rows.append(digest.row())
+            yield _result(id_col, batch.column(0), rows, with_ids)
+
+    short = docs.select(id_col, text_col).where(F.coalesce(F.length(text_col), F.lit(0)) <= LONG).mapInArrow(run, schema)
+    long = _long_texts(docs, shared, id_col, text_col, with_ids, schema)
+    return short if long is None else short.unionByName(long)

@@ -351,6 +351,7 @@ def test_chunks_meet_again():
 def test_tokenise_rows(spark, library):
     texts = [None, "", "Hello world", "word " * 60_000]
     got = bpe.tokenise(docs(spark, texts), VOCABULARY, public_tokenizers.PATTERN, with_ids=True).orderBy("doc_id").collect()
+    assert bpe.tokenise(docs(spark, []), VOCABULARY, public_tokenizers.PATTERN).count() == 0
     for t, r in zip(texts, got, strict=True):
         ids = library.encode_ordinary(t or "")
         assert (r.n_tokens, r.ids) == (len(ids), ids)
@@ -358,6 +359,32 @@ def test_tokenise_rows(spark, library):
         assert r.decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
 
 
+@pytest.mark.parametrize(("part", "overlap"), [(1 << 18, 1 << 12), (500, 40)])
+def test_long_texts_in_parts_equal_the_library(spark, library, monkeypatch, part, overlap):
+    monkeypatch.setattr(bpe, "LONG", 2000)
+    monkeypatch.setattr(bpe, "PART", part)
+    monkeypatch.setattr(bpe, "PART_OVERLAP", overlap)
+    monkeypatch.setattr(bpe, "PARTS_AT_ONCE", 3 * part)
+    rng = random.Random(51)
+    odd = lambda n: "".join(rng.choice(["a", "word ", "  ", "\n", "'s", "12", "!!", "é", "日本", "🙂", " \n "]) for _ in range(n))
+    texts = [odd(4000), "short", None, odd(700) + "x" * 2500 + odd(700), " " * 5000 + "end", odd(3000), odd(3000)[:2000], "y" * 2001]
+    ids = [1, 2, 3, None, 5, 1, 7, 8]
+    got = bpe.tokenise(docs(spark, texts, ids), VOCABULARY, public_tokenizers.PATTERN, with_ids=True).collect()
+    want = [library.encode_ordinary(t or "") for t in texts]
+    assert sorted((str(r.doc_id), r.n_tokens, r.ids) for r in got) == sorted((str(i), len(w), w) for i, w in zip(ids, want, strict=True))
+    assert {r.decoded_sha256 for r in got} == {hashlib.sha256((t or "").encode()).hexdigest() for t in texts}
+
+
+def test_a_text_of_fifty_megabytes(spark, library):
+    rng = random.Random(52)
+    block = " ".join(sentence(rng, 9).capitalize() + rng.choice(". , \n\n ... 2024".split(" ")) for _ in range(5000))
+    text = block * (50_000_000 // len(block))
+    row = bpe.tokenise(docs(spark, [text], [7]), VOCABULARY, public_tokenizers.PATTERN).first()
+    ids = np.array(library.encode_ordinary(text), dtype="<u4")
+    assert (row.doc_id, row.n_tokens, row.ids_sha256) == (7, len(ids), hashlib.sha256(ids.tobytes()).hexdigest())
+    assert row.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+
+
 # --- 5 and 9 ---------------------------------------------------------------------------------
 
 
