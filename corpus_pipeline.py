@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from lectern.llm import bpe, decontam, dedup, jaccard, quality
-from lectern.llm.common import prepare, scratch_path, table
+from lectern.llm.common import prepare, remove_path, scratch_path, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -44,11 +44,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to ``documents``; what a stage returns is written as Parquet and read again as the next one's input."""
+    """Applies the stages to ``documents``; what a stage returns is written as Parquet and read again as the next one's input.
+
+    A stage's Parquet goes once the next one has written its own; only the input of the last stage, which is
+    lazy, stays in the shared folder.
+    """
     prepare(spark)
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         path = scratch_path(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            remove_path(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
