@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Prefix of every pattern: Unicode classes, and only a line feed ends a line.
 U = "(?Ud)"
+#: White space as ``str.strip`` and ``str.split`` see it: that of Unicode and the four information separators.
+SPACE = r"[\s\x1c-\x1f]"
 
 
 def col(c: str | Column) -> Column:
@@ -14,13 +16,13 @@ def col(c: str | Column) -> Column:
 
 
 def strip(c: str | Column) -> Column:
-    return F.regexp_replace(col(c), r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(col(c), rf"(?U)^{SPACE}+|{SPACE}+$", "")
 
 
 def words(c: str | Column) -> Column:
     """Split at white space; a blank text has no words."""
     s = strip(c)
-    return F.when(s == "", F.array().cast("array<string>")).otherwise(F.split(s, r"(?U)\s+"))
+    return F.when(s == "", F.array().cast("array<string>")).otherwise(F.split(s, rf"(?U){SPACE}+"))
 
 
 def dots(c: str | Column) -> Column:

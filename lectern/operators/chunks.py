@@ -61,5 +61,14 @@ def merge_chunks(rows: DataFrame, plan: DataFrame) -> DataFrame:
     return out.withColumns({c: F.col(c) + F.col("_off") for c in ("page", "page_start", "page_end") if c in rows.columns}).drop("_off")
 
 
+def merge_totals(results: DataFrame) -> DataFrame:
+    """``(doc_id, chunk_index, tables, clauses, processing_time, cost_estimate)``, counts per chunk, to the totals of the merged document."""
+    total = lambda c, digits: F.bround(F.coalesce(F.sum(c), F.lit(0.0)), digits)
+    return results.groupBy("doc_id").agg(
+        F.coalesce(F.sum("tables"), F.lit(0)).alias("table_count"), F.coalesce(F.sum("clauses"), F.lit(0)).alias("clause_count"),
+        total("processing_time", 2).alias("processing_time"), total("cost_estimate", 3).alias("cost_estimate"), F.count("*").alias("num_chunks"),
+    )
+
+
 def gpu_cost(seconds: str = "seconds"):
     return F.bround(F.col(seconds) / 3600 * GPU_DOLLARS_PER_HOUR, 4)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.store import kept
 from ..functions.text import U, col, dots, last_part_dropped, strip
 
 # The grammar of clause starts and of the lines that end a body.
@@ -56,10 +57,10 @@ def classify(lines: DataFrame) -> DataFrame:
     return rows.join(first, DOC, "left").withColumn("kind", F.when((F.col("kind") != "L") | late, F.col("kind"))).select("doc_id", "page", "line_no", "line", "kind", "stops")
 
 
-def carried_numbers(rows: DataFrame) -> DataFrame:
+def carried_numbers(starts: DataFrame) -> DataFrame:
     """``(doc_id, page, carried)``: the last number or appendix of the document's earlier pages, by a window over pages, not lines."""
-    own = F.when(F.col("kind").isin("N", "A"), F.struct("line_no", _own_number().alias("own")))
-    pages = rows.groupBy(*PAGE).agg(F.max(own)["own"].alias("last"))
+    own = F.when(F.col("own").isNotNull(), F.struct("line_no", "own"))
+    pages = starts.groupBy(*PAGE).agg(F.max(own)["own"].alias("last"))
     before = W.partitionBy(*DOC).orderBy("page").rowsBetween(W.unboundedPreceding, -1)
     return pages.select(*PAGE, F.last("last", ignorenulls=True).over(before).alias("carried"))
 
@@ -137,14 +138,15 @@ def clauses(lines: DataFrame, dialect: str = "deployed") -> DataFrame:
 
     Letters are segmented before it is known whether a number precedes them in the document: those
     that none precedes are dropped afterwards, which changes no other clause, as none is open there.
-    So lines are dealt by page, and only a row per page meets the others of its document.
+    So lines are dealt by page, and only a row per page meets the others of its document. Lines are
+    read once: the start lines with their bodies are kept, and parents are found among them.
     """
     if dialect == "strict":
         return strict_clauses(lines)
     if dialect != "deployed":
         raise ValueError(f"unknown dialect {dialect!r}")
-    rows = line_kinds(lines)
-    c = _numbers(segments(rows)).join(carried_numbers(rows), PAGE, "left")
+    starts = kept(_numbers(segments(line_kinds(lines))))
+    c = starts.join(carried_numbers(starts), PAGE, "left")
     here = F.last("own", ignorenulls=True).over(W.partitionBy(*PAGE).orderBy("line_no"))
     c = c.withColumn("parent_own", F.coalesce(here, "carried")).where("kind != 'L' OR parent_own IS NOT NULL")
     return _finish(
@@ -163,6 +165,16 @@ def remarks(texts: str | Column, kind: str = "NOTE") -> Column:
     return F.transform(own, lambda x: F.struct(x.alias("text"), F.lit(kind).alias("type")))
 
 
+def with_remarks(found: DataFrame) -> DataFrame:
+    """The clauses with notes and exceptions as ``(text, type)``, whether they come so or as plain texts, or not at all."""
+    for name, kind in (("notes", "NOTE"), ("exceptions", "Exception")):
+        if name not in found.columns:
+            found = found.withColumn(name, F.array().cast("array<struct<text:string,type:string>>"))
+        elif found.schema[name].dataType.elementType.typeName() != "struct":
+            found = found.withColumn(name, remarks(name, kind))
+    return found
+
+
 def page_parents(rows: DataFrame) -> DataFrame:
     """Strict dialect: ``(doc_id, page, parent)``, the number that letters on a page hang on.
 
@@ -191,19 +203,20 @@ def strict_clauses(lines: DataFrame) -> DataFrame:
     """The strict dialect: roman sub-clauses, letters under the previous pages' last clause, one clause per number.
 
     Of clauses with the same number the last one's values stay, at the first one's place; map tasks
-    send one clause per number, however often it is repeated.
+    send one clause per number, however often it is repeated. Lines are read twice, for what letters hang
+    on (a row per page) and for the clauses.
     """
     rows = line_text(lines).withColumns({"n": F.col("line").rlike(NUMBERED), "l": F.col("line").rlike(LETTER), "r": F.col("line").rlike(ROMAN)})
     rows = rows.withColumn("a", F.col("line").rlike(APPENDIX))
-    rows = rows.join(page_parents(rows), PAGE, "left")
+    parents = kept(page_parents(rows))
+    rows = rows.join(parents, PAGE, "left")
     kind = (
         F.when(F.col("n"), "N").when(F.col("a"), "A")
         .when(F.col("l"), F.when(F.col("parent").isNotNull(), "L"))
         .when(F.col("r") & F.contains(F.col("parent"), F.lit("(")), "R")
     )
     stops = (F.col("line") == "") | F.col("n") | F.col("a") | F.col("l") | F.col("r") | F.col("line").rlike(NOTE) | F.col("line").rlike(EXCEPTION)
-    parents = rows.select(*PAGE, "parent").distinct()
-    c = _numbers(segments(rows.withColumns({"kind": kind, "stops": stops}))).join(parents, PAGE, "left")
+    c = kept(_numbers(segments(rows.withColumns({"kind": kind, "stops": stops})))).join(parents, PAGE, "left")
     sub = F.col("kind").isin("L", "R")
     sign = F.when(F.col("kind") == "R", F.lower(F.regexp_extract("line", ROMAN, 1))).otherwise(F.col("sign"))
     lead = F.when(F.col("kind") == "R", F.regexp_extract("line", ROMAN, 2)).otherwise(F.col("lead"))

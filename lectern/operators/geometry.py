@@ -30,8 +30,14 @@ def native_lines(spans: DataFrame) -> DataFrame:
     )
 
 
-def pdf_type(pages: DataFrame, sample: int = 10) -> DataFrame:
-    """Digital if the first pages hold over 100 characters on average; coverage is a tenth of that, 100 at most."""
+def pdf_type(pages: DataFrame, sample: int = 10, documents: DataFrame | None = None) -> DataFrame:
+    """Digital if the first pages hold over 100 characters on average; coverage is a tenth of that, 100 at most.
+
+    documents: all ``doc_id``, so that one without pages (or that can't be read) is there as not digital, coverage 0.
+    """
+    if documents is not None:
+        found = documents.select("doc_id").distinct().join(pdf_type(pages, sample), "doc_id", "left")
+        return found.select("doc_id", F.coalesce("is_digital", F.lit(False)).alias("is_digital"), F.coalesce("coverage", F.lit(0.0)).alias("coverage"))
     n = F.length(strip(F.coalesce("text", F.lit(""))))
     return (
         pages.where(F.col("page") <= sample).groupBy("doc_id").agg((F.sum(n) / F.count("*")).alias("mean"))
@@ -60,22 +66,6 @@ def caption_text(candidates: DataFrame, rank: str = "reference", keep: int = 3)
     return top.groupBy("doc_id", "page", "table_id").agg(text.alias("caption"))
 
 
-def parse_caption(c: str = "caption") -> Column:
-    """struct(table_number, title) of a caption, null for numbers that look like garbage."""
-    text = F.col(c)
-    number, rest = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for pattern, _ in reversed(CAPTIONS):
-        hit = text.rlike(pattern)
-        tail = F.regexp_extract(text, pattern + r"([\s\S]*)$", 2)
-        number = F.when(hit, F.regexp_extract(text, pattern, 1)).otherwise(number)
-        rest = F.when(hit, tail).otherwise(rest)
-    title = F.regexp_replace(strip(rest), U + r"^[-–—:\s]+", "")
-    title = F.regexp_replace(title, r"(?Ud)(?i)\(continued\)\s*$", "")
-    garbage = number.rlike(r"^\d{2,}\.\d{2,}$") & (F.substring_index(number, ".", 1).try_cast("long") > 50)
-    found = F.struct(number.alias("table_number"), F.when(F.length(title) > 3, title).alias("title"))
-    return F.when(~F.coalesce(garbage, F.lit(False)), found)
-
-
 # Patterns of captions that optical readers give, in the order in which they are tried.
 READ_CAPTIONS = [
     r"(?Ud)(?i)TABLE\s+([A-Z]?\d+\.?\d*)",
@@ -84,15 +74,28 @@ READ_CAPTIONS = [
 ]
 
 
-def parse_read_caption(c: str = "caption") -> Column:
-    """struct(table_number, title) of a caption that an optical reader gave; a title has more than three characters."""
-    text = F.col(c)
+def _first_match(text: Column, patterns: list[str]) -> tuple[Column, Column]:
+    """Group 1 of the first pattern that a text matches, and what follows the match without the signs that lead it."""
     number, rest = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for pattern in reversed(READ_CAPTIONS):
+    for pattern in reversed(patterns):
         hit = text.rlike(pattern)
         number = F.when(hit, F.regexp_extract(text, pattern, 1)).otherwise(number)
         rest = F.when(hit, F.regexp_extract(text, pattern + r"([\s\S]*)$", 2)).otherwise(rest)
-    title = F.regexp_replace(strip(rest), U + r"^[-–—:\s]+", "")
+    return number, F.regexp_replace(strip(rest), U + r"^[-–—:\s]+", "")
+
+
+def parse_caption(c: str = "caption") -> Column:
+    """struct(table_number, title) of a caption, null for numbers that look like garbage."""
+    number, title = _first_match(F.col(c), [p for p, _ in CAPTIONS])
+    title = F.regexp_replace(title, r"(?Ud)(?i)\(continued\)\s*$", "")
+    garbage = number.rlike(r"^\d{2,}\.\d{2,}$") & (F.substring_index(number, ".", 1).try_cast("long") > 50)
+    found = F.struct(number.alias("table_number"), F.when(F.length(title) > 3, title).alias("title"))
+    return F.when(~F.coalesce(garbage, F.lit(False)), found)
+
+
+def parse_read_caption(c: str = "caption") -> Column:
+    """struct(table_number, title) of a caption that an optical reader gave; a title has more than three characters."""
+    number, title = _first_match(F.col(c), READ_CAPTIONS)
     return F.struct(number.alias("table_number"), F.when(F.length(title) > 3, title).alias("title"))
 
 
@@ -123,10 +126,11 @@ def crop_band(y0: str = "y0") -> Column:
 
 
 def overlay(tables: DataFrame, pages: DataFrame, elements: DataFrame) -> DataFrame:
-    """Adds ``adobe_text`` and ``ocr_source`` to the tables of pages that were read, joined on the page number."""
+    """Adds ``adobe_text``, ``ocr_source`` and ``adobe_ocr`` (the table has rows) to the tables of pages that were read, joined on the page number."""
     regions = tables.select("doc_id", "page", F.col("table_id").alias("region_id"), "x0", "y0", "x1", "y1")
     found = region_text(elements, regions).select("doc_id", F.col("region_id").alias("table_id"), F.col("text").alias("adobe_text"))
     read = pages.select("doc_id", "page", F.lit("adobe").alias("ocr_source")).distinct()
-    return tables.join(found, ["doc_id", "table_id"], "left").join(read, ["doc_id", "page"], "left").withColumn(
-        "adobe_text", F.when(F.col("ocr_source").isNotNull(), F.col("adobe_text"))
-    )
+    out = tables.join(found, ["doc_id", "table_id"], "left").join(read, ["doc_id", "page"], "left")
+    rows = [F.coalesce(F.size(c), F.lit(0)) > 0 for c in ("header_rows", "data_rows") if c in tables.columns]
+    marked = F.col("ocr_source").isNotNull() & (rows[0] | rows[1] if len(rows) == 2 else F.lit(False))
+    return out.withColumns({"adobe_text": F.when(F.col("ocr_source").isNotNull(), F.col("adobe_text")), "adobe_ocr": marked})

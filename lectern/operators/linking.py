@@ -20,14 +20,19 @@ def page_index(clauses: DataFrame) -> DataFrame:
     return pages.groupBy("doc_id", F.col("on_page").alias("page")).agg(best.alias("c"))
 
 
-def link_prefix(tables: DataFrame, clauses: DataFrame) -> DataFrame:
-    """``(doc_id, table_id, clause_id, clause_number)`` by the longest dotted prefix of the table's number that is a clause's."""
+def _by_prefix(tables: DataFrame, clauses: DataFrame) -> DataFrame:
+    """``(doc_id, table_id, clause_number, clause_id)`` for every dotted prefix of a table's number that is a clause's."""
     parts = F.split("table_number", r"\.")
     own = tables.where(present("table_number") & ~F.col("table_number").startswith("MODAL_P")).select(
         "doc_id", "table_id", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "."))).alias("clause_number")
     )
+    return own.join(number_index(clauses), ["doc_id", "clause_number"])
+
+
+def link_prefix(tables: DataFrame, clauses: DataFrame) -> DataFrame:
+    """``(doc_id, table_id, clause_id, clause_number)`` by the longest dotted prefix of the table's number that is a clause's."""
     best = F.max_by(F.struct("clause_id", "clause_number"), F.length("clause_number"))
-    return own.join(number_index(clauses), ["doc_id", "clause_number"]).groupBy("doc_id", "table_id").agg(best.alias("c")).select("doc_id", "table_id", "c.*")
+    return _by_prefix(tables, clauses).groupBy("doc_id", "table_id").agg(best.alias("c")).select("doc_id", "table_id", "c.*")
 
 
 def link_page(tables: DataFrame, clauses: DataFrame, offset: int = 0) -> DataFrame:
@@ -42,18 +47,23 @@ def link_neighbour(tables: DataFrame, clauses: DataFrame) -> DataFrame:
     return two.groupBy("doc_id", "table_id").agg(F.min_by(F.struct("clause_id", "clause_number"), "k").alias("c")).select("doc_id", "table_id", "c.*")
 
 
+#: Ways of linking, in the order in which they are tried, and the page that each looks at.
+WAYS = (("number", None), ("page", 0), ("neighbour", -1), ("neighbour", 1))
+
+
 def link_cascade(tables: DataFrame, clauses: DataFrame) -> DataFrame:
-    """Tables with ``parent_clause_id`` and ``parent_clause_number`` of the first way that finds one, and the way."""
-    named = lambda d, k: d.select("doc_id", "table_id", F.struct("clause_id", "clause_number").alias(k))
-    key = ["doc_id", "table_id"]
-    out = (
-        tables.join(named(link_prefix(tables, clauses), "l1"), key, "left")
-        .join(named(link_page(tables, clauses), "l2"), key, "left")
-        .join(named(link_neighbour(tables, clauses), "l3"), key, "left")
-    )
-    best = F.coalesce("l1", "l2", "l3")
-    way = F.when(F.col("l1").isNotNull(), "number").when(F.col("l2").isNotNull(), "page").when(F.col("l3").isNotNull(), "neighbour")
-    return out.withColumns({"parent_clause_id": best["clause_id"], "parent_clause_number": best["clause_number"], "link": way}).drop("l1", "l2", "l3")
+    """Tables with ``parent_clause_id`` and ``parent_clause_number`` of the first way that finds one, and the way.
+
+    All pages that a table may hang on are looked up in one join, and one aggregation takes the best.
+    """
+    key, clause = ["doc_id", "table_id"], F.struct("clause_id", "clause_number").alias("c")
+    named = _by_prefix(tables, clauses).select(*key, F.struct(F.lit(0).alias("way"), (-F.length("clause_number")).alias("least")).alias("rank"), clause)
+    places = F.array(*(F.struct(F.lit(k).alias("way"), (F.col("page_start") + offset).alias("page")) for k, (_, offset) in enumerate(WAYS) if offset is not None))
+    near = tables.select(*key, F.explode(places).alias("p")).select(*key, "p.*").join(page_index(clauses), ["doc_id", "page"])
+    near = near.select(*key, F.struct("way", F.lit(0).alias("least")).alias("rank"), F.col("c"))
+    best = named.unionByName(near).groupBy(*key).agg(F.min_by(F.struct("c", "rank"), "rank").alias("b"))
+    best = best.select(*key, F.col("b.c.clause_id").alias("parent_clause_id"), F.col("b.c.clause_number").alias("parent_clause_number"), F.array(*(F.lit(w) for w, _ in WAYS))[F.col("b.rank.way")].alias("link"))
+    return tables.join(best, key, "left")
 
 
 def link_stats(linked: DataFrame) -> DataFrame:

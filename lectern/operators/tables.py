@@ -13,6 +13,9 @@ CELLS = "array<array<string>>"
 SIGNS = "•◦▪□■○●◆◇★☆"
 GARBLED = ("SWltchboat", "daa", "assreenener")
 MIN_DENSITY, MAX_SIMILARITY = 0.1, 0.85
+SOURCE_METHOD = "modal_table_transformer_structure"
+#: The least width and height of a cell that an optical reader is given.
+MIN_CELL = 10
 
 
 def _rows(c) -> Column:
@@ -100,18 +103,65 @@ def convert(raw: DataFrame) -> DataFrame:
     idx = F.row_number().over(W.partitionBy("doc_id", "page").orderBy("pos"))
     number = F.coalesce(F.nullif("table_number", F.lit("")), F.concat(F.lit("MODAL_P"), F.col("page").cast("string"), F.lit("_T"), F.col("idx").cast("string")))
     page = F.col("page").cast("string")
+    if "has_merged_cells" not in raw.columns:
+        raw = raw.withColumn("has_merged_cells", F.lit(False))
     return (
         raw.withColumn("idx", idx).withColumn("table_number", number)
         .withColumns({
             "table_id": F.concat(F.lit("modal_"), page, F.lit("_"), F.col("idx").cast("string"), F.lit("_"), F.replace(F.col("table_number"), F.lit("."), F.lit("_"))),
             "page_start": F.col("page"), "page_end": F.col("page"), "confidence": confidence_band(),
             "header_rows": _rows("header_rows"), "data_rows": _rows("data_rows"),
+            "has_merged_cells": F.coalesce("has_merged_cells", F.lit(False)), "source_method": F.lit(SOURCE_METHOD),
         })
         .withColumns({"normalized_text_representation": table_text(), "has_headers": F.size("header_rows") > 0})
-        .select("doc_id", "page", "pos", "idx", "table_id", "table_number", "title", "page_start", "page_end", "confidence", "header_rows", "data_rows", "has_headers", "normalized_text_representation")
+        .select("doc_id", "page", "pos", "idx", "table_id", "table_number", "title", "page_start", "page_end", "confidence", "header_rows", "data_rows", "has_headers", "has_merged_cells", "source_method", "normalized_text_representation")
     )
 
 
+_MODEL_ROWS = "array<struct<cells:array<string>,is_header:boolean>>"
+#: The fields of a table in the order of the output, with their types and what stands where a table has none.
+TABLE_FIELDS = {
+    "table_id": ("string", None), "table_number": ("string", None), "title": ("string", None), "parent_clause_reference": ("string", None), "parent_clause_id": ("string", None),
+    "parent_clause_number": ("string", None), "page_start": ("int", None), "page_end": ("int", None), "header_rows": (_MODEL_ROWS, F.array), "data_rows": (_MODEL_ROWS, F.array),
+    "footer_notes": ("array<string>", F.array), "raw_csv": ("string", None), "normalized_text_representation": ("string", None), "confidence": ("string", None), "source_method": ("string", None),
+    "extraction_notes": ("array<string>", F.array), "table_key": ("string", None), "continuation_of": ("string", None), "quality_metrics": ("map<string,string>", None),
+    "has_headers": ("boolean", lambda: F.lit(True)), "is_multipage": ("boolean", lambda: F.lit(False)), "has_merged_cells": ("boolean", lambda: F.lit(False)),
+    "reconstructed_header_rows": (_MODEL_ROWS, None), "promoted_header_rows": (_MODEL_ROWS, None), "final_columns": ("array<string>", None), "header_model": ("map<string,string>", None),
+    "reconstruction_confidence": ("string", None), "reconstruction_notes": ("array<string>", None),
+}
+#: Fields without which, or with a null in which, a row is no table.
+REQUIRED = ("table_id", "page_start", "page_end", "normalized_text_representation")
+
+
+def model(tables: DataFrame) -> DataFrame:
+    """Tables with all 28 fields, rows as ``{cells, is_header}``; other columns stay in front."""
+
+    def field(name, kind, default):
+        if name not in tables.columns:
+            return F.lit(None).cast(kind) if default is None else default().cast(kind)
+        own = F.col(name)
+        if kind == _MODEL_ROWS and tables.schema[name].dataType.elementType.typeName() == "array":
+            own = F.transform(own, lambda r: F.struct(r.alias("cells"), F.lit(name == "header_rows").alias("is_header")))
+        return own if default is None else F.coalesce(own, default().cast(kind))
+
+    rest = [c for c in tables.columns if c not in TABLE_FIELDS]
+    return tables.select(*rest, *(field(n, k, d).alias(n) for n, (k, d) in TABLE_FIELDS.items()))
+
+
+def quarantine(tables: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Tables that have all required fields, a known confidence and cells in every row, and the others with the reason."""
+    m = model(tables)
+    bad = F.lit(None).cast("string")
+    cells = lambda c: F.exists(F.col(c), lambda r: r["cells"].isNull() | F.exists(r["cells"], lambda x: x.isNull()))
+    for c in ("header_rows", "data_rows"):
+        bad = F.when(cells(c), f"{c}: a cell is missing").otherwise(bad)
+    bad = F.when(~F.coalesce("confidence", F.lit("")).isin("high", "medium", "low"), "confidence: unknown").otherwise(bad)
+    for c in REQUIRED:
+        bad = F.when(F.col(c).isNull(), f"{c}: missing").otherwise(bad)
+    m = m.withColumn("reason", bad)
+    return m.where("reason IS NULL").drop("reason"), m.where("reason IS NOT NULL")
+
+
 # --- structure elements ----------------------------------------------------------------------
 
 
@@ -133,21 +183,26 @@ def structure(elements: DataFrame) -> DataFrame:
 
 
 def cell_grid(structures: DataFrame) -> DataFrame:
-    """A row per cell: the crossing of a row's y with a column's x, whole numbers, not below 0."""
-    whole = lambda c: F.greatest(F.lit(0), c.cast("int"))
-    return structures.select("table_id", "header_row_count", "columns", F.posexplode("rows").alias("row", "r")).select(
-        "table_id", "header_row_count", "row", "r", F.posexplode("columns").alias("column", "c")
+    """A row per cell: the crossing of a row's y with a column's x, whole numbers inside the image of ``width`` and ``height``.
+
+    ``readable``: whether the cell is large enough for an optical reader; others are blank.
+    """
+    low = lambda c: F.greatest(F.lit(0), c.cast("int"))
+    high = lambda c, most: F.least(F.col(most).cast("int"), c.cast("int"))
+    return structures.select("table_id", "header_row_count", "columns", "width", "height", F.posexplode("rows").alias("row", "r")).select(
+        "table_id", "header_row_count", "row", "r", "width", "height", F.posexplode("columns").alias("column", "c")
     ).select(
         "table_id", "row", "column", (F.col("row") < F.col("header_row_count")).alias("is_header"),
-        whole(F.col("c.x0")).alias("x0"), whole(F.col("r.y0")).alias("y0"), whole(F.col("c.x1")).alias("x1"), whole(F.col("r.y1")).alias("y1"),
-    )
+        low(F.col("c.x0")).alias("x0"), low(F.col("r.y0")).alias("y0"), high(F.col("c.x1"), "width").alias("x1"), high(F.col("r.y1"), "height").alias("y1"),
+    ).withColumn("readable", (F.col("x1") - F.col("x0") >= MIN_CELL) & (F.col("y1") - F.col("y0") >= MIN_CELL))
 
 
-def hybrid_cell_text(first: str | Column, second: str | Column) -> Column:
-    """The first reader's text, unless it has under two characters and the second found something."""
-    a = F.coalesce(col(first), F.lit(""))
-    b = F.coalesce(col(second), F.lit(""))
-    return F.when((F.length(a) < 2) & (b != ""), b).otherwise(a)
+def hybrid_cell_text(first: str | Column, second: str | Column, failed: str | Column | None = None) -> Column:
+    """The first reader's text, unless it has under two characters and the second found something (not null) or failed: then that, or nothing."""
+    a = F.coalesce(strip(col(first)), F.lit(""))
+    short = F.length(a) < 2
+    lost = F.lit(False) if failed is None else F.coalesce(col(failed), F.lit(False))
+    return strip(F.when(short & lost, "").when(short & col(second).isNotNull(), col(second)).otherwise(a))
 
 
 def fallback_content(lines: DataFrame) -> DataFrame:

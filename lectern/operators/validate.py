@@ -7,15 +7,16 @@ from functools import partial, reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import present, strip
-
-SINGLE = r"^\d{1,2}$"
-STANDARD = r"(?i)^(AS/NZS|ISO|IEC|BS|EN)\s+\d+"
-TOC_LINE = r"(?m)\.{3,}.*\d+\s*$"
-LEADERS = r"\.{3,}"
-FIRST = r"(?i)^(1|1\.1|Appendix)"
-PROSE = r"(?i)\b(shall|must not|must)\b|\bin accordance with\b"
-NUMBERED_TITLE = r"^\d+(\.\d+)+\s+\S+"
+from ..functions.text import U, present, strip
+
+# What the rules look for, and (below) the wording of their messages.
+SINGLE = U + r"^\d{1,2}$"
+STANDARD = r"(?Udi)^(AS/NZS|ISO|IEC|BS|EN)\s+\d+"
+TOC_LINE = r"(?Udm)\.{3,}.*\d+\s*$"
+LEADERS = U + r"\.{3,}"
+FIRST = r"(?Udi)^(1|1\.1|Appendix)"
+PROSE = r"(?Udi)\b(shall|must not|must)\b|\bin accordance with\b"
+NUMBERED_TITLE = U + r"^\d+(\.\d+)+\s+\S+"
 
 
 def _text(*parts) -> Column:

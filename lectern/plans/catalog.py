@@ -14,15 +14,14 @@ from ..operators import linking as J
 from ..operators import sinks as S
 from ..operators import tables as T
 from ..operators import validate as V
+from ..sources import detection, fakes, ocr
 from ..sources import fixtures as X
-from ..sources import ocr
 from ..sources.fixtures import load
 from . import oracles as O
 from .structuring import process, tables_only
 
 Query = Callable[[SparkSession, str], DataFrame]
 CLAUSE_JSON = ["clause_id", "clause_number", "title", "parent_clause_id", "parent_clause_number", "level", "page_start", "page_end", "body_with_subitems", "notes", "exceptions", "full_normalized_text", "confidence", "has_parent", "has_body", "is_orphan_note"]
-TABLE_JSON = ["table_id", "table_number", "title", "parent_clause_id", "parent_clause_number", "page_start", "page_end", "header_rows", "data_rows", "has_headers", "confidence", "normalized_text_representation"]
 COLUMNS = ["doc_id", "page", "line_no", "kind", "clause_id", "clause_number"]
 
 
@@ -61,7 +60,7 @@ def caption_parse(s, d):
 
 def structures(s, d):
     e = exprs(s, d, "part", O.ELEMENT).withColumn("bbox", F.array("x0", "y0", F.col("x0") + 30, F.col("y0") + 20))
-    return T.structure(e)
+    return T.structure(e).withColumns({"width": F.lit(O.IMAGE_SIZE[0]), "height": F.lit(O.IMAGE_SIZE[1])})
 
 
 def cells(s, d):
@@ -103,8 +102,10 @@ def note_coercion(s, d):
 
 def table_overlay(s, d):
     found = exprs(s, d, "supplier", O.OVERLAID).withColumnRenamed("region_id", "table_id")
+    rows = lambda n: F.when(F.col("table_id") % n == 0, F.array(F.array(F.lit("x"))))
+    found = found.withColumns({"header_rows": rows(3), "data_rows": rows(4)})
     out = G.overlay(found, X.elements(s, d), X.elements(s, d))
-    return out.select("doc_id", "page", "table_id", "adobe_text", "ocr_source")
+    return out.select("doc_id", "page", "table_id", "adobe_text", "ocr_source", "adobe_ocr")
 
 
 def ocr_page_sizes(s, d):
@@ -112,6 +113,41 @@ def ocr_page_sizes(s, d):
     return pages.select("doc_id", "page", "width", "height", F.when(F.col("elements").isNull(), 0).otherwise(F.size("elements")).alias("n_elements"))
 
 
+def _fails(*box):
+    raise ValueError("can't read")
+
+
+def read_by_rule(s, d):
+    """Images and regions of the fixture, as a detector would give them."""
+    images = X.regions(s, d).select("doc_id", "page").distinct().withColumn("image", F.lit(b"page"))
+    found = X.regions(s, d).select("doc_id", "page", F.col("region_id").cast("string").alias("table_id"), *(F.col(c).cast("double").alias(c) for c in detection.BOX))
+    return images, found
+
+
+def caption_run(s, d):
+    images, found = read_by_rule(s, d)
+    native = exprs(s, d, "part", O.CAPTION_LINES).where("page = 1")
+    first = fakes.Ruled(lambda x0, y0, x1, y1: _fails() if x0 % 7 == 0 else f"TABLE {x0}.{y1 % 10}: wide" if x0 % 3 == 0 else None if x0 % 3 == 1 else "no number")
+    second = fakes.Ruled(lambda x0, y0, x1, y1: _fails() if y1 % 5 == 0 else f"{x0} - second" if x0 % 2 == 0 else None)
+    return detection.caption_run(found, images, native, first, second)
+
+
+def cell_run(s, d):
+    images, _ = read_by_rule(s, d)
+    grid = cells(s, d).withColumns({"table_id": F.col("region_id").cast("string"), "is_header": F.col("row") == 0, "readable": (F.col("x0") % 11 != 0)}).withColumns({c: F.col(c).cast("double") for c in detection.BOX})
+    first = fakes.Ruled(lambda x0, y0, x1, y1: _fails() if x0 % 7 == 0 else f" a{x0} " if x0 % 3 == 0 else "b")
+    second = fakes.Ruled(lambda x0, y0, x1, y1: _fails() if y0 % 5 == 0 else f"c{y0} " if y0 % 2 == 0 else None)
+    return detection.cell_run(grid, images, first, second)
+
+
+def merge_totals(s, d):
+    return K.merge_totals(chunk_results(s, d).withColumns({"tables": F.col("chunk_index") % 3, "clauses": F.col("chunk_index") % 7 + 1, "cost_estimate": F.lit(0.056)}))
+
+
+def gpu_cost(s, d):
+    return load(s, d, "part").withColumn("seconds", F.col("p_size") * F.lit(61.0)).select("p_partkey", K.gpu_cost().alias("cost"))
+
+
 def plan(s, d):
     return K.chunk_plan(X.page_counts(s, d))
 
@@ -175,12 +211,12 @@ QUERIES: dict[str, Query] = {
     "clause_text": of_clauses("doc_id", "clause_id", "full_normalized_text"),
     "clauses_strict": lambda s, d: C.clauses(lines(s, d), "strict").select(*COLUMNS, "title", "parent_clause_number", "parent_clause_id", "level", "body_text", "full_normalized_text"),
     "clause_counts": lambda s, d: clauses(s, d).groupBy("doc_id", "kind").agg(F.count("*").alias("n")),
-    **{n: issue_rule(r, clauses) for n, r in V.CLAUSE_RULES.items()},
+    **{n: issue_rule(r, X.rule_clauses if n in O.ON_RULE_CLAUSES else clauses) for n, r in V.CLAUSE_RULES.items()},
     **{n: issue_rule(r, tables) for n, r in V.TABLE_RULES.items()},
     "missing_parent_anti": lambda s, d: V.missing_parents(clauses(s, d)).select("doc_id", "clause_id", "clause_number", "parent_clause_number"),
     "issue_summary": lambda s, d: V.summary(issues(s, d)),
-    "filter_empty": lambda s, d: raw(s, d).where(F.size("data_rows") == 0).select("pos"),
-    "filter_narrow": lambda s, d: raw(s, d).where((F.col("column_count") <= 2) & (F.coalesce("table_number", F.lit("")) == "")).select("pos"),
+    "filter_empty": lambda s, d: raw(s, d).where(T.filter_reason() == "empty").select("pos"),
+    "filter_narrow": lambda s, d: raw(s, d).where(T.filter_reason() == "narrow").select("pos"),
     "text_density": density,
     "garbled": lambda s, d: raw(s, d).select("pos", T.is_garbled().alias("garbled")),
     "column_similarity": similarity,
@@ -217,10 +253,14 @@ QUERIES: dict[str, Query] = {
     "split_info": lambda s, d: K.split_info(X.page_counts(s, d)),
     "chunk_metrics": lambda s, d: K.chunk_metrics(chunk_results(s, d)),
     "merge_chunks": merged,
+    "merge_totals": merge_totals,
+    "gpu_cost": gpu_cost,
+    "caption_run": caption_run,
+    "cell_run": cell_run,
     "document_title": lambda s, d: C.document_title(clauses(s, d)),
     "normalized_text": normalized,
     "clauses_json": lambda s, d: S.clauses_json(V.apply_flags(clauses(s, d)), CLAUSE_JSON),
-    "tables_json": lambda s, d: S.tables_json(run(s, d).tables, TABLE_JSON),
+    "tables_json": lambda s, d: S.tables_json(run(s, d).tables),
     "job_summary": lambda s, d: run(s, d).summary,
     "tables_only_summary": lambda s, d: tables_only(raw(s, d)).summary,
     "page_line_stats": line_stats,

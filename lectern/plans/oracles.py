@@ -5,6 +5,7 @@ from __future__ import annotations
 from ..operators import tables as T
 from ..sources import fixtures as X
 
+# Patterns, messages and the text template are those of the operators, spelt out once more.
 N = r"^(\d+(?:\.\d+)*)\s+([A-Z][^\n]+)$"
 A = r"(?i)^APPENDIX\s+([A-Z](?:\.\d+)*)\s*[-–—:]*\s*([^\n]*)$"
 L = r"^\(([a-z])\)\s+(.+)$"
@@ -45,7 +46,7 @@ NUMBERS = f"""
 FINISH = """
     lk AS (SELECT doc_id, clause_number AS parent_clause_number, arg_max(clause_id, page::BIGINT * 1000000000000 + line_no) AS parent_clause_id FROM c0 GROUP BY ALL),
     c AS (SELECT c0.*, lk.parent_clause_id, body_text AS body_with_subitems, parent_clause_number IS NOT NULL AS has_parent,
-                 regexp_matches(body_text, '\\S') AS has_body, page AS page_start, page AS page_end, 'high' AS confidence,
+                 regexp_matches(body_text, '\\S') AS has_body, page AS page_start, page AS page_end, 'high' AS confidence, CAST([] AS VARCHAR[]) AS notes,
                  '[' || clause_number || ']' || CASE WHEN coalesce(title, '') <> '' THEN ' ' || title ELSE '' END
                  || CASE WHEN body_text <> '' THEN chr(10) || body_text ELSE '' END AS full_normalized_text
           FROM c0 LEFT JOIN lk USING (doc_id, parent_clause_number))"""
@@ -99,10 +100,10 @@ RAW = f"""
                    CASE WHEN o_custkey % 12 = 10 THEN CAST([] AS VARCHAR[][]) ELSE [['key', 'status', 'priority', 'm']] END AS header_rows,
                    CASE WHEN o_custkey % 12 = 0 THEN CAST([] AS VARCHAR[][]) ELSE list_transform(os, lambda o: {_CELLS}) END AS data_rows FROM os)"""
 _W = lambda x: rf"list_filter(string_split_regex({strip(x)}, '\s+'), lambda y: y <> '')"
+_LEFT, _RIGHT = "coalesce(r[i + 1], '')", "coalesce(r[i + 2], '')"
 _MATCH = (
-    "(contains(coalesce(r[i + 2], ''), coalesce(r[i + 1], '')) OR contains(coalesce(r[i + 1], ''), coalesce(r[i + 2], '')) OR "
-    f"len(list_intersect(list_distinct({_W(chr(99) + 'oalesce(r[i + 1], ' + chr(39) * 2 + ')')}), list_distinct({_W(chr(99) + 'oalesce(r[i + 2], ' + chr(39) * 2 + ')')}))) "
-    f"> 0.7 * len({_W(chr(99) + 'oalesce(r[i + 1], ' + chr(39) * 2 + ')')}))"
+    f"(contains({_RIGHT}, {_LEFT}) OR contains({_LEFT}, {_RIGHT}) OR "
+    f"len(list_intersect(list_distinct({_W(_LEFT)}), list_distinct({_W(_RIGHT)}))) > 0.7 * len({_W(_LEFT)}))"
 )
 MEASURED = f"""{RAW},
     ms AS (SELECT *, flatten(list_concat(header_rows, data_rows)) AS cells,
@@ -162,7 +163,7 @@ RULES = {
     "v07_first_clause": ("unexpected_first_clause", "warning", _NONE, "'First clause is ''' || first_number || ''', expected ''1'' or ''1.1'''", r"dc WHERE NOT regexp_matches(first_number, '(?i)^(1|1\.1|Appendix)')"),
     "v08_empty_body": ("empty_body", "warning", "clause_id", "'Clause ' || clause_number || ' has empty body'", "c WHERE NOT has_body"),
     "v09_missing_parent": ("missing_parent", "error", "clause_id", "'Clause ' || clause_number || ' references non-existent parent ' || parent_clause_number", "c WHERE coalesce(parent_clause_number, '') <> '' AND NOT EXISTS (FROM c x WHERE x.doc_id = c.doc_id AND x.clause_number = c.parent_clause_number)"),
-    "v10_orphan_note": ("orphan_note", "warning", "clause_id", "'Clause ' || clause_number || ' has notes but no body'", "c WHERE false"),
+    "v10_orphan_note": ("orphan_note", "warning", "clause_id", "'Clause ' || clause_number || ' has notes but no body'", r"c WHERE len(notes) > 0 AND NOT regexp_matches(body_text, '\S')"),
     "v11_toc_in_body": ("toc_in_body", "error", "clause_id", "'Clause ' || clause_number || ' body contains TOC-style content (dot leaders)'", r"c WHERE regexp_matches(body_text, '\.{3,}')"),
     "v12_duplicate_number": ("duplicate_number", "error", _NONE, "'Duplicate clause number: ' || clause_number", "c GROUP BY doc_id, clause_number HAVING count(*) > 1"),
     "v13_missing_headers": ("missing_headers", "warning", _NONE, "'Table ' || coalesce(nullif(table_number, ''), table_id) || ' has no header rows'", "{t} WHERE len(header_rows) = 0"),
@@ -172,6 +173,11 @@ RULES = {
 }
 
 
+#: Rules that find nothing in the fixture of lines, so they are run over clauses made to break them.
+ON_RULE_CLAUSES = ("v01_single_digit", "v03_toc_contamination", "v04_page_tracking", "v05_inconsistent_parent", "v06_poor_hierarchy", "v10_orphan_note", "v11_toc_in_body")
+RULE_CLAUSES = f"c AS (SELECT *, page AS page_start, page AS page_end, CASE WHEN noted THEN ['n'] ELSE CAST([] AS VARCHAR[]) END AS notes FROM (SELECT {items(X.RULE_CLAUSES)}, {X.NOTED} AS noted FROM orders))"
+
+
 def rule(name: str, tables: str = "tt") -> str:
     kind, severity, clause, message, source = RULES[name]
     return _ISSUE.format(kind, severity, clause, message, source.replace("{t}", tables))
@@ -194,7 +200,13 @@ def as_json(fields: dict[str, str]) -> str:
 
 _CLAUSE_JSON = as_json({k: k for k in ("clause_id", "clause_number", "title", "parent_clause_id", "parent_clause_number", "level", "page_start", "page_end", "body_with_subitems")}
                        | {"notes": "CAST([] AS VARCHAR[])", "exceptions": "CAST([] AS VARCHAR[])"} | {"full_normalized_text": "full_normalized_text", "confidence": "confidence", "has_parent": "has_parent AND EXISTS (FROM c x WHERE x.doc_id = c.doc_id AND x.clause_number = c.parent_clause_number)", "has_body": "has_body"} | {"is_orphan_note": "false"})
-_TABLE_JSON = as_json({k: k for k in ("table_id", "table_number", "title", "parent_clause_id", "parent_clause_number", "page_start", "page_end", "header_rows", "data_rows", "has_headers", "confidence", "normalized_text_representation")})
+_TABLE_JSON = as_json(
+    {"table_id": "table_id", "table_number": "table_number", "title": "title", "parent_clause_reference": "NULL", "parent_clause_id": "parent_clause_id", "parent_clause_number": "parent_clause_number",
+     "page_start": "page_start", "page_end": "page_end", "header_rows": "list_transform(header_rows, lambda r: {'cells': r, 'is_header': true})",
+     "data_rows": "list_transform(data_rows, lambda r: {'cells': r, 'is_header': false})", "footer_notes": "CAST([] AS VARCHAR[])", "raw_csv": "NULL",
+     "normalized_text_representation": "normalized_text_representation", "confidence": "confidence", "source_method": f"'{T.SOURCE_METHOD}'", "extraction_notes": "CAST([] AS VARCHAR[])",
+     "table_key": "NULL", "continuation_of": "NULL", "quality_metrics": "NULL", "has_headers": "has_headers", "is_multipage": "false", "has_merged_cells": "false"}
+)
 
 _NL = "chr(10)"
 _CBLOCK = (
@@ -233,6 +245,7 @@ OVERLAID = X.F3_REGIONS | {"page": "cast(1 + s_suppkey % 7 as int)"}
 CELLS = "ce AS (SELECT doc_id, page, region_id, r AS row, k AS \"column\", x0 + 75 * k AS x0, y0 + 40 * r AS y0, x0 + 75 * k + 75 AS x1, y0 + 40 * r + 40 AS y1 FROM rg, (SELECT unnest([0, 1])::int AS r), (SELECT unnest([0, 1])::int AS k))"
 
 SPANS = {"doc_id": "cast(1 as bigint)", "page": "cast(1 + p_partkey % 5 as int)", "block": "p_partkey % 40", "line": "p_partkey % 7", "seq": "p_partkey", "text": "CASE WHEN p_partkey % 3 = 0 THEN ' ' ELSE p_brand END", "x0": "p_partkey % 500", "size": "cast(p_size as double)", "font": "CASE WHEN p_partkey % 4 = 0 THEN '' ELSE p_brand END"}
+IMAGE_SIZE = (480, 640)
 ELEMENT = {"table_id": "p_partkey % 60", "label": "CASE WHEN p_size % 5 < 2 THEN 'table row' WHEN p_size % 5 < 4 THEN 'table column' ELSE 'table column header' END", "x0": "cast(p_partkey * 13 % 500 as double)", "y0": "cast(p_partkey * 37 % 700 as double)", "confidence": "cast(p_size as double) / 64"}
 _EL = f"""e AS (SELECT {items(ELEMENT)} FROM part),
     rw AS (SELECT table_id, y0, row_number() OVER (PARTITION BY table_id ORDER BY y0) - 1 AS row, y0 - lag(y0) OVER (PARTITION BY table_id ORDER BY y0) AS gap FROM e WHERE label = 'table row'),
@@ -268,12 +281,12 @@ ORACLES = {
     "clause_text": _c("doc_id, clause_id, full_normalized_text"),
     "clauses_strict": f"WITH {STRICT} SELECT {_COLUMNS}, title, parent_clause_number, parent_clause_id, level, body_text, full_normalized_text FROM c",
     "clause_counts": f"WITH {CLAUSES} SELECT doc_id, kind, count(*) AS n FROM c GROUP BY ALL",
-    **{r: f"WITH {CLAUSES}, {_COUNTS} {rule(r)}" for r in list(RULES)[:12]},
+    **{r: f"WITH {RULE_CLAUSES if r in ON_RULE_CLAUSES else CLAUSES}, {_COUNTS} {rule(r)}" for r in list(RULES)[:12]},
     **{r: f"WITH {ALL_TABLES} {rule(r)}" for r in list(RULES)[12:]},
     "missing_parent_anti": _c("doc_id, clause_id, clause_number, parent_clause_number") + " WHERE coalesce(parent_clause_number, '') <> '' AND NOT EXISTS (FROM c x WHERE x.doc_id = c.doc_id AND x.clause_number = c.parent_clause_number)",
     "issue_summary": f"WITH {CLAUSES}, {_COUNTS}, {ALL_TABLES}, iss AS ({_ALL_ISSUES}) SELECT doc_id, {_SEVERITIES} FROM iss GROUP BY doc_id",
     "filter_empty": f"WITH {MEASURED} SELECT pos FROM mv WHERE len(data_rows) = 0",
-    "filter_narrow": f"WITH {MEASURED} SELECT pos FROM mv WHERE column_count <= 2 AND coalesce(table_number, '') = ''",
+    "filter_narrow": f"WITH {MEASURED} SELECT pos FROM mv WHERE len(data_rows) > 0 AND column_count <= 2 AND (coalesce(table_number, '') = '' OR starts_with(table_number, 'MODAL_P'))",
     "text_density": f"WITH {MEASURED} SELECT pos, round(density, 6) AS density FROM mv",
     "garbled": f"WITH {MEASURED} SELECT pos, garbled FROM mv",
     "column_similarity": f"WITH {MEASURED} SELECT pos, coalesce(round(list_max(sims), 6), -1.0) AS highest, len(sims)::int AS pairs FROM mv",
@@ -283,7 +296,9 @@ ORACLES = {
     "table_text": f"WITH {ALL_TABLES} SELECT pos, normalized_text_representation FROM tt",
     "merged_cells": f"WITH {_EL} SELECT table_id, has_merged_cells, n_rows::int AS n_rows, round(confidence, 6) AS confidence FROM sx",
     "header_rows": f"WITH {_EL} SELECT table_id, header_row_count FROM sx",
-    "cell_grid": f"WITH {_EL} SELECT table_id, row::int AS row, col::int AS \"column\", row < header_row_count AS is_header, x0::int AS x0, rw.y0::int AS y0, (x0 + 30)::int AS x1, (rw.y0 + 20)::int AS y1 FROM rw JOIN co USING (table_id) JOIN sx USING (table_id)",
+    "cell_grid": f"""WITH {_EL} SELECT table_id, row::int AS row, col::int AS "column", is_header, x0, y0, x1, y1, x1 - x0 >= 10 AND y1 - y0 >= 10 AS readable FROM (
+        SELECT *, row < header_row_count AS is_header, cx::int AS x0, ry::int AS y0, least({IMAGE_SIZE[0]}, cx + 30)::int AS x1, least({IMAGE_SIZE[1]}, ry + 20)::int AS y1
+        FROM (SELECT table_id, row, y0 AS ry FROM rw) JOIN (SELECT table_id, col, x0 AS cx FROM co) USING (table_id) JOIN sx USING (table_id))""",
     "fallback_content": f"""WITH {LINES}, kept AS (SELECT doc_id * 10 + page AS table_id, line_no, string_split_regex(line, '\\s+') AS w FROM ln WHERE line <> ''),
         fb AS (SELECT table_id, list(w ORDER BY line_no) AS rows FROM kept GROUP BY table_id)
         SELECT table_id, array_to_string(rows[1], '|') AS header, len(rows)::int AS row_count, list_max(list_transform(rows, lambda r: len(r)))::int AS column_count,
@@ -307,7 +322,8 @@ ORACLES = {
     "note_coercion": """SELECT p_partkey, CASE WHEN p_size % 4 > 0 THEN 'NOTE: ' || p_brand || CASE WHEN p_size % 2 = 0 THEN '|NOTE: ' || p_type ELSE '' END ELSE '' END AS notes,
         CASE WHEN p_size > 25 THEN 'Exception: ' || p_name ELSE '' END AS exceptions FROM part""",
     "table_overlay": f"""WITH {_CAPS}, tv AS (SELECT {items(OVERLAID)} FROM supplier), pg AS (SELECT DISTINCT doc_id, page FROM el)
-        SELECT t.doc_id, t.page, t.region_id AS table_id, CASE WHEN pg.page IS NOT NULL THEN coalesce(string_agg(e.text, ' ' ORDER BY e.seq), '') END AS adobe_text, CASE WHEN pg.page IS NOT NULL THEN 'adobe' END AS ocr_source
+        SELECT t.doc_id, t.page, t.region_id AS table_id, CASE WHEN pg.page IS NOT NULL THEN coalesce(string_agg(e.text, ' ' ORDER BY e.seq), '') END AS adobe_text, CASE WHEN pg.page IS NOT NULL THEN 'adobe' END AS ocr_source,
+               pg.page IS NOT NULL AND (t.region_id % 3 = 0 OR t.region_id % 4 = 0) AS adobe_ocr
         FROM tv t LEFT JOIN pg ON pg.doc_id = t.doc_id AND pg.page = t.page
         LEFT JOIN el e ON e.doc_id = t.doc_id AND e.page = t.page AND e.x <= t.x1 AND e.x + e.width >= t.x0 AND e.y <= t.y1 AND e.y + e.height >= t.y0 GROUP BY t.doc_id, t.page, t.region_id, pg.page""",
     "crop_bands": f"WITH {_CAPS} SELECT region_id, greatest(0, y0 - 100) AS top, y0 AS bottom FROM rg",
@@ -324,6 +340,20 @@ ORACLES = {
     "chunk_metrics": f"""WITH {PLAN} SELECT doc_id, count(*) AS num_chunks, count(*) FILTER (chunk_index % 5 <> 3) AS successful_chunks, count(*) FILTER (chunk_index % 5 <> 3) > 0 AS success,
         round(count(*) FILTER (chunk_index % 5 <> 3) * 0.056::DOUBLE, 3) AS total_cost, coalesce(sum(chunk_index * 1.5::DOUBLE + 11) FILTER (chunk_index % 5 <> 3), 0) AS processing_time FROM pl GROUP BY doc_id""",
     "merge_chunks": f"WITH {PLAN} SELECT doc_id, chunk_index, (page_start - 1 + 1 + abs(doc_id) % 3)::int AS page FROM pl",
+    "merge_totals": f"""WITH {PLAN} SELECT doc_id, sum(chunk_index % 3)::BIGINT AS table_count, sum(chunk_index % 7 + 1)::BIGINT AS clause_count, round(sum(chunk_index * 1.5::DOUBLE + 11), 2) AS processing_time,
+        round(count(*) * 0.056::DOUBLE, 3) AS cost_estimate, count(*) AS num_chunks FROM pl GROUP BY doc_id""",
+    "gpu_cost": "SELECT p_partkey, round(p_size * 61::DOUBLE / 3600 * 0.43::DOUBLE, 4) AS cost FROM part",
+    "caption_run": rf"""WITH {TOP3.replace("FROM cl l", "FROM (FROM cl WHERE page = 1) l")}, r0 AS (SELECT *, {_NUM} AS num, {_REST} AS rest FROM cp),
+        r1 AS (SELECT table_id, num, regexp_replace(regexp_replace({strip("rest")}, '^[-–—:\s]+', ''), '(?i)\(continued\)\s*$', '') AS ti,
+                  coalesce(regexp_matches(num, '^\d{{2,}}\.\d{{2,}}$') AND TRY_CAST(split_part(num, '.', 1) AS BIGINT) > 50, false) AS garbage FROM r0),
+        tried AS (SELECT region_id::VARCHAR AS table_id, x0, y0, CASE WHEN NOT garbage THEN num END AS a, CASE WHEN NOT garbage AND length(ti) > 3 THEN ti END AS heading,
+                  CASE WHEN x0 % 7 <> 0 AND x0 % 3 = 0 THEN x0 || '.' || y0 % 10 END AS b, CASE WHEN y0 % 5 <> 0 AND x0 % 2 = 0 THEN x0::VARCHAR END AS c
+                  FROM rg LEFT JOIN r1 ON r1.table_id = rg.region_id)
+        SELECT table_id, CASE WHEN a IS NOT NULL THEN 'native' WHEN b IS NOT NULL THEN 'trocr' WHEN c IS NOT NULL THEN 'paddleocr' ELSE 'failed' END AS method, coalesce(a, b, c) AS table_number,
+               CASE WHEN a IS NOT NULL THEN heading WHEN b IS NOT NULL THEN 'wide' WHEN c IS NOT NULL THEN 'second' END AS title,
+               CASE WHEN a IS NOT NULL THEN 'native_text' WHEN b IS NOT NULL THEN 'trocr' WHEN c IS NULL AND y0 % 5 = 0 THEN 'paddleocr_failed' ELSE 'paddleocr' END AS attempt FROM tried""",
+    "cell_run": f"""WITH {_CAPS}, {CELLS}, rd AS (SELECT *, CASE WHEN x0 % 11 <> 0 AND x0 % 7 <> 0 THEN CASE WHEN x0 % 3 = 0 THEN 'a' || x0 ELSE 'b' END ELSE '' END AS a FROM ce)
+        SELECT region_id::VARCHAR AS table_id, row, "column", row = 0 AS is_header, CASE WHEN length(a) >= 2 THEN a WHEN y0 % 5 = 0 THEN '' WHEN y0 % 2 = 0 THEN 'c' || y0 ELSE a END AS text FROM rd""",
     "document_title": f"WITH {CLAUSES}, {TITLES} SELECT * FROM ti",
     "normalized_text": f"WITH {NORMALIZED}",
     "clauses_json": f"WITH {CLAUSES}, cj AS (SELECT doc_id, page, line_no, {_CLAUSE_JSON} AS j FROM c) SELECT doc_id, '[' || string_agg(j, ',' ORDER BY page, line_no) || ']' AS json FROM cj GROUP BY doc_id",

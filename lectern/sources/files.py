@@ -11,11 +11,6 @@ from pyspark.sql import functions as F
 
 MAX_BYTES = 85 * 1024 * 1024
 
-RAW_TABLE = (
-    "doc_id string, page int, pos int, table_number string, title string, confidence double, bbox struct<x0:double,y0:double,x1:double,y1:double>, "
-    "header_rows array<array<string>>, data_rows array<array<string>>, row_count int, column_count int, has_merged_cells boolean, extraction_method string"
-)
-
 
 class PdfReader(Protocol):
     """Turns the bytes of a PDF into its pages' texts. Raises for what it can't read."""
@@ -23,12 +18,6 @@ class PdfReader(Protocol):
     def pages(self, content: bytes) -> list[str]: ...
 
 
-class TableDetector(Protocol):
-    """Turns the bytes of a PDF into raw tables, dicts by the fields of RAW_TABLE but doc_id. Models load once per worker."""
-
-    def tables(self, content: bytes) -> list[dict]: ...
-
-
 class PlainPages:
     """A reader for tests: pages are parted by form feeds."""
 
@@ -62,18 +51,3 @@ def read_pages(files: DataFrame, reader: PdfReader) -> DataFrame:
             yield pd.DataFrame(rows, columns=["doc_id", "page", "text", "ok", "error"])
 
     return files.where("accepted").select("doc_id", "content").mapInPandas(run, "doc_id string, page int, text string, ok boolean, error string")
-
-
-def detect_tables(files: DataFrame, detector: TableDetector) -> DataFrame:
-    names = [c.strip().split(" ")[0] for c in "doc_id,page,pos,table_number,title,confidence,bbox,header_rows,data_rows,row_count,column_count,has_merged_cells,extraction_method".split(",")]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [
-                [doc, *(t.get(n) if n != "pos" else i for n in names[1:])]
-                for doc, content in zip(batch["doc_id"], batch["content"], strict=True)
-                for i, t in enumerate(detector.tables(bytes(content)))
-            ]
-            yield pd.DataFrame(rows, columns=names)
-
-    return files.where("accepted").select("doc_id", "content").mapInPandas(run, RAW_TABLE)

@@ -85,3 +85,24 @@ PAGE_COUNTS = (0, 1, 85, 93, 100, 101, 150, 300, 611, 650)
 def page_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     fixed = spark.createDataFrame([(-1 - i, n) for i, n in enumerate(PAGE_COUNTS)], "doc_id long, total_pages int")
     return fixed.union(load(spark, sf_dir, "customer").selectExpr("c_custkey", "cast(1 + c_custkey % 700 as int)"))
+
+
+#: Clauses that break the rules, by document: k and d as in the texts.
+RULED = "(o_custkey % 16)"
+RULE_CLAUSES = {
+    "doc_id": "1000 + o_custkey % 16", "page": f"cast(CASE WHEN {RULED} % 8 = 2 THEN 1 ELSE 1 + o_orderkey % 5 END as int)", "line_no": K,
+    "clause_id": f"concat('clause_', {K})",
+    "clause_number": f"""CASE {RULED} % 8 WHEN 0 THEN concat(1 + {K} % 30) WHEN 3 THEN concat('Appendix ', substr('ABCDEFGH', cast(1 + {K} % 8 as int), 1)) ELSE concat(1 + {K} % 9, '.', 1 + {K} % 7) END""",
+    "title": f"CASE {RULED} % 8 WHEN 0 THEN 'ISO 9001' WHEN 1 THEN 'Scope' END",
+    "parent_clause_id": f"CASE WHEN {RULED} % 8 = 4 AND {K} % 3 = 0 THEN 'clause_x' END",
+    "parent_clause_number": f"CASE WHEN {RULED} % 8 <> 4 THEN concat(1 + {K} % 9) WHEN {K} % 5 = 0 THEN '1' END",
+    "body_text": f"""CASE WHEN {RULED} % 8 = 1 AND {K} % 3 = 0 THEN concat('Scope ..... ', {K}) WHEN {RULED} % 8 = 1 AND {K} % 3 = 1 THEN 'see ... below' WHEN {RULED} % 8 = 5 AND {K} % 2 = 0 THEN ' ' ELSE 'shall comply' END""",
+    "has_parent": f"CASE WHEN {RULED} % 8 = 4 THEN {K} % 2 = 0 ELSE true END",
+}
+#: Whether a clause has a note.
+NOTED = f"{RULED} % 8 = 5 AND {K} % 4 < 3"
+
+
+def rule_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = load(spark, sf_dir, "orders").selectExpr(*(f"{e} AS {n}" for n, e in RULE_CLAUSES.items()), f"CASE WHEN {NOTED} THEN array(named_struct('text', 'n', 'type', 'NOTE')) ELSE cast(array() as array<struct<text:string,type:string>>) END AS notes")
+    return c.withColumns({"body_with_subitems": F.col("body_text"), "page_start": F.col("page"), "page_end": F.col("page"), "has_body": F.lit(True), "is_orphan_note": F.lit(False)})

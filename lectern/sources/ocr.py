@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import io
+import json
 import time
+import zipfile
 from collections.abc import Iterator
 from typing import Protocol
 
@@ -74,4 +77,43 @@ def chunk_elements(results: DataFrame) -> DataFrame:
 
 
 def failure_reason(error: str = "error"):
-    return F.when(F.contains(F.coalesce(F.col(error), F.lit("")), F.lit("disqualified")), "adobe_api_limit").otherwise("adobe_error")
+    return F.when(F.contains(F.lower(F.coalesce(F.col(error), F.lit(""))), F.lit("disqualified")), "adobe_api_limit").otherwise("adobe_error")
+
+
+#: The entry of a result archive that holds the elements.
+RESULT_ENTRY = "structuredData.json"
+
+
+def result_text(body: bytes | str | None, archive: bytes | None) -> str:
+    """The JSON text of a service's answer: its body if that is text, else the archive's entry. Raises if neither is a JSON object."""
+    if body is None or isinstance(body, (bytes, bytearray)):
+        if archive is None:
+            raise ValueError("the service returned no content or resource")
+        with zipfile.ZipFile(io.BytesIO(archive)) as z:
+            body = z.read(RESULT_ENTRY).decode("utf-8")
+    if not isinstance(json.loads(body), dict):
+        raise ValueError("the service returned an unexpected type of data")
+    return body
+
+
+def read_results(answers: DataFrame) -> DataFrame:
+    """``(doc_id, body, archive, error)``: the answer as text (null: none), its ZIP archive, and the service's own error.
+
+    Gives ``(doc_id, success, json, error, fallback_reason)``: an answer that can't be read is a row with the error, as is a failure of the service.
+    """
+    kind = answers.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for doc, body, archive, error in zip(batch["doc_id"], batch["body"], batch["archive"], batch["error"], strict=True):
+                try:
+                    if error:
+                        raise ValueError(error)
+                    out.append((doc, True, result_text(body, None if archive is None else bytes(archive)), None))
+                except Exception as e:  # an answer that can't be read is a row of its own
+                    out.append((doc, False, None, str(e)))
+            yield pd.DataFrame(out, columns=["doc_id", "success", "json", "error"])
+
+    read = answers.select("doc_id", "body", "archive", "error").mapInPandas(run, f"doc_id {kind}, success boolean, json string, error string")
+    return read.withColumn("fallback_reason", F.when(~F.col("success"), failure_reason()))

@@ -1,7 +1,11 @@
 """Operators against literals and a line-by-line reading of the clause grammar."""
 
+import base64
+import io
+import json
 import random
 import re
+import zipfile
 from pathlib import Path
 
 import duckdb
@@ -11,8 +15,9 @@ from pyspark.sql import functions as F
 from lectern.operators import chunks, geometry, linking, sinks, tables, validate
 from lectern.operators import clauses as C
 from lectern.plans import catalog
-from lectern.plans.structuring import process, tables_only
-from lectern.sources import files, ocr
+from lectern.functions import text as T
+from lectern.plans.structuring import Readers, extract_complete, process, tables_only
+from lectern.sources import detection, fakes, files, ocr
 
 SF = "/root/testdata/sf0.001"
 
@@ -216,19 +221,186 @@ def test_whole_run_and_outputs(spark, tmp_path):
     assert all(r.total_issues == r.errors + r.warnings for r in s)
     assert all(r.text.endswith("-" * 80 + "\n") or "CLAUSES" in r.text for r in out.text.collect())
     assert tables_only(catalog.raw(spark, SF)).summary.agg(F.sum("total_clauses")).first()[0] == 0
-    sinks.write_outputs(out.titles, out.clauses, out.tables, catalog.CLAUSE_JSON, catalog.TABLE_JSON, str(tmp_path / "o"))
-    assert len(list((tmp_path / "o/clauses").glob("doc_id=*"))) > 0
+    sinks.write_outputs(out.titles, out.clauses, out.tables, catalog.CLAUSE_JSON, str(tmp_path / "o"))
+    written = {r.doc_id: json.loads(r.value) for r in spark.read.json(str(tmp_path / "o/clauses")).collect()}
+    assert sum(map(len, written.values())) == 718 and len(list((tmp_path / "o").rglob("part-*"))) <= 3 * 8
+    assert out.rejected.count() == 0
 
 
 def test_pdf_reader_rows(spark, tmp_path):
     (tmp_path / "a.pdf").write_bytes(b"1 One\fbody")
     (tmp_path / "b.pdf").write_bytes(b"\xff\xfe")
     (tmp_path / "c.PDF").write_bytes(b"no")
+    body = spark.createDataFrame([("a", base64.b64encode(b"1 One").decode()), ("b", None)], "doc_id string, body string")
+    sent = files.from_base64(body)
+    assert [(r.doc_id, r.page, r.text) for r in files.read_pages(sent, files.PlainPages()).collect()] == [("a", 1, "1 One")] and sent.where("accepted").count() == 1
     got = files.read_pages(files.pdf_files(spark, str(tmp_path)), files.PlainPages()).collect()
     assert sorted((r.page, r.ok) for r in got) == [(0, False), (1, True), (2, True)]
     assert not files.pdf_files(spark, str(tmp_path), 5).where("accepted and content is null").count()
 
 
+@pytest.mark.parametrize("own", ["a", " a\u00a0", "\x1ca\x1f", "\x1d\x1e", "\u2003a b\u3000", "\x85a", "", "a\x1cb  c"])
+def test_strip_and_split_as_python_does(spark, own):
+    got = spark.createDataFrame([(own,)], "t string").select(T.strip("t").alias("s"), T.words("t").alias("w")).first()
+    assert (got.s, got.w) == (own.strip(), own.split())
+
+
+def test_validators_read_unicode(spark):
+    specs = [("7", {"title": "ISO\u00a09001"}), ("1.1", {"body": "Scope ..... 1\u0663"}), ("\u0661", {}), ("1.2", {"body": "line ..... x\u2028 5"})]
+    got = {(r.type, r.clause_id) for r in validate.clause_issues(clause_rows(spark, "d", specs)).collect()}
+    assert ("header_as_clause", "d0") in got and ("toc_contamination", None) in got and ("single_digit_contamination", None) in got
+
+
+def test_table_json_has_every_field(spark):
+    rows = lambda *r: [[*x] for x in r]
+    raw = spark.createDataFrame(
+        [(1, 6, 1, "3.2", None, 0.75, rows(["Type", "Normal"]), rows(["MIMS", "100"], ["PE", "70"]), 2, True)],
+        "doc_id long, page int, pos int, table_number string, title string, confidence double, header_rows array<array<string>>, data_rows array<array<string>>, column_count int, has_merged_cells boolean",
+    )
+    one = tables.convert(raw)
+    want = {
+        "table_id": "modal_6_1_3_2", "table_number": "3.2", "title": None, "parent_clause_reference": None, "parent_clause_id": None, "parent_clause_number": None, "page_start": 6, "page_end": 6,
+        "header_rows": [{"cells": ["Type", "Normal"], "is_header": True}], "data_rows": [{"cells": ["MIMS", "100"], "is_header": False}, {"cells": ["PE", "70"], "is_header": False}],
+        "footer_notes": [], "raw_csv": None, "normalized_text_representation": "TABLE 3.2\nCOLUMNS: Type | Normal\nROW 1: MIMS | 100\nROW 2: PE | 70", "confidence": "medium",
+        "source_method": "modal_table_transformer_structure", "extraction_notes": [], "table_key": None, "continuation_of": None, "quality_metrics": None, "has_headers": True, "is_multipage": False,
+        "has_merged_cells": True,
+    }
+    got = json.loads(sinks.tables_json(one).first().json)
+    assert got == [want] and [*got[0]] == [*want]  # in this order, reconstruction keys left out
+    more = one.withColumns({"final_columns": F.array(F.lit("a")), "reconstruction_confidence": F.lit(None).cast("string"), "footer_notes": F.array(F.lit("see 1"), F.lit("see 2")), "quality_metrics": F.create_map(F.lit("fill"), F.lit("1.0"))})
+    got = json.loads(sinks.tables_json(more).first().json)[0]
+    assert got == want | {"final_columns": ["a"], "footer_notes": ["see 1", "see 2"], "quality_metrics": {"fill": "1.0"}} and len(tables.TABLE_FIELDS) == 28
+    titles = spark.createDataFrame([(1, "T")], "doc_id long, document_title string")
+    none = C.clauses(rows_of_nothing(spark))
+    text = sinks.normalized_text(titles, none, more.withColumn("parent_clause_reference", F.lit("3"))).first().text
+    assert "Number: 3.2\nParent Clause: 3\nPages: 6-6\n" in text and text.endswith("ROW 2: PE | 70\n\nFooter Notes:\n  * see 1\n  * see 2\n\n" + "-" * 80 + "\n")
+
+
+def rows_of_nothing(spark):
+    return spark.createDataFrame([], "doc_id long, page int, line_no long, line string")
+
+
+def test_bad_table_rows_are_set_aside(spark):
+    good = ("t1", 1, 1, "x", "high", [["a"]], [["b"]])
+    data = [good, (None, *good[1:]), ("t2", None, *good[2:]), ("t3", 1, 1, None, *good[4:]), ("t4", 1, 1, "x", "sure", [["a"]], []), ("t5", 1, 1, "x", "low", [], [["b", None]])]
+    frame = spark.createDataFrame(data, "table_id string, page_start int, page_end int, normalized_text_representation string, confidence string, header_rows array<array<string>>, data_rows array<array<string>>")
+    fine, bad = tables.quarantine(frame)
+    assert [r.table_id for r in fine.collect()] == ["t1"]
+    assert {r.table_id: r.reason for r in bad.collect()} == {None: "table_id: missing", "t2": "page_start: missing", "t3": "normalized_text_representation: missing", "t4": "confidence: unknown", "t5": "data_rows: a cell is missing"}
+
+
+def test_remarks_of_any_form(spark):
+    plain = spark.createDataFrame([(1, ["a", ""])], "doc_id int, notes array<string>")
+    formed = spark.createDataFrame([(1, [("t", "EXCEPTION")])], "doc_id int, exceptions array<struct<text:string,type:string>>")
+    assert [tuple(x) for x in C.with_remarks(plain).first().notes] == [("a", "NOTE")] and C.with_remarks(plain).first().exceptions == []
+    assert [tuple(x) for x in C.with_remarks(formed).first().exceptions] == [("t", "EXCEPTION")]
+
+
+def test_answers_of_the_ocr_service(spark):
+    body = json.dumps({"elements": [{"Text": "a", "Page": 0}]})
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
+        z.writestr("structuredData.json", body)
+    empty = io.BytesIO()
+    with zipfile.ZipFile(empty, "w") as z:
+        z.writestr("other.json", body)
+    data = [
+        ("text", body, None, None), ("zip", None, packed.getvalue(), None), ("none", None, None, None), ("broken", "{", None, None), ("list", "[1]", None, None), ("bad zip", None, b"PK", None),
+        ("no entry", None, empty.getvalue(), None), ("limit", None, None, "DISQUALIFIED_SCAN_PAGE_LIMIT"), ("other", None, None, "timeout"),
+    ]
+    read = ocr.read_results(spark.createDataFrame(data, "doc_id string, body string, archive binary, error string"))
+    got = {r.doc_id: (r.success, r.fallback_reason) for r in read.collect()}
+    assert {d for d, (ok, _) in got.items() if ok} == {"text", "zip"} and got["text"][1] is None
+    assert got["limit"] == (False, "adobe_api_limit") and {got[d] for d in ("none", "broken", "list", "bad zip", "no entry", "other")} == {(False, "adobe_error")}
+    assert sorted(r.doc_id for r in ocr.ocr_elements(read.where("success")).collect()) == ["text", "zip"]
+
+
+def test_documents_without_pages_are_not_digital(spark):
+    pages = spark.createDataFrame([("a", 1, "x" * 2000), ("b", 1, "x" * 100)], "doc_id string, page int, text string")
+    docs = spark.createDataFrame([("a",), ("b",), ("c",)], "doc_id string")
+    assert {r.doc_id: (r.is_digital, r.coverage) for r in geometry.pdf_type(pages, documents=docs).collect()} == {"a": (True, 100.0), "b": (False, 10.0), "c": (False, 0.0)}
+
+
+def described(lines, tables, first=(), second=()):
+    return "\n".join([*lines, json.dumps({"tables": tables, "first": list(first), "second": list(second)})])
+
+
+def structured(score, x, y, cells=2):
+    """A table of two rows (and a header) of 100 by 40 cells at (x, y)."""
+    row = [["table row", [0, 40 * k, 100 * cells, 40 * k + 40], 0.9] for k in range(3)]
+    column = [["table column", [100 * k, 0, 100 * k + 100, 120], 0.9] for k in range(cells)]
+    return {"score": score, "box": [x, y, x + 100 * cells, y + 120], "elements": [*row, *column, ["table column header", [0, 0, 100 * cells, 30], 0.9], ["table row", [0, 500, 1, 501], 0.2]]}
+
+
+def cell_texts(x, y, texts, cells=2):
+    return [([x + 100 * c + 5, y + 40 * r + 5, x + 100 * c + 20, y + 40 * r + 20], texts[r][c]) for r in range(3) for c in range(cells) if texts[r][c]]
+
+
+def test_from_files_to_outputs(spark, tmp_path):
+    """Fakes for every model; a document of three pages, one whose text fails, one whose detector fails, one that can't be opened."""
+    grid = [["key", "value"], ["one", "1"], ["two", ""]]
+    page1 = described(
+        ["1 General", "body", "1.1 Scope", "(a) item"], [structured(0.95, 50, 300), structured(0.7, 50, 600)],
+        [([60, 250, 200, 260], "Table 1.1 - Read sizes"), *cell_texts(50, 300, grid)], [([155, 345, 160, 350], "12"), ([155, 385, 160, 390], "22")],
+    )
+    bare = {"score": 0.9, "box": [10, 100, 210, 200], "elements": []}
+    page2 = described(["2 Second", "more"], [bare], [], [([20, 110, 30, 120], "a b c"), ([20, 130, 30, 140], "1 2 3"), ([20, 150, 30, 160], "4 5 6")])
+    page3 = described(["3 Third"], [structured(0.85, 50, 300)], [([60, 250, 200, 260], "FAIL"), *cell_texts(50, 300, [["x", "y"], ["w1", "w2"], ["v1", "v2"]])], [([60, 250, 200, 260], "7 - Second reader"), ([55, 305, 60, 310], "xx"), ([155, 305, 160, 310], "yy")])
+    docs = {"whole": "\f".join([page1, page2, page3]), "no text": described(["NO TEXT"], [structured(0.9, 50, 300)], [([60, 250, 200, 260], "Table 5 - Kept"), *cell_texts(50, 300, grid)]), "no model": "1 One\nNO MODEL"}
+    for name, text in docs.items():
+        (tmp_path / f"{name}.pdf").write_text(text)
+    (tmp_path / "broken.pdf").write_bytes(b"\xff\xfe")
+
+    class Pages(files.PlainPages):
+        def pages(self, content):
+            if b"NO TEXT" in content:
+                raise ValueError("no text layer")
+            return super().pages(content)
+
+    class Service:
+        def read(self, doc_id, page_start, page_end):
+            return json.dumps({"elements": [{"Text": "seen", "Bounds": [60, 310, 80, 320], "Page": 0}]})
+
+    def native(found):
+        schema = "doc_id string, page int, seq int, text string, x0 double, y0 double, x1 double, y1 double"
+        whole = next(r.doc_id for r in found.collect() if "whole" in r.doc_id)
+        return spark.createDataFrame([(whole, 2, 1, "Table 4.4 - Far below", 10.0, 700.0, 90.0, 710.0)], schema)
+
+    m = fakes.DescribedModels()
+    models = detection.Models(fakes.PlainImages(), m, m, fakes.DescribedTexts("first"), fakes.DescribedTexts("second"))
+    found = files.pdf_files(spark, str(tmp_path))
+    for service in (None, Service()):
+        out, status = extract_complete(found, Readers(Pages(), models, native, service))
+        name = lambda d: d.rsplit("/", 1)[1].removesuffix(".pdf").replace("%20", " ")
+        got = {name(r.doc_id): r for r in status.collect()}
+        assert {d: (r.success, r.table_count, r.clause_count) for d, r in got.items()} == {"whole": (True, 3, 5), "no text": (True, 1, 0), "no model": (False, 0, 0), "broken": (False, 0, 0)}
+        assert got["no text"].error == "Clauses extraction failed: no text layer" and got["no model"].error == "the model failed" and got["whole"].error is None
+        assert got["whole"].cost_estimate == (0.05 if service else 0.0) and got["whole"].ocr_pages == (1 if service else 0)
+        cells = lambda c: F.transform(c, lambda r: r["cells"]).alias(c)
+        mine = {(name(r.doc_id), r.page): r for r in out.tables.select("doc_id", "page", "table_number", "title", "parent_clause_number", cells("header_rows"), cells("data_rows")).collect()}
+        one, two, three = (mine["whole", p] for p in (1, 2, 3))
+        assert (one.table_number, one.title, one.parent_clause_number) == ("1.1", "Read sizes", "1.1") and one.header_rows == [["key", "value"]] and one.data_rows == [["one", "12"], ["two", "22"]]
+        assert (two.table_number, two.header_rows, two.data_rows, two.parent_clause_number) == ("MODAL_P2_T1", [["a", "b", "c"]], [["1", "2", "3"], ["4", "5", "6"]], "2")
+        assert (three.table_number, three.title, three.header_rows, three.data_rows) == ("7", "Second reader", [["xx", "yy"]], [["w1", "w2"], ["v1", "v2"]])
+        assert {name(r.doc_id) for r in out.text.collect()} == {"whole", "no text"} and out.rejected.count() == 0
+
+
+def test_a_run_reads_the_lines_twice(spark):
+    """Rows of the lines that a job summary reads: the clauses are computed once and kept."""
+    lines, probe = catalog.lines(spark, SF), spark.sparkContext.accumulator(0)
+
+    def noted(batches):
+        for b in batches:
+            probe.add(b.num_rows)
+            yield b
+
+    n = lines.count()
+    frame = lines.mapInArrow(noted, lines.schema)
+    out = process(frame, catalog.raw(spark, SF))
+    assert out.summary.count() == 40
+    assert probe.value <= 3 * n, probe.value / n
+
+
 def test_empty_inputs(spark):
     none = rows(spark, {1: []})
     c = C.clauses(none)
@@ -259,7 +431,7 @@ def rounded(rows):
     return sorted((tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in rows), key=repr)
 
 
-@pytest.mark.parametrize("name", ["clauses_strict", "clause_text", "issue_summary", "quality_filter", "link_cascade", "caption_parse", "region_text", "cell_grid", "merge_chunks", "normalized_text", "fallback_content", "ocr_elements", "clauses_json", "tables_json", "job_summary", "tables_only_summary", "read_caption_parse", "note_coercion", "table_overlay", "crop_bands", "ocr_pages"])
+@pytest.mark.parametrize("name", ["caption_run", "cell_run", "merge_totals", "gpu_cost", "v04_page_tracking", "v10_orphan_note", "filter_narrow", "clauses_strict", "clause_text", "issue_summary", "quality_filter", "link_cascade", "caption_parse", "region_text", "cell_grid", "merge_chunks", "normalized_text", "fallback_content", "ocr_elements", "clauses_json", "tables_json", "job_summary", "tables_only_summary", "read_caption_parse", "note_coercion", "table_overlay", "crop_bands", "ocr_pages"])
 def test_queries_equal_their_sql(spark, duck, name):
     frame = catalog.QUERIES[name](spark, SF)
     result = duck.execute(catalog.ORACLES[name])
