@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.store import prepare, shared_folder
+
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 
@@ -27,27 +27,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def prepare(spark: SparkSession) -> None:
-    """Names a checkpoint folder if the session has none; no other setting is touched."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_folder(spark))
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share, from ``spark.checkpoint.dir``.
-
-    Only where driver and executors are one process may it be missing: then it is a temporary folder.
-    """
-    sc = spark.sparkContext
-    own = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if own:
-        return own
-    if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return tempfile.mkdtemp(prefix="lectern-")
-
-
 def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/lectern-{label}-{uuid.uuid4().hex}"
 
