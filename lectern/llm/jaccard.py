@@ -21,7 +21,7 @@ FACTORS = multipliers(HASHES, 11)
 #: all five comparisons together drop 7e-6 of pairs, fewer than the buckets miss.
 STEP, TOLERANCE = 16, 1e-6
 #: Members of a block, and bytes of their shingle sets; two blocks meet in one unit of work.
-BLOCK, BLOCK_BYTES = 512, 16 << 20
+BLOCK, BLOCK_BYTES = 256, 16 << 20
 #: Pairs compared at a time.
 PAIRS = 1 << 17
 
@@ -299,7 +299,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     included. Nothing expands copies or a group into all its pairs.
 
     1. One pass over the texts gives each a set key and 80 MinHash values; equal keys collapse.
-    2. Nodes that share one of 20 buckets of 4 values are compared in units of two blocks of 512
+    2. Nodes that share one of 20 buckets of 4 values are compared in units of two blocks of 256
        members at most: values 16 at a time, and a pair goes when the posterior probability of
        reaching the threshold is below 1e-6. Only a spanning forest of the surviving pairs leaves a unit.
     3. Components of these forests are dealt into units again, now with their shingle sets (blocks of
