@@ -228,7 +228,7 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> tu
 
     blocks = F.greatest(F.ceil(F.count("*") / F.lit(BLOCK)), F.ceil(F.sum("size") * 8 / F.lit(BLOCK_BYTES)))
     groups = rough.join(classes.select("node", "size"), "node").groupBy("root").agg(blocks.alias("nb"), F.count("*").alias("m"))
-    placed = join_groups(rough, groups, "root", "m", n_classes, ["node"]).drop("m")
+    placed = join_groups(rough, groups, "root", "m", n_classes, ["node"]).drop("m").checkpoint()
     wanted = placed.join(classes.select("node", "sig", "copies", "key", "rep", "x"), "node")
 
     def with_sets(batches):
@@ -280,7 +280,7 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> tu
     counts = found.groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("near"))
     linked = final.join(counts, "node").join(classes.select("node", "rep"), "node")
     heads = linked.groupBy("root").agg(F.min("rep").alias("class_id"), F.count("*").alias("m"))
-    linked = join_groups(linked, heads, "root", "m", n_classes, ["node"]).select("node", "root", "class_id", "near")
+    linked = join_groups(linked, heads, "root", "m", n_classes, ["node"]).select("node", "root", "class_id", "near").checkpoint()
     described_classes = (
         classes.select("key", "node", "rep", "copies").join(linked, "node", "left")
         .select("key", "node", "rep", "copies", F.coalesce("root", "node").alias("root"), F.when(F.col("root").isNull(), F.col("rep")).otherwise(F.col("class_id")).alias("class_id"), (F.coalesce("near", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
