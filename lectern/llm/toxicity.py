@@ -15,6 +15,8 @@ from .quality import labelled_sample
 #: Labelled documents fitted on, half of each class if there are so many. A documented bound.
 SAMPLE = 3_000
 EPOCHS, DOCS_PER_STEP, SEED = 8, 32, 7
+#: Epochs in which documents learn through random windows, so that what many share is learnt before what one of them holds.
+WARM = EPOCHS // 2
 #: A small sample is gone through more often, for about this many steps.
 LEAST_STEPS = 600
 WINDOW, STRIDE = 32, 16
@@ -293,7 +295,7 @@ class Network:
     def fit(self, texts: list[str | None], y: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) -> Network:
         """Each document learns through its highest window (a toxic text has one at least, a clean one none), clean ones also through random ones.
 
-        The highest windows are found anew each epoch. Adam steps over shuffled documents; half of the words' own vectors are dropped at a time, so
+        In the first epochs windows are drawn at random, later the highest ones are found anew each epoch. Adam steps over shuffled documents; half of the words' own vectors are dropped at a time, so
         that characters carry unseen words. At the end the shift that parts the sample best becomes 0.5.
         """
         y = np.asarray(y, dtype=np.float32)
@@ -310,7 +312,7 @@ class Network:
         epochs = max(epochs, min(30, LEAST_STEPS * DOCS_PER_STEP // len(y)))
         step, steps = 0, epochs * -(-len(y) // DOCS_PER_STEP)
         for epoch in range(epochs):
-            logit = self.logits(vocabulary)[0] if epoch else rng.random(len(owner))
+            logit = self.logits(vocabulary)[0] if epoch >= WARM else rng.random(len(owner))
             top = np.lexsort((-logit, owner))[first]
             order = rng.permutation(len(y))
             for at in range(0, len(y), DOCS_PER_STEP):
