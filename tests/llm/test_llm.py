@@ -541,7 +541,9 @@ def test_passages_of_half_a_window_lie_whole_in_one(n):
 def test_toxicity_held_out(spark):
     d, labels = (common.table(spark, "/root/testdata/sf0.01", t) for t in ("documents", "labels"))
     got = toxicity.toxicity_scores(d, labels).join(labels, "doc_id").where("held_out").collect()
-    assert sum((r.predicted == 1) == (r.toxic == 1) for r in got) >= 0.85 * len(got)
+    toxic = [r.predicted for r in got if r.toxic == 1]
+    assert sum((r.predicted == 1) == (r.toxic == 1) for r in got) >= 0.95 * len(got)
+    assert len(toxic) > 3 and sum(toxic) >= 0.8 * len(toxic)  # what is never marked as toxic would be right on most
 
 
 def test_models_without_labels_and_odd_texts(spark):
