@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from collections import defaultdict
 from collections.abc import Iterator
 from itertools import chain, groupby
 
@@ -20,6 +21,9 @@ CHUNK, OVERLAP = 1 << 16, 1 << 9
 #: A boundary this near to the end of what a chunk sees may move when more is seen.
 MARGIN = 4
 CACHE = 1 << 18
+#: Longer pre-tokens, in bytes, are merged one by one; short texts of so many characters are merged together.
+SHORT, TOGETHER = 64, 1 << 19
+NONE = 1 << 40
 #: A text of more characters is cut into parts of PART, each with PART_OVERLAP of the next, that are encoded by tasks of their own.
 LONG, PART, PART_OVERLAP = 1 << 20, 1 << 18, 1 << 12
 #: Characters of parts that leave a task at a time.
@@ -72,31 +76,64 @@ def pretokenise(pattern, text: str, chunk: int = CHUNK, overlap: int = OVERLAP)
 
 
 class Codec:
-    """Encodes and decodes with a table of merge ranks."""
+    """Encodes and decodes with a table of merge ranks. Broadcast whole: a worker keeps its cache from task to task."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.raw = {i: b for b, i in ranks.items()}
         self.cache: dict[str, bytes] = {}
-
-    def merge(self, piece: bytes) -> list[int]:
-        """The ids of one pre-token: of all adjacent pairs, the one of lowest rank is joined first, leftmost on ties."""
-        if (whole := self.ranks.get(piece)) is not None:
-            return [whole]
-        if len(piece) > 64:
-            return self._merge_long(piece)
-        parts = [piece[i : i + 1] for i in range(len(piece))]
-        get, none = self.ranks.get, 1 << 60
-        pair = [get(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
-        while pair and (least := min(pair)) != none:
-            i = pair.index(least)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            del pair[i]
-            if i < len(pair):
-                pair[i] = get(parts[i] + parts[i + 1], none)
-            if i:
-                pair[i - 1] = get(parts[i - 1] + parts[i], none)
-        return [self.ranks[p] for p in parts]
+        self.single = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int64)
+        pairs = {(ranks[b[:k]] << 32) + ranks[b[k:]]: i for b, i in ranks.items() for k in range(1, len(b)) if b[:k] in ranks and b[k:] in ranks}
+        order = np.argsort(keys := np.fromiter(pairs.keys(), np.int64, len(pairs)))
+        self.keys, self.values = np.append(keys[order], np.int64(-1)), np.append(np.fromiter(pairs.values(), np.int64, len(pairs))[order], NONE)
+
+    def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of what two adjacent ids make (NONE: nothing)."""
+        key = (left << 32) + right
+        at = np.searchsorted(self.keys[:-1], key)
+        return np.where(self.keys[at] == key, self.values[at], NONE)
+
+    def merged(self, pieces: list[bytes]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of pre-tokens: of all adjacent pairs, the one of lowest rank is joined first, leftmost on ties.
+
+        Those of one length are a matrix of ids, a row each; a step joins one pair in every row.
+        """
+        out, sized = [b""] * len(pieces), defaultdict(list)
+        for k, piece in enumerate(pieces):
+            if (whole := self.ranks.get(piece)) is not None:
+                out[k] = whole.to_bytes(4, "little")
+            elif len(piece) > SHORT:
+                out[k] = np.array(self._merge_long(piece), dtype="<u4").tobytes()
+            else:
+                sized[len(piece)].append(k)
+
+        def put(at, ids):
+            flat, wide = ids.astype("<u4").tobytes(), 4 * ids.shape[1]
+            for n, k in enumerate(at.tolist()):
+                out[k] = flat[n * wide : (n + 1) * wide]
+
+        for size, own in sized.items():
+            at = np.array(own)
+            ids = self.single[np.frombuffer(b"".join(pieces[k] for k in own), dtype=np.uint8).reshape(-1, size)]
+            rank = self.rank_of(ids[:, :-1], ids[:, 1:])
+            while len(at) and rank.shape[1]:
+                best = rank.argmin(axis=1)
+                joined = rank[np.arange(len(at)), best]
+                if (done := joined == NONE).any():
+                    put(at[done], ids[done])
+                    at, ids, rank, best, joined = (x[~done] for x in (at, ids, rank, best, joined))
+                    if not len(at):
+                        break
+                row = np.arange(len(at))
+                ids[row, best] = joined
+                ids = ids[np.arange(ids.shape[1]) != best[:, None] + 1].reshape(len(at), -1)
+                rank = rank[np.arange(rank.shape[1]) != best[:, None]].reshape(len(at), ids.shape[1] - 1)
+                for first in (best - 1, best):
+                    there = (first >= 0) & (first < rank.shape[1])
+                    r, f = row[there], first[there]
+                    rank[r, f] = self.rank_of(ids[r, f], ids[r, f + 1])
+            put(at, ids)
+        return out
 
     def _merge_long(self, piece: bytes) -> list[int]:
         """The same for long pre-tokens, by a heap and linked neighbours."""
@@ -127,24 +164,41 @@ class Codec:
             i = end[i]
         return out
 
-    def piece_ids(self, piece: str) -> bytes:
-        """Little-endian unsigned 32-bit ids of a pre-token; short ones are kept."""
-        got = self.cache.get(piece)
-        if got is None:
-            got = np.array(self.merge(piece.encode("utf-8", "replace")), dtype="<u4").tobytes()
-            if len(piece) <= 64:
-                if len(self.cache) >= CACHE:
-                    self.cache.clear()
-                self.cache[piece] = got
-        return got
+    def ids_of(self, pieces: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each pre-token; short ones are kept."""
+        out = list(map(self.cache.get, pieces))
+        if None in out:
+            new = list({p for p, x in zip(pieces, out, strict=True) if x is None})
+            got = dict(zip(new, self.merged([p.encode("utf-8", "replace") for p in new]), strict=True))
+            out = [got[p] if x is None else x for p, x in zip(pieces, out, strict=True)]
+            if len(self.cache) + len(got) > CACHE:
+                self.cache.clear()
+            self.cache.update((p, x) for p, x in got.items() if len(p) <= SHORT)
+        return out
 
     def encode_chunks(self, text: str | None) -> Iterator[bytes]:
-        known, own = self.cache, self.piece_ids
         for pieces in pretokenise(self.pattern, text or ""):
-            out = list(map(known.get, pieces))
-            if None in out:
-                out = [own(p) if x is None else x for p, x in zip(pieces, out, strict=True)]
-            yield b"".join(out)
+            yield b"".join(self.ids_of(pieces))
+
+    def encode_texts(self, texts: Iterator[str | None]) -> Iterator[Iterator[bytes]]:
+        """Per text its ids, piece by piece; texts of one chunk are merged together, longer ones stream by themselves."""
+        held, size = [], 0
+        for text in texts:
+            if (alone := len(text or "") > CHUNK) or size > TOGETHER:
+                yield from self._together(held)
+                held, size = [], 0
+            if alone:
+                yield self.encode_chunks(text)
+            else:
+                held.append(self.pattern.findall(text or ""))
+                size += len(text or "")
+        yield from self._together(held)
+
+    def _together(self, held: list[list[str]]) -> Iterator[Iterator[bytes]]:
+        ids, at = self.ids_of(list(chain.from_iterable(held))), 0
+        for pieces in held:
+            yield iter((b"".join(ids[at : at + len(pieces)]),))
+            at += len(pieces)
 
     def encode(self, text: str | None) -> np.ndarray:
         return np.frombuffer(b"".join(self.encode_chunks(text)), dtype="<u4")
@@ -225,7 +279,7 @@ def _long_texts(docs: DataFrame, shared, id_col: str, text_col: str, with_ids: b
         return None
 
     def split(batches):
-        pattern = regex.compile(shared.value[1])
+        pattern = shared.value.pattern
         for batch in batches:
             heads, tails = [], []
             for last, text in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
@@ -242,24 +296,24 @@ def _long_texts(docs: DataFrame, shared, id_col: str, text_col: str, with_ids: b
     placed = parts.join(broken, "row", "left_anti").join(begins, ["row", "part"], "left").join(meets, ["row", "part"], "left")
 
     def encode(batches):
-        codec = Codec(*shared.value)
+        codec = shared.value
         for batch in batches:
             out = []
             for begin, meet, text in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
                 begin, end = begin or 0, len(text) if meet is None else meet + PART
                 ends = [m.end() for m in codec.pattern.finditer(text, begin)]
                 cuts = [begin, *(b for b in ends if b <= end)]
-                out.append(b"".join(codec.piece_ids(text[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)))
+                out.append(b"".join(codec.ids_of([text[a:b] for a, b in zip(cuts, cuts[1:], strict=False)])))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.binary())], ["row", "part", "id", "ids"])
 
     def finish(own, pieces):
-        digest = Digest(Codec(*shared.value), with_ids)
+        digest = Digest(shared.value, with_ids)
         for piece in pieces:
             digest.add(piece)
         return _result(id_col, pa.array([own], arrow), [digest.row()], with_ids)
 
     def whole(own, texts):
-        codec = Codec(*shared.value)
+        codec = shared.value
         digest = Digest(codec, with_ids)
         for piece in codec.encode_chunks("".join(t[:PART] for t in texts)):
             digest.add(piece)
@@ -274,7 +328,7 @@ def tokenise(
 ) -> DataFrame:
     """One row per document: id, ``n_tokens``, ``ids_sha256``, ``decoded_sha256``, and ``ids`` (array of int) on request.
 
-    The driver reads the vocabulary (about a megabyte, fixed by its file) and broadcasts it. A text
+    The driver reads the vocabulary (about a megabyte, fixed by its file) and broadcasts the codec made of it (10 MB). A text
     streams through in overlapping chunks: ids and decoded bytes are hashed chunk by chunk, so memory
     is bounded by the batch, not by token counts. Texts of more than a million characters are cut into
     overlapping parts that tasks split and encode side by side (:func:`_long_texts`). Null text counts
@@ -283,17 +337,17 @@ def tokenise(
     """
     spark = docs.sparkSession
     prepare(spark)
-    shared = spark.sparkContext.broadcast((load_ranks(vocabulary), pattern))
+    shared = spark.sparkContext.broadcast(Codec(load_ranks(vocabulary), pattern))
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"{id_col} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
 
     def run(batches):
-        codec = Codec(*shared.value)
+        codec = shared.value
         for batch in batches:
             rows = []
-            for text in batch.column(1):
+            for parts in codec.encode_texts(text.as_py() for text in batch.column(1)):
                 digest = Digest(codec, with_ids)
-                for part in codec.encode_chunks(text.as_py()):
+                for part in parts:
                     digest.add(part)
                 rows.append(digest.row())
             yield _result(id_col, batch.column(0), rows, with_ids)

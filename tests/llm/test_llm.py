@@ -338,6 +338,23 @@ def test_bpe_equals_the_library(codec, library):
         assert codec.decode(ids) == t.encode()
 
 
+def test_pieces_merged_together_equal_the_library(codec, library):
+    rng = random.Random(9)
+    pieces = ["".join(rng.choice("theinrsa é日🙂-") for _ in range(n)) for n in range(1, bpe.SHORT + 9) for _ in range(6)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in codec.merged([p.encode() for p in pieces])] == [library._core_bpe.encode_single_piece(p.encode()) for p in pieces]
+    assert codec.merged([]) == []
+
+
+def test_texts_encoded_together_equal_each_alone(codec, library, monkeypatch):
+    monkeypatch.setattr(bpe, "CHUNK", 400)
+    monkeypatch.setattr(bpe, "TOGETHER", 1000)
+    monkeypatch.setattr(bpe, "CACHE", 50)
+    rng = random.Random(10)
+    texts = [None, "", *("".join(rng.choice("theinr  é1\n'") for _ in range(rng.choice([0, 3, 90, 399, 2000]))) for _ in range(60)), None]
+    got = [np.frombuffer(b"".join(parts), "<u4").tolist() for parts in codec.encode_texts(iter(texts))]
+    assert got == [library.encode_ordinary(t or "") for t in texts]
+
+
 def test_chunks_meet_again():
     pattern = regex.compile(public_tokenizers.PATTERN)
     rng = random.Random(6)
