@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.joins import dealt_join
 from ..functions.text import U, strip
 
+BOX = ("x0", "y0", "x1", "y1")
+
 # Caption patterns in the order in which they are tried.
 CAPTIONS = [
     (r"(?Ud)(?i)TABLE\s+([A-Z]?\d+\.\d+)", "table_dotted"),
@@ -47,13 +50,12 @@ def pdf_type(pages: DataFrame, sample: int = 10, documents: DataFrame | None = N
 
 def caption_candidates(lines: DataFrame, tables: DataFrame) -> DataFrame:
     """Lines in the band above a table: equal page, then overlapping intervals, ends included."""
-    l, t = lines.alias("l"), tables.alias("t")
-    top, low = F.greatest(F.lit(0), F.col("t.y0") - 200), F.col("t.y0") + 50
+    top, low = F.greatest(F.lit(0), F.col("r.y0") - 200), F.col("r.y0") + 50
     vertical = (F.col("l.y0").between(top, low)) | (F.col("l.y1").between(top, low)) | ((F.col("l.y0") <= top) & (F.col("l.y1") >= low))
-    sideways = (F.col("l.x1") >= F.col("t.x0") - 100) & (F.col("l.x0") <= F.col("t.x1") + 100)
-    same = (F.col("l.doc_id") == F.col("t.doc_id")) & (F.col("l.page") == F.col("t.page"))
-    return l.join(t, same & vertical & sideways & (strip("l.text") != "")).select(
-        "t.doc_id", "t.page", "t.table_id", "l.seq", "l.text", (F.col("t.y0") - F.col("l.y1")).alias("distance")
+    sideways = (F.col("l.x1") >= F.col("r.x0") - 100) & (F.col("l.x0") <= F.col("r.x1") + 100)
+    lines, tables = lines.select("doc_id", "page", "seq", "text", *BOX).where(strip("text") != ""), tables.select("doc_id", "page", "table_id", *BOX)
+    return dealt_join(lines, tables, ["doc_id", "page"], ["seq"], vertical & sideways).select(
+        "r.doc_id", "r.page", "r.table_id", "l.seq", "l.text", (F.col("r.y0") - F.col("l.y1")).alias("distance")
     )
 
 

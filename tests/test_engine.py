@@ -5,6 +5,7 @@ import io
 import json
 import random
 import re
+import shutil
 import zipfile
 from pathlib import Path
 
@@ -438,3 +439,47 @@ def test_queries_equal_their_sql(spark, duck, name):
     columns = [c[0] for c in result.description]
     assert sorted(columns) == sorted(frame.columns)
     assert rounded(tuple(r) for r in frame.select(*(f"`{c}`" for c in columns)).collect()) == rounded(result.fetchall())
+
+
+# --- many regions on one page --------------------------------------------------------------
+
+
+def boxed(spark, n=60, boxes=3):
+    """Regions of one page, of few different boxes; one id is there twice, one region has no document."""
+    rng = random.Random(50)
+    kinds = [(x, y, x + 150, y + 80) for x, y in ((rng.randrange(400), rng.randrange(600)) for _ in range(boxes))]
+    regions = [(1, 1, i, *kinds[i % boxes]) for i in range(n)] + [(1, 1, 0, *kinds[1]), (None, 1, n, *kinds[0])]
+    words = [(1, 1, k, rng.choice(["a", "bb", " ", "c c"]), rng.randrange(500), rng.randrange(700), 20, 12) for k in range(400)]
+    names = "doc_id long, page int, region_id long, x0 long, y0 long, x1 long, y1 long"
+    return regions, words, spark.createDataFrame(regions, names), spark.createDataFrame(words, "doc_id long, page int, seq long, text string, x long, y long, width long, height long")
+
+
+def compared(monkeypatch, module, name="dealt_join", of=1):
+    """How many rows the second frame given to a function has, call by call."""
+    seen, own = [], getattr(module, name)
+    monkeypatch.setattr(module, name, lambda *a, **k: (seen.append(a[of].count()), own(*a, **k))[1])
+    return seen
+
+
+def spread(frame):
+    return frame.select(F.spark_partition_id().alias("p")).distinct().count()
+
+
+def as_lines(words):
+    return words.selectExpr("doc_id", "page", "seq", "text", "x AS x0", "y AS y0", "x + width AS x1", "y + height AS y1")
+
+
+def candidates_by_loop(regions, words):
+    for d, p, t, x0, y0, x1, _ in regions:
+        top, low = max(0, y0 - 200), y0 + 50
+        for d2, p2, seq, text, x, y, w, h in words:
+            inside = top <= y <= low or top <= y + h <= low or (y <= top and y + h >= low)
+            if (d, p) == (d2, p2) and inside and x + w >= x0 - 100 and x <= x1 + 100 and text.strip():
+                yield d, p, t, seq, text, y0 - (y + h)
+
+
+def test_candidates_of_one_page_are_dealt(spark, monkeypatch):
+    regions, words, r, w = boxed(spark)
+    monkeypatch.setattr("lectern.functions.joins.PAIRS", 2000)
+    got = geometry.caption_candidates(as_lines(w), r.withColumnRenamed("region_id", "table_id"))
+    assert sorted(map(tuple, got.collect())) == sorted(candidates_by_loop(regions, words)) and spread(got) > 1
