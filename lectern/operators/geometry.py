@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.joins import dealt_join
+from ..functions.store import kept
 from ..functions.text import U, strip
 
 BOX = ("x0", "y0", "x1", "y1")
@@ -48,6 +49,18 @@ def pdf_type(pages: DataFrame, sample: int = 10, documents: DataFrame | None = N
     )
 
 
+def places(regions: DataFrame, *ids: str) -> tuple[DataFrame, DataFrame]:
+    """``(doc_id, page, ids, place)`` and the boxes of each place once: ids with equal boxes on one page share a place.
+
+    An id that is there several times has all of its boxes, equal ones too.
+    """
+    at = F.struct("doc_id", "page", F.array_sort(F.collect_list(F.struct(*BOX))).alias("boxes"))
+    own = regions.groupBy("doc_id", "page", *ids).agg(at.alias("at"))
+    known = kept(own.select("at").distinct().withColumn("place", F.monotonically_increasing_id()))
+    boxes = known.select("place", "at.doc_id", "at.page", F.explode("at.boxes").alias("b"))
+    return own.join(known, "at").drop("at"), boxes.select("place", "doc_id", "page", *(f"b.{c}" for c in BOX))
+
+
 def caption_candidates(lines: DataFrame, tables: DataFrame) -> DataFrame:
     """Lines in the band above a table: equal page, then overlapping intervals, ends included."""
     top, low = F.greatest(F.lit(0), F.col("r.y0") - 200), F.col("r.y0") + 50
@@ -68,6 +81,13 @@ def caption_text(candidates: DataFrame, rank: str = "reference", keep: int = 3)
     return top.groupBy("doc_id", "page", "table_id").agg(text.alias("caption"))
 
 
+def captions(lines: DataFrame, tables: DataFrame, rank: str = "reference", keep: int = 3) -> DataFrame:
+    """The texts of each table's first candidates, worked out once for the tables of a page that have equal boxes."""
+    own, boxes = places(tables, "table_id")
+    text = caption_text(caption_candidates(lines, boxes.withColumnRenamed("place", "table_id")), rank, keep)
+    return own.join(text.select(F.col("table_id").alias("place"), "caption"), "place").select("doc_id", "page", "table_id", "caption")
+
+
 # Patterns of captions that optical readers give, in the order in which they are tried.
 READ_CAPTIONS = [
     r"(?Ud)(?i)TABLE\s+([A-Z]?\d+\.?\d*)",

@@ -49,12 +49,12 @@ def of_clauses(*cols) -> Query:
     return lambda s, d: clauses(s, d).select(*cols)
 
 
-def captions(s, d):
-    return G.caption_candidates(exprs(s, d, "part", O.CAPTION_LINES), X.regions(s, d).withColumnRenamed("region_id", "table_id"))
+def of_captions(operator) -> Query:
+    return lambda s, d: operator(exprs(s, d, "part", O.CAPTION_LINES), X.regions(s, d).withColumnRenamed("region_id", "table_id"))
 
 
 def caption_parse(s, d):
-    c = G.caption_text(captions(s, d)).withColumn("p", G.parse_caption())
+    c = G.caption_text(of_captions(G.caption_candidates)(s, d)).withColumn("p", G.parse_caption())
     return c.select("doc_id", "page", "table_id", "p.table_number", "p.title")
 
 
@@ -236,8 +236,8 @@ QUERIES: dict[str, Query] = {
     "link_neighbour": lambda s, d: J.link_neighbour(tables(s, d), clauses(s, d)),
     "link_cascade": lambda s, d: J.link_cascade(tables(s, d), clauses(s, d)).select("doc_id", "table_id", "parent_clause_id", "parent_clause_number", "link"),
     "link_stats": lambda s, d: J.link_stats(J.link_cascade(tables(s, d), clauses(s, d))).withColumn("linked_percent", F.round("linked_percent", 6)),
-    "caption_candidates": captions,
-    "caption_top3": lambda s, d: G.caption_text(captions(s, d)),
+    "caption_candidates": of_captions(G.caption_candidates),
+    "caption_top3": of_captions(G.captions),
     "caption_parse": caption_parse,
     "read_caption_parse": read_captions,
     "note_coercion": note_coercion,

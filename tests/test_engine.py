@@ -483,3 +483,26 @@ def test_candidates_of_one_page_are_dealt(spark, monkeypatch):
     monkeypatch.setattr("lectern.functions.joins.PAIRS", 2000)
     got = geometry.caption_candidates(as_lines(w), r.withColumnRenamed("region_id", "table_id"))
     assert sorted(map(tuple, got.collect())) == sorted(candidates_by_loop(regions, words)) and spread(got) > 1
+
+
+def top3_by_loop(regions, words):
+    found = {}
+    for d, p, t, seq, text, distance in candidates_by_loop(regions, words):
+        found.setdefault((d, p, t), []).append((-distance, seq, text))
+    return sorted((*k, " ".join(x[2] for x in sorted(v)[:3])) for k, v in found.items())
+
+
+def test_captions_are_found_once_a_box(spark, monkeypatch):
+    regions, words, r, w = boxed(spark)
+    seen = compared(monkeypatch, geometry)
+    got = geometry.captions(as_lines(w), r.withColumnRenamed("region_id", "table_id"))
+    assert sorted(map(tuple, got.collect())) == top3_by_loop(regions, words) and max(seen) < 10
+
+
+@pytest.mark.parametrize("name", ["caption_top3"])
+def test_caption_queries_compare_each_box_once(spark, monkeypatch, tmp_path, name):
+    shutil.copy(f"{SF}/part.parquet", tmp_path)
+    supplier = spark.read.parquet(f"{SF}/supplier.parquet")
+    supplier.crossJoin(spark.range(10)).withColumn("s_suppkey", F.col("s_suppkey") + 1200 * F.col("id")).drop("id").write.parquet(str(tmp_path / "supplier.parquet"))
+    seen = compared(monkeypatch, geometry)
+    assert catalog.QUERIES[name](spark, str(tmp_path)).count() == 100 and max(seen) == 10
