@@ -54,7 +54,7 @@ def of_captions(operator) -> Query:
 
 
 def caption_parse(s, d):
-    c = G.caption_text(of_captions(G.caption_candidates)(s, d)).withColumn("p", G.parse_caption())
+    c = of_captions(G.captions)(s, d).withColumn("p", G.parse_caption())
     return c.select("doc_id", "page", "table_id", "p.table_number", "p.title")
 
 

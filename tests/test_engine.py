@@ -499,7 +499,7 @@ def test_captions_are_found_once_a_box(spark, monkeypatch):
     assert sorted(map(tuple, got.collect())) == top3_by_loop(regions, words) and max(seen) < 10
 
 
-@pytest.mark.parametrize("name", ["caption_top3"])
+@pytest.mark.parametrize("name", ["caption_top3", "caption_parse"])
 def test_caption_queries_compare_each_box_once(spark, monkeypatch, tmp_path, name):
     shutil.copy(f"{SF}/part.parquet", tmp_path)
     supplier = spark.read.parquet(f"{SF}/supplier.parquet")
