@@ -113,7 +113,7 @@ def caption_run(found: DataFrame, images: DataFrame, native: DataFrame, first: T
     """
     band = F.struct(F.col("x0"), geometry.crop_band()["top"].alias("y0"), F.col("y0").alias("y1"), F.col("x1"))
     bands = found.select("doc_id", "page", F.col("table_id").alias("id"), band.alias("b")).select("doc_id", "page", "id", *(f"b.{c}" for c in BOX))
-    text = geometry.caption_text(geometry.caption_candidates(native, found)).select("table_id", geometry.parse_caption().alias("native"))
+    text = geometry.captions(native, found).select("table_id", geometry.parse_caption().alias("native"))
     tried = kept(found.select("table_id").join(text, "table_id", "left"))
 
     def attempt(tried: DataFrame, name: str, reader: TextReader) -> DataFrame:

@@ -506,3 +506,11 @@ def test_caption_queries_compare_each_box_once(spark, monkeypatch, tmp_path, nam
     supplier.crossJoin(spark.range(10)).withColumn("s_suppkey", F.col("s_suppkey") + 1200 * F.col("id")).drop("id").write.parquet(str(tmp_path / "supplier.parquet"))
     seen = compared(monkeypatch, geometry)
     assert catalog.QUERIES[name](spark, str(tmp_path)).count() == 100 and max(seen) == 10
+
+
+def test_caption_run_compares_each_box_once(spark, monkeypatch):
+    _, words, r, w = boxed(spark)
+    found = r.where("doc_id IS NOT NULL").dropDuplicates(["region_id"]).selectExpr("doc_id", "page", "cast(region_id AS string) AS table_id", "x0", "y0", "x1", "y1")
+    images = found.select("doc_id", "page").distinct().withColumn("image", F.lit(b"page"))
+    seen, nothing = compared(monkeypatch, geometry), fakes.Ruled(lambda *box: None)
+    assert detection.caption_run(found, images, as_lines(w), nothing, nothing).count() == 60 and max(seen) < 10
