@@ -121,16 +121,22 @@ def parse_read_caption(c: str = "caption") -> Column:
     return F.struct(number.alias("table_number"), F.when(F.length(title) > 3, title).alias("title"))
 
 
+def joined_text() -> Column:
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l.seq", "l.text"))), lambda s: s["text"]), " ").alias("text")
+
+
+def place_text(elements: DataFrame, boxes: DataFrame) -> DataFrame:
+    """``(place, text)``: texts of the elements that overlap a place's boxes (touching counts), in element order; places without any are not there."""
+    right, bottom = F.col("l.x") + F.col("l.width"), F.col("l.y") + F.col("l.height")
+    hit = (F.col("l.x") <= F.col("r.x1")) & (right >= F.col("r.x0")) & (F.col("l.y") <= F.col("r.y1")) & (bottom >= F.col("r.y0"))
+    elements = elements.where("seq IS NOT NULL").select("doc_id", "page", "seq", "text", "x", "y", "width", "height")
+    return dealt_join(elements, boxes, ["doc_id", "page"], ["seq"], hit).groupBy("r.place").agg(joined_text())
+
+
 def region_text(elements: DataFrame, regions: DataFrame) -> DataFrame:
     """Texts of the elements that overlap a region (touching counts), in element order."""
-    e, r = elements.alias("e"), regions.alias("r")
-    hit = (
-        (F.col("e.doc_id") == F.col("r.doc_id")) & (F.col("e.page") == F.col("r.page"))
-        & (F.col("e.x") <= F.col("r.x1")) & (F.col("e.x") + F.col("e.width") >= F.col("r.x0"))
-        & (F.col("e.y") <= F.col("r.y1")) & (F.col("e.y") + F.col("e.height") >= F.col("r.y0"))
-    )
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("e.seq").isNotNull(), F.struct("e.seq", "e.text")))), lambda s: s["text"]), " ")
-    return r.join(e, hit, "left").groupBy("r.doc_id", "r.page", "r.region_id").agg(joined.alias("text"))
+    own, boxes = places(regions, "region_id")
+    return own.join(place_text(elements, boxes), "place", "left").select("doc_id", "page", "region_id", F.coalesce("text", F.lit("")).alias("text"))
 
 
 def cell_text(elements: DataFrame, cells: DataFrame) -> DataFrame:

@@ -514,3 +514,23 @@ def test_caption_run_compares_each_box_once(spark, monkeypatch):
     images = found.select("doc_id", "page").distinct().withColumn("image", F.lit(b"page"))
     seen, nothing = compared(monkeypatch, geometry), fakes.Ruled(lambda *box: None)
     assert detection.caption_run(found, images, as_lines(w), nothing, nothing).count() == 60 and max(seen) < 10
+
+
+def texts_by_loop(regions, words, hit):
+    found = {}
+    for d, p, t, *box in regions:
+        found.setdefault((d, p, t), []).extend((seq, text) for d2, p2, seq, text, *at in words if (d, p) == (d2, p2) and hit(*box, *at))
+    return sorted(((*k, " ".join(x[1] for x in sorted(v))) for k, v in found.items()), key=repr)
+
+
+def touches(x0, y0, x1, y1, x, y, w, h):
+    return x <= x1 and x + w >= x0 and y <= y1 and y + h >= y0
+
+
+@pytest.mark.parametrize("pairs", [100, 1 << 24])
+def test_region_texts_are_made_once_a_box(spark, monkeypatch, pairs):
+    regions, words, r, w = boxed(spark)
+    monkeypatch.setattr("lectern.functions.joins.PAIRS", pairs)
+    seen = compared(monkeypatch, geometry)
+    got = geometry.region_text(w, r).collect()
+    assert sorted(map(tuple, got), key=repr) == texts_by_loop(regions, words, touches) and max(seen) < 10
