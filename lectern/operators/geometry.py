@@ -155,10 +155,11 @@ def crop_band(y0: str = "y0") -> Column:
 
 def overlay(tables: DataFrame, pages: DataFrame, elements: DataFrame) -> DataFrame:
     """Adds ``adobe_text``, ``ocr_source`` and ``adobe_ocr`` (the table has rows) to the tables of pages that were read, joined on the page number."""
-    regions = tables.select("doc_id", "page", F.col("table_id").alias("region_id"), "x0", "y0", "x1", "y1")
-    found = region_text(elements, regions).select("doc_id", F.col("region_id").alias("table_id"), F.col("text").alias("adobe_text"))
+    own, boxes = places(tables, "table_id")
+    own, found = own.select("doc_id", "table_id", "place"), place_text(elements, boxes)
     read = pages.select("doc_id", "page", F.lit("adobe").alias("ocr_source")).distinct()
-    out = tables.join(found, ["doc_id", "table_id"], "left").join(read, ["doc_id", "page"], "left")
+    out = tables.join(own, ["doc_id", "table_id"], "left").join(read, ["doc_id", "page"], "left").join(found.withColumnRenamed("text", "adobe_text"), "place", "left")
     rows = [F.coalesce(F.size(c), F.lit(0)) > 0 for c in ("header_rows", "data_rows") if c in tables.columns]
     marked = F.col("ocr_source").isNotNull() & (rows[0] | rows[1] if len(rows) == 2 else F.lit(False))
-    return out.withColumns({"adobe_text": F.when(F.col("ocr_source").isNotNull(), F.col("adobe_text")), "adobe_ocr": marked})
+    text = F.when(F.col("ocr_source").isNotNull() & F.col("place").isNotNull(), F.coalesce("adobe_text", F.lit("")))
+    return out.withColumns({"adobe_text": text, "adobe_ocr": marked}).drop("place")

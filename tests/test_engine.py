@@ -534,3 +534,12 @@ def test_region_texts_are_made_once_a_box(spark, monkeypatch, pairs):
     seen = compared(monkeypatch, geometry)
     got = geometry.region_text(w, r).collect()
     assert sorted(map(tuple, got), key=repr) == texts_by_loop(regions, words, touches) and max(seen) < 10
+
+
+def test_overlay_makes_texts_once_a_box(spark, monkeypatch):
+    regions, words, r, w = boxed(spark)
+    t = r.withColumnRenamed("region_id", "table_id").unionByName(spark.createDataFrame([(1, 2, 99, 0, 0, 9, 9), (1, 1, None, 0, 0, 9, 9)], "doc_id long, page int, table_id long, x0 long, y0 long, x1 long, y1 long"))
+    seen = compared(monkeypatch, geometry)
+    got = sorted(((x.doc_id, x.page, x.table_id, x.adobe_text) for x in geometry.overlay(t, w, w).collect()), key=repr)
+    text = {k[:3]: k[3] for k in texts_by_loop(regions, words, touches)}
+    assert got == sorted([(*x[:3], None if x[0] is None else text[x[:3]]) for x in regions] + [(1, 2, 99, None), (1, 1, None, None)], key=repr) and max(seen) < 12
