@@ -141,11 +141,11 @@ def region_text(elements: DataFrame, regions: DataFrame) -> DataFrame:
 
 def cell_text(elements: DataFrame, cells: DataFrame) -> DataFrame:
     """Texts of the elements whose centre lies in a cell, ends included."""
-    e, c = elements.alias("e"), cells.alias("c")
-    x, y = F.col("e.x") + F.col("e.width") / 2, F.col("e.y") + F.col("e.height") / 2
-    hit = (F.col("e.doc_id") == F.col("c.doc_id")) & (F.col("e.page") == F.col("c.page")) & x.between(F.col("c.x0"), F.col("c.x1")) & y.between(F.col("c.y0"), F.col("c.y1"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("e.seq", "e.text"))), lambda s: s["text"]), " ")
-    return e.join(c, hit).groupBy("c.doc_id", "c.page", "c.region_id", "c.row", "c.column").agg(joined.alias("text"))
+    own, boxes = places(cells, "region_id", "row", "column")
+    centre = [(F.col("x") + F.col("width") / 2).alias("x"), (F.col("y") + F.col("height") / 2).alias("y")]
+    hit = F.col("l.x").between(F.col("r.x0"), F.col("r.x1")) & F.col("l.y").between(F.col("r.y0"), F.col("r.y1"))
+    found = dealt_join(elements.select("doc_id", "page", "seq", "text", *centre), boxes, ["doc_id", "page"], ["seq"], hit).groupBy("r.place").agg(joined_text())
+    return own.join(found, "place").select("doc_id", "page", "region_id", "row", "column", "text")
 
 
 def crop_band(y0: str = "y0") -> Column:

@@ -543,3 +543,12 @@ def test_overlay_makes_texts_once_a_box(spark, monkeypatch):
     got = sorted(((x.doc_id, x.page, x.table_id, x.adobe_text) for x in geometry.overlay(t, w, w).collect()), key=repr)
     text = {k[:3]: k[3] for k in texts_by_loop(regions, words, touches)}
     assert got == sorted([(*x[:3], None if x[0] is None else text[x[:3]]) for x in regions] + [(1, 2, 99, None), (1, 1, None, None)], key=repr) and max(seen) < 12
+
+
+def test_cell_texts_are_made_once_a_box(spark, monkeypatch):
+    regions, words, r, w = boxed(spark)
+    seen = compared(monkeypatch, geometry)
+    cells = r.withColumns({"row": F.lit(0), "column": F.lit(1)})
+    got = geometry.cell_text(w, cells).select("doc_id", "page", "region_id", "text").collect()
+    want = texts_by_loop(regions, words, lambda x0, y0, x1, y1, x, y, w, h: x0 <= x + w / 2 <= x1 and y0 <= y + h / 2 <= y1)
+    assert sorted(map(tuple, got), key=repr) == [x for x in want if x[0]] and max(seen) < 10
