@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.joins import dealt_join
 from ..functions.text import col, strip, words
 
 CELLS = "array<array<string>>"
@@ -189,12 +190,14 @@ def cell_grid(structures: DataFrame) -> DataFrame:
     """
     low = lambda c: F.greatest(F.lit(0), c.cast("int"))
     high = lambda c, most: F.least(F.col(most).cast("int"), c.cast("int"))
-    return structures.select("table_id", "header_row_count", "columns", "width", "height", F.posexplode("rows").alias("row", "r")).select(
-        "table_id", "header_row_count", "row", "r", "width", "height", F.posexplode("columns").alias("column", "c")
-    ).select(
-        "table_id", "row", "column", (F.col("row") < F.col("header_row_count")).alias("is_header"),
-        low(F.col("c.x0")).alias("x0"), low(F.col("r.y0")).alias("y0"), high(F.col("c.x1"), "width").alias("x1"), high(F.col("r.y1"), "height").alias("y1"),
-    ).withColumn("readable", (F.col("x1") - F.col("x0") >= MIN_CELL) & (F.col("y1") - F.col("y0") >= MIN_CELL))
+    key = F.struct("table_id").alias("key")  # a table without an id has cells too
+    rows = structures.select(key, "table_id", "header_row_count", "height", F.posexplode("rows").alias("row", "r")).select(
+        "key", "table_id", "row", (F.col("row") < F.col("header_row_count")).alias("is_header"), low(F.col("r.y0")).alias("y0"), high(F.col("r.y1"), "height").alias("y1")
+    ).withColumn("tall", F.col("y1") - F.col("y0") >= MIN_CELL)
+    columns = structures.select(key, "width", F.posexplode("columns").alias("column", "c")).select(
+        "key", "column", low(F.col("c.x0")).alias("x0"), high(F.col("c.x1"), "width").alias("x1")
+    ).withColumn("wide", F.col("x1") - F.col("x0") >= MIN_CELL)
+    return dealt_join(rows, columns, ["key"], ["row"]).select("table_id", "row", "column", "is_header", "x0", "y0", "x1", "y1", (F.col("wide") & F.col("tall")).alias("readable"))
 
 
 def hybrid_cell_text(first: str | Column, second: str | Column, failed: str | Column | None = None) -> Column:

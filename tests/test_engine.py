@@ -552,3 +552,14 @@ def test_cell_texts_are_made_once_a_box(spark, monkeypatch):
     got = geometry.cell_text(w, cells).select("doc_id", "page", "region_id", "text").collect()
     want = texts_by_loop(regions, words, lambda x0, y0, x1, y1, x, y, w, h: x0 <= x + w / 2 <= x1 and y0 <= y + h / 2 <= y1)
     assert sorted(map(tuple, got), key=repr) == [x for x in want if x[0]] and max(seen) < 10
+
+
+def test_cells_of_one_table_are_dealt(spark, monkeypatch):
+    """A table's cells are made by several tasks; one without an id has cells too."""
+    monkeypatch.setattr("lectern.functions.joins.PAIRS", 100)
+    e = [(t, f"table {kind}", [k * 5.0, k * 9.0, k * 5.0 + 8 + k % 5, k * 9.0 + 12], 0.9) for t in (None, 7) for kind in ("row", "column") for k in range(40)]
+    shape = tables.structure(spark.createDataFrame(e, "table_id long, label string, bbox array<double>, confidence double")).withColumns({"width": F.lit(400), "height": F.lit(300)})
+    grid = tables.cell_grid(shape)
+    low = [min(300, r * 9 + 12) for r in range(40)]
+    want = [(t, r, c, r < 1, c * 5, r * 9, c * 5 + 8 + c % 5, low[r], c % 5 >= 2 and low[r] - r * 9 >= 10) for t in (None, 7) for r in range(40) for c in range(40)]
+    assert sorted(map(tuple, grid.collect()), key=repr) == sorted(want, key=repr) and spread(grid) > 1
