@@ -349,7 +349,7 @@ def best_cut(value: np.ndarray, y: np.ndarray) -> float:
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Network:
-    rows = labelled_sample(docs, labels, label, id_col, text_col, 5, 0, sample, per_class=True, chars=SAMPLE_CHARS).select("_o", "y", "text").collect()
+    rows = labelled_sample(docs, labels, label, id_col, text_col, 5, 0, sample, chars=SAMPLE_CHARS).select("_o", "y", "text").collect()
     rows.sort(key=lambda r: (r["_o"], r["y"], r["text"] or ""))
     return Network().fit([r["text"] for r in rows], np.array([int(r["y"] == 1) for r in rows]))
 

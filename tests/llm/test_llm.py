@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import zlib
 from itertools import combinations, product
 from pathlib import Path
 
@@ -506,6 +507,36 @@ def test_ranking_is_the_least_loss_over_pairs():
     assert all((phi[a] @ model.weight > phi[b] @ model.weight) == (scores[a] > scores[b]) for a, b in pairs[:500])
 
 
+def test_quality_is_learnt_from_every_labelled_document(spark, monkeypatch):
+    """Long ones too; ids that are broadcast or not, blocks that are few or many."""
+    rng = random.Random(51)
+    texts = ["$$ !! ## " * (3 + k % 5) if k % 7 == 0 else sentence(rng, 40 + k % 9).capitalize() + "." for k in range(240)]
+    texts[3] = "A long text of plain words. " * 9000
+    frame, labels = docs(spark, texts, range(240)), spark.createDataFrame([(k, int(k % 7 != 0)) for k in range(240)], "doc_id long, quality int")
+    own = [k for k in range(240) if zlib.crc32(str(k).encode()) % 4 != 2]
+    x = np.array([quality.features(texts[k]) for k in own])
+    model = quality.fit_quality(frame, labels)
+    assert 3 in own and np.allclose(model.mean, x.mean(axis=0)) and np.allclose(model.scale, np.maximum(x.std(axis=0), 1e-3))
+    raw = np.sort(model.expand(x) @ model.weight)
+    k = sum(k % 7 == 0 for k in own)
+    assert raw[k - 1] < model.cut < raw[k]
+    monkeypatch.setattr(quality, "BROADCAST_ROWS", 0)
+    again = quality.fit_quality(frame, labels)
+    assert np.allclose(again.weight, model.weight) and math.isclose(again.cut, model.cut)
+    monkeypatch.setattr(quality, "BLOCK", 16)
+    monkeypatch.setattr(quality, "BUCKETS", 3)
+    many = quality.fit_quality(frame, labels)
+    assert np.allclose(many.mean, model.mean) and ((many.score(x) >= 0.7) == np.array([k % 7 != 0 for k in own])).all()
+
+
+@pytest.mark.parametrize(("n", "m"), [(1, 1), (3, 50), (50, 3), (40, 40), (300, 2000)])
+def test_block_pairs_hold_every_document(n, m):
+    got = np.vstack([*quality.block_pairs(np.arange(n)[:, None] * 10_000.0, -np.arange(m)[:, None] - 1.0)]).ravel().astype(int)
+    pairs = {((v - 1) // 10_000, (v - 1) % 10_000) for v in got.tolist()}
+    assert len(pairs) == len(got) and {a for a, _ in pairs} == set(range(n)) and {b for _, b in pairs} == set(range(m))
+    assert len(got) == min(n * m, max(quality.PARTNERS, quality.PAIRS // max(n, m)) * max(n, m))
+
+
 def test_drop_poor_keeps_rows_as_they_are(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
     rng = random.Random(44)
