@@ -49,6 +49,13 @@ def remove_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def remove_checkpoint(frame: DataFrame) -> None:
+    """Deletes the files of a frame that ``checkpoint()`` has returned and that nothing reads any more."""
+    file = frame._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+    if file.isDefined():
+        remove_path(frame.sparkSession, file.get())
+
+
 # --- joins ---------------------------------------------------------------------------------
 
 

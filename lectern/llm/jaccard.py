@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import SHINGLE_WORDS, SIMILARITY, join_groups, minhash, multipliers, one_of_repeated, prepare, row_key, shingles, without_rows
-from .components import connected_components
+from .components import connected_components, forest
 
 #: Signature: BANDS buckets of ROWS hashes. At a similarity of 0.8 a pair shares no bucket with a probability of 3e-5.
 BANDS, ROWS = 20, 4
@@ -86,23 +86,6 @@ def exact_intersections(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) ->
     return product[row[i], row[j]].astype(np.int64)
 
 
-def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """For each of n nodes the least node that links i-j connect it with."""
-    root = list(range(n))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    for a, b in zip(i.tolist(), j.tolist(), strict=True):
-        x, y = find(a), find(b)
-        if x != y:
-            root[max(x, y)] = min(x, y)
-    return np.array([find(x) for x in range(n)], dtype=np.int64)
-
-
 def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(id, x, key, sig, size)``: x tells rows of one id apart, key is 128 bits of the set of shingles, sig the MinHash values."""
 

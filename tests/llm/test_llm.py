@@ -273,6 +273,38 @@ def test_components(spark):
     assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize(("least", "hot", "stages"), [(100_000, 1000, 6), (30, 1000, None), (0, 1000, None), (0, 1, None)])
+def test_few_links_take_few_stages(spark, monkeypatch, least, hot, stages):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", least)  # 30: rounds first, one task when fewer links are left
+    monkeypatch.setattr(common, "HOT", hot)
+    rng = random.Random(4)
+    edges = [(k, k + 1) for k in range(40)] * 2 + [(100 + k, 100) for k in range(1, 30)] + [(rng.randint(200, 260), rng.randint(200, 260)) for _ in range(40)] + [(-7, 1 << 60)]
+    root = {x: x for e in edges for x in e}
+    for _ in range(len(root)):
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    links = spark.createDataFrame([*edges, (None, 3), (500, 500)], "a long, b long")
+    folder = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    before, group = {p.name for p in folder.iterdir()}, f"components-{least}-{hot}"
+    spark.sparkContext.setJobGroup(group, "")
+    try:
+        got = components.connected_components(links).collect()
+        names = links.select(F.col("a").cast("string"), F.col("b").cast("string"))
+        named = components.connected_components(names).collect()
+        tracker = spark.sparkContext.statusTracker()
+        ran = sum(len(tracker.getJobInfo(j).stageIds) for j in tracker.getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    linked = {x for a, b in edges if a != b for x in (a, b)}
+    assert len(got) == len(linked) and {r.node: r.root for r in got} == {x: root[x] for x in linked}
+    least_name = {}
+    for x in linked:
+        least_name[root[x]] = min(least_name.get(root[x], str(x)), str(x))
+    assert {r.node: r.root for r in named} == {str(x): least_name[root[x]] for x in linked}
+    assert stages is None or ran <= 2 * stages
+    assert len({p.name for p in folder.iterdir()} - before) <= 2  # the last round's files, of both runs
+
+
 def test_exact_dedup(spark):
     texts = ["a  b", "a\tb", None, "", "c", "c", "A b", "c"]
     ids = [5, 3, 1, 9, 4, 4, 2, None]
