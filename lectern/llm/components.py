@@ -58,21 +58,21 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """
     spark = links.sparkSession
     prepare(spark)
-    stars = (
+    found = (
         links.where((F.col(a) != F.col(b)))
         .select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
         .checkpoint()
     )
-    before = None
+    if found.count() <= common.BROADCAST_ROWS:
+        return _in_one_task(found)
+    stars, before = found.distinct().checkpoint(), None
+    remove_checkpoint(found)
     for _ in range(MAX_ROUNDS):
         mark = stars.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if mark["n"] <= common.BROADCAST_ROWS:
             return _in_one_task(stars)
         if mark == before:
             return stars.select(F.col("u").alias("node"), F.col("v").alias("root")).union(stars.select("v", "v").distinct())
-        old, stars = stars, stars.distinct().checkpoint() if before is None else stars
-        if old is not stars:
-            remove_checkpoint(old)
         old, before = stars, mark
         both = stars.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*")
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n"))
